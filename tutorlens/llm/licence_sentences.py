@@ -93,16 +93,14 @@ def licences(docs: DataFrame) -> DataFrame:
     split = lower.select("doc_id", F.when(F.col("li_text").rlike(CUE), F.struct(flowing.alias("a"), lines.alias("b"))).alias("li")).select(
         "doc_id", F.coalesce(F.concat("li.a", F.filter("li.b", lambda s: ~F.array_contains("li.a", s))), none).alias("sentences")
     )
-    state = split.withColumn("li_left", F.array_join(F.transform("sentences", lambda s: F.concat(F.lit(","), s, F.lit(","))), "")).withColumn("li_found", none)
-    left, found = F.col("li_left"), F.col("li_found")
-    for start in range(0, len(RULES), 8):  # a few rules at a time keep the expression small
-        for name, sequence in RULES[start : start + 8]:
-            hit = left.contains(f",{sequence[0]},") & left.rlike(pattern(sequence))
-            found = F.when(hit, F.array_union(found, F.array(F.lit(name)))).otherwise(found)
-            left = F.when(hit, F.regexp_replace(left, pattern(sequence), "")).otherwise(left)
-        state = state.withColumns({"li_left": left, "li_found": found})
-        left, found = F.col("li_left"), F.col("li_found")
-    return state.select("doc_id", "sentences", F.col("li_found").alias("found"))
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f",{sequence[0]},").alias("first"), F.lit(pattern(sequence)).alias("pattern")) for name, sequence in RULES])
+    start = F.struct(F.array_join(F.transform("sentences", lambda s: F.concat(F.lit(","), s, F.lit(","))), "").alias("left"), none.alias("found"))
+
+    def applied(acc: Column, rule: Column) -> Column:
+        hit = acc["left"].contains(rule["first"]) & F.regexp_like(acc["left"], rule["pattern"])
+        return F.when(hit, F.struct(F.regexp_replace(acc["left"], rule["pattern"], F.lit("")).alias("left"), F.array_union(acc["found"], F.array(rule["name"])).alias("found"))).otherwise(acc)
+
+    return split.select("doc_id", "sentences", F.when(F.size("sentences") > 0, F.aggregate(rules, start, applied, lambda acc: acc["found"])).otherwise(none).alias("found"))
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
