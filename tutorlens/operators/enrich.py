@@ -49,7 +49,7 @@ def validate(responses: DataFrame, concepts: DataFrame) -> DataFrame:
     ]
     errors = F.array_compact(F.array(*[F.when(hit, name) for name, hit in rules]))
     clean = F.struct(
-        F.trim("r.tldr").alias("tldr"), F.filter(F.transform("r.key_points", F.trim), lambda p: p != "").alias("key_points"),
+        F.trim("r.tldr").alias("tldr"), F.filter(F.transform("r.key_points", lambda p: F.trim(p)), lambda p: p != "").alias("key_points"),
         F.transform(quiz, lambda q: q.withField("concept_id", F.when(F.array_contains("known", q["concept_id"]), q["concept_id"]))).alias("quiz"),
     )
     return parsed.select("content_id", (F.size(errors) == 0).alias("ok"), errors.alias("errors"), F.when(F.size(errors) == 0, clean).alias("data"))
