@@ -19,17 +19,26 @@ LEADING, MIN_DOCS, LEAST_CONSTANT = 3, 3, 0.6
 VARIABLE = "<*>"
 
 
+#: A word with a digit, an at sign or a link, from its first character on.
+CHANGING = r"(?<![^ ])(?:[^ 0-9@:]|:(?!//))*+(?:[0-9@]|://)[^ ]*"
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(lt_doc, lt_row, lt_pos, lt_masked, lt_leaf, lt_key) of lines that are as long as the tree is deep."""
-    read = docs.select("doc_id", "text").select(
-        F.col("doc_id").alias("lt_doc"), row_key().alias("lt_row"), F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("lt_pos", "lt_line")
+    """(lt_doc, lt_row, lt_pos, lt_masked, lt_leaf, lt_key) of lines that are as long as the tree is deep. What needs a
+    pattern is done inside the generator, once a line."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    odd = text.contains("  ") | text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
+    spaced = F.when(odd, F.regexp_replace(text, r"[\x20\t\x0B\f\r]+", " ")).otherwise(text)
+    masked = F.transform(
+        F.transform(F.split(spaced, "\n", -1), lambda x: F.trim(x)),
+        lambda x: F.when(x.rlike("[0-9@]|://"), F.regexp_replace(x, CHANGING, VARIABLE)).otherwise(x),
+    )
+    read = docs.select("doc_id", "text").select(F.col("doc_id").alias("lt_doc"), row_key().alias("lt_row"), F.posexplode(masked).alias("lt_pos", "lt_masked"))
+    start = F.substring_index("lt_masked", " ", LEADING)
+    n_spaces = F.length("lt_masked") - F.length(F.replace("lt_masked", F.lit(" "), F.lit("")))
+    return read.filter(start != F.col("lt_masked")).select(
+        "lt_doc", "lt_row", "lt_pos", "lt_masked", F.xxhash64(n_spaces, start).alias("lt_leaf"), F.unhex(F.md5("lt_masked")).alias("lt_key")
     )
-    plain = F.trim(F.regexp_replace("lt_line", r"[\x20\x09-\x0D]+", " "))
-    masked = F.when(plain.rlike("[0-9@]|://"), F.regexp_replace(plain, r"[^ ]*(?:[0-9@]|://)[^ ]*", VARIABLE)).otherwise(plain)
-    counted = read.select("lt_doc", "lt_row", "lt_pos", masked.alias("lt_masked")).withColumn("lt_n", F.length("lt_masked") - F.length(F.replace("lt_masked", F.lit(" "), F.lit(""))) + 1)
-    long = counted.filter(F.col("lt_n") > LEADING)
-    leaf = F.xxhash64("lt_n", F.substring_index("lt_masked", " ", LEADING))
-    return long.select("lt_doc", "lt_row", "lt_pos", "lt_masked", leaf.alias("lt_leaf"), F.unhex(F.md5("lt_masked")).alias("lt_key"))
 
 
 def row_key() -> Column:
