@@ -67,7 +67,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of one sequence, sequences)] that uses every counted length up; sums are at most capacity."""
+    """[(lengths of one sequence, sequences)] that uses every counted length up; sums are at most capacity. Exact
+    fillings of up to three, two, one and no members are tried on the counts, and the plan with the fewest sequences is
+    taken: where few lengths are left to choose from, long exact fillings use up pieces that best fit places better."""
+    return min((_plan(counts, capacity, members) for members in (3, 2, 1, 0)), key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, members: int) -> list[tuple[tuple[int, ...], int]]:
     left = Counter({k: v for k, v in counts.items() if v > 0})
     out: list[tuple[tuple[int, ...], int]] = []
 
@@ -84,8 +90,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
 
     def exact(length: int, gap: int) -> list[tuple[int, ...]]:
         """A single, pairs or triples of available lengths that fill the gap beside length, longest members first."""
-        if left.get(gap, 0) > (gap == length):
+        if members and left.get(gap, 0) > (gap == length):
             return [(gap,)]
+        if members < 2:
+            return []
         have = np.zeros(capacity + 1, bool)
         have[[k for k in left if k <= length]] = True
         a = np.flatnonzero(have[: gap + 1])
@@ -93,7 +101,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         if len(pair):
             return [(int(x), int(gap - x)) for x in pair[::-1]]
         found = []
-        for x in a[a * 3 >= gap][::-1]:
+        for x in a[a * 3 >= gap][::-1] if members > 2 else ():
             b = a[(a <= x) & (a <= gap - x)]
             b = b[have[gap - x - b] & (b * 2 >= gap - x) & (gap - x - b <= b)]
             found += [(int(x), int(y), int(gap - x - y)) for y in b[::-1]]
