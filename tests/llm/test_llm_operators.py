@@ -79,6 +79,22 @@ def test_join_keeps_a_large_near_copy_group_together(spark):
     assert next(r for r in got if r.doc_id == 150).links == 0
 
 
+def test_join_keeps_copies_of_one_original_that_resemble_it_only(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    many = []
+    for k in range(400):
+        copy = list(base)
+        for at in rng.sample(range(10, 190), 3):
+            copy[at] = f"edit{k}-{at}"
+        many.append(" ".join(copy))
+    many.insert(200, " ".join(base))
+    sets = [five_grams(t) for t in many]
+    linked = {i for i, s in enumerate(sets) if len(s & sets[200]) >= 0.8 * len(s | sets[200])}
+    got = {r.doc_id: r.class_id for r in chosen_path_join.near_duplicates(docs_of(spark, many)).collect()}
+    assert len(linked) > 380 and {got[i] for i in linked} == {0}
+
+
 def test_packing_places_every_piece_once(spark, texts):
     docs = docs_of(spark, texts)
     got = complement_packing.pack_documents(docs).toPandas()
