@@ -95,6 +95,35 @@ def test_join_keeps_copies_of_one_original_that_resemble_it_only(spark):
     assert len(linked) > 380 and {got[i] for i in linked} == {0}
 
 
+def test_join_keeps_links_between_members_that_no_pivot_has_part_in(spark):
+    """A group of rings: neighbours on a ring are near copies, but few of them resemble any one member."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    many = []
+    for ring in range(3):
+        for k in range(90):
+            text = list(base)
+            for step in range(k, k + 5):
+                at = 7 * (step % 40) + 5
+                text[at] = f"edit{ring}-{step}"
+            many.append(" ".join(text))
+    sets = [five_grams(t) for t in many]
+    parent = list(range(len(many)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(many)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    got = {r.doc_id: r.class_id for r in chosen_path_join.near_duplicates(docs_of(spark, many)).collect()}
+    assert got == {i: root(i) for i in range(len(many))}
+
+
 def test_packing_places_every_piece_once(spark, texts):
     docs = docs_of(spark, texts)
     got = complement_packing.pack_documents(docs).toPandas()
