@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from conftest import DATA
 
@@ -13,7 +14,7 @@ from tutorlens.plans.registry import ORACLES, QUERIES
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
