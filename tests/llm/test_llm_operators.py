@@ -124,6 +124,21 @@ def test_join_keeps_links_between_members_that_no_pivot_has_part_in(spark):
     assert got == {i: root(i) for i in range(len(many))}
 
 
+def test_join_counts_all_links_of_a_large_near_copy_group(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    many = []
+    for k in range(300):
+        copy = list(base)
+        for at in rng.sample(range(10, 190), k % 3):
+            copy[at] = f"edit{k}-{at}"
+        many.append(" ".join(copy))
+    sets = [five_grams(t) for t in many]
+    want = {i: sum(len(s & o) >= 0.8 * len(s | o) for o in sets) - 1 for i, s in enumerate(sets)}
+    got = {r.doc_id: r.links for r in chosen_path_join.near_duplicates(docs_of(spark, many)).collect()}
+    assert min(want.values()) > 200 and got == want
+
+
 def test_packing_places_every_piece_once(spark, texts):
     docs = docs_of(spark, texts)
     got = complement_packing.pack_documents(docs).toPandas()

@@ -11,13 +11,15 @@ Their members are first compared with two members of the group instead of all wi
 agrees most with the group's commonest low bit at each coordinate (the original, where a group is made of its copies),
 and one drawn by hash. Members that these links put into one class need no further comparison; those outside the
 group's largest class are compared in full with every member of another class, in blocks of BLOCK sets, so no link
-between classes is missed.
+between classes is missed. At the end the classes that reach into a huge group are compared whole, every member with
+every other in the same blocks, and each member's links are counted there; pairs never leave the task.
 Exact copies (equal words) are folded before and never make pairs.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -159,6 +161,27 @@ def links_of_blocks(threshold: float):
     return find
 
 
+def counts_of_blocks(threshold: float):
+    """(cp_id, cp_links) of the members of blocks b: copies of the members of blocks a that are near them, summed over
+    the blocks of a task."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = Counter()
+        for batch in batches:
+            for a, copies, set_a, b, set_b in zip(*batch.columns, strict=True):
+                a, copies, b = (x.values.to_numpy() for x in (a, copies, b))
+                shared = np.intersect1d(set_a.values.flatten().to_numpy(), set_b.values.flatten().to_numpy())
+                if len(shared):
+                    (one, n), (other, m) = _incidence(set_a.values, shared), _incidence(set_b.values, shared)
+                    common = (one @ other.T).astype(np.float64)
+                    near = (common >= threshold * (n[:, None] + m - common)) & (a[:, None] != b)
+                    for i, k in zip(b.tolist(), (copies @ near).tolist(), strict=True):
+                        links[i] += k
+        yield pa.RecordBatch.from_arrays([pa.array(list(links), pa.int64()), pa.array(list(links.values()), pa.int64())], ["cp_id", "cp_links"])
+
+    return find
+
+
 def _place(run: Column, node: Column) -> Column:
     """The coordinate (from 1) that a node of a run's tree splits on; nodes count as in a heap, the root being 0 here.
     7 and 13 are odd, so runs begin on different coordinates and a path does not meet one twice within 63 nodes."""
@@ -208,6 +231,23 @@ def across_classes(large: DataFrame, texts: DataFrame, classes: DataFrame, thres
     return staged(pairs.mapInArrow(links_of_blocks(threshold), "cp_a long, cp_b long").distinct(), "op2-links")
 
 
+def counted_links(large: DataFrame, texts: DataFrame, classes: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
+    """(cp_id, cp_links): for every member of the classes (cp_id, cp_class) that hold a member of large (key, cp_id), the
+    documents of other texts that are near it; copies (cp_id, cp_copies). Every block of a class meets every block of it."""
+    reached = large.select("cp_id").distinct().join(classes, "cp_id").select("cp_class").distinct()
+    members = staged(classes.join(reached, "cp_class").select("cp_id", "cp_class").join(copies, "cp_id"), "op2-counted")
+    rows = staged(members.join(shingle_sets(texts, members.select("cp_id").distinct()), "cp_id"), "op2-counted-sets")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("cp_set")) / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    block = F.pmod(F.xxhash64("cp_id"), "blocks").cast("int").alias("block")
+    gathered = staged(
+        rows.join(rows.groupBy("cp_class").agg(blocks), "cp_class").groupBy("cp_class", "blocks", block)
+        .agg(F.collect_list(F.struct("cp_id", "cp_copies", "cp_set")).alias("m")).select("cp_class", "blocks", "block", "m.cp_id", "m.cp_copies", "m.cp_set"), "op2-blocks",
+    )
+    facing = gathered.select("cp_class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cp_id").alias("a"), "cp_copies", F.col("cp_set").alias("set_a"))
+    pairs = facing.join(gathered.select("cp_class", "block", F.col("cp_id").alias("b"), F.col("cp_set").alias("set_b")), ["cp_class", "block"]).drop("cp_class", "block")
+    return pairs.mapInArrow(counts_of_blocks(threshold), "cp_id long, cp_links long").groupBy("cp_id").agg(F.sum("cp_links").alias("cp_links"))
+
+
 def candidates(sketches: DataFrame, runs: int) -> tuple[DataFrame, DataFrame | None]:
     """(cp_a < cp_b) pairs to verify from sketches (cp_id, cp_sketch, cp_bits), without repeats, and the huge groups
     (key, cp_id) that are compared with their pivots only, if there are any."""
@@ -301,12 +341,13 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return staged(near.select("cp_a", "cp_b").distinct(), "op2-links")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, count_links: bool = True) -> DataFrame:
     """(doc_id, class_id, copies, links) of docs (doc_id, text), one row a row of docs with an id (rows without one are
     left out). class_id is the smallest doc_id among documents joined by links of Jaccard similarity >= threshold on
     distinct five-word shingles of lower-cased words; copies counts the documents with the same words, links the other
-    documents on verified links (copies count; two members of a huge group whose class other links show may go uncompared). Texts without words
-    (null, empty, blank) link to nothing. Repeated ids fold: an id has the class of all its texts."""
+    documents on verified links (copies count). Without count_links, two members of a huge group whose class other links
+    show may go uncompared, so links is then too small there; class_id is the same. Texts without words (null, empty,
+    blank) link to nothing. Repeated ids fold: an id has the class of all its texts."""
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("cp_id"), "text")
     key = F.concat_ws(".", F.xxhash64("cp_words").cast("string"), F.xxhash64(F.lit(1), "cp_words").cast("string"))
     hashed = texts.select("cp_id", word_hashes()).select("cp_id", F.when(F.size("cp_words") > 0, key).alias("cp_key"), "cp_words")
@@ -323,8 +364,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall
             classes = components(links)
     copies = folded.select("cp_id", "cp_copies")
     ends = links.unionByName(links.select(F.col("cp_b").alias("cp_a"), F.col("cp_a").alias("cp_b")))
-    n_links = ends.join(copies, ends.cp_b == copies.cp_id).groupBy("cp_a").agg(F.sum("cp_copies").alias("cp_links"))
-    per_text = folded.join(classes, "cp_id", "left").join(n_links.withColumnRenamed("cp_a", "cp_id"), "cp_id", "left")
+    n_links = ends.join(copies, ends.cp_b == copies.cp_id).groupBy("cp_a").agg(F.sum("cp_copies").alias("cp_links")).withColumnRenamed("cp_a", "cp_id")
+    if huge is not None and count_links:
+        counted = staged(counted_links(huge, texts, classes, copies, threshold), "op2-counts")
+        n_links = n_links.join(counted, "cp_id", "left_anti").unionByName(counted)
+    per_text = folded.join(classes, "cp_id", "left").join(n_links, "cp_id", "left")
     out = members.select(F.col("cp_id").alias("doc_id"), "cp_key").join(per_text, "cp_key", "left").select(
         "doc_id",
         F.coalesce("cp_class", "cp_id", "doc_id").alias("class_id"),
@@ -336,7 +380,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents whose class holds a smaller doc_id; rows without an id stay."""
-    classes = near_duplicates(docs, **options).filter("doc_id <> class_id").select("doc_id")
+    classes = near_duplicates(docs, count_links=False, **options).filter("doc_id <> class_id").select("doc_id")
     return docs.join(classes, "doc_id", "left_anti").select(docs.columns)
 
 
