@@ -139,6 +139,19 @@ def test_join_counts_all_links_of_a_large_near_copy_group(spark):
     assert min(want.values()) > 200 and got == want
 
 
+def test_join_finds_pairs_of_short_texts(spark):
+    rng = random.Random(8)
+    many = []
+    for k in range(500):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(8, 50))]
+        near = [*text, "more"] if k % 2 else [*text[1:-1], "end"]
+        many += [" ".join(text), " ".join(near)]
+    sets = [five_grams(t) for t in many]
+    want = {i: int(len(s & sets[i ^ 1]) >= 0.8 * len(s | sets[i ^ 1])) for i, s in enumerate(sets)}
+    got = {r.doc_id: r.links for r in chosen_path_join.near_duplicates(docs_of(spark, many)).collect()}
+    assert sum(want.values()) > 600 and got == want
+
+
 def test_packing_places_every_piece_once(spark, texts):
     docs = docs_of(spark, texts)
     got = complement_packing.pack_documents(docs).toPandas()
