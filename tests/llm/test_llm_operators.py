@@ -340,6 +340,51 @@ def test_licence_rules(spark):
     assert all(re.search(licence_sentences.CUE, s) for s in licence_sentences.SENTENCES.values())
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GNU = """This {what} is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU {kind} as published by
+the Free Software Foundation{comma} either version {version} of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {kind} for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
+def test_licence_headers_as_published(spark):
+    """Public headers, wrapped as usual, plain and behind comment marks."""
+    headers = [
+        (APACHE, "Apache-2.0"), (MPL, "MPL-2.0"), ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "Apache-2.0"),
+        (GNU.format(what="program", mark=":", comma=",", kind="General Public License", version=3), "GPL-3.0"), (GNU.format(what="program", mark=";", comma=";", kind="General Public License", version=2), "GPL-2.0"),
+        (GNU.format(what="library", mark=";", comma=";", kind="Lesser General Public License", version="2.1"), "LGPL-2.1"), (GNU.format(what="library", mark=":", comma=",", kind="Lesser General Public License", version=3), "LGPL-3.0"),
+        (GNU.format(what="program", mark=":", comma=",", kind="Affero General Public License", version=3), "AGPL-3.0"),
+    ]
+    many, want = [], []
+    for text, name in headers:
+        for before in ("", "# ", "// ", " * ", "REM ", "dnl "):
+            many.append("first line\n" + "\n".join((before + line).rstrip() for line in text.split("\n")) + "\nlast line")
+            want.append([name])
+    many += ["It is compatible with the Apache License, version 2.0, in our view.", "This is not licensed under the MIT license.", "The MIT License (MIT)\n\nCopyright"]
+    want += [[], [], ["MIT"]]
+    got = {r.doc_id: r for r in licence_sentences.licences(docs_of(spark, many)).collect()}
+    assert [got[i].found for i in range(len(many))] == want
+    assert got[1].sentences == ["apache-notice", "apache-use", "apache-copy", "apache-basis"]
+
+
 def test_statistics_equal_brute_force(spark, texts):
     many = [*texts, "a b c a b c", "x\nx\n\n\nx \nx", "# $ % & | < > *", "a a a a a", "é\x0bé é"]
     got = {r.doc_id: r for r in risk_controlled_rules.statistics(docs_of(spark, many)).collect()}

@@ -1,7 +1,8 @@
 """Licence scan by sentence rules. DataFrame functions only.
 
-Sentences are normalised (lower case, runs of other characters than letters and digits become one space) and mapped to
-identifiers of known licence sentences. Rules name a licence and the identifiers that must follow each other, others may
+Texts are normalised (lower case, runs of other characters than letters and digits become one space, so that line breaks
+and comment marks go) and known licence sentences are found in them wherever they stand, the longest first; titles count
+only where a line or sentence begins and ends. Rules name a licence and the identifiers that must follow each other, others may
 stand between; they are tried in order and a match uses its identifiers up, so a longer licence goes before one that is
 part of it.
 """
@@ -60,22 +61,40 @@ RULES = [
     ("MPL-2.0", ("mpl-notice",)), ("CC-BY-NC-4.0", ("cc-by-nc",)), ("CC-BY-NC-4.0", ("cc-by-nc-long",)), ("CC-BY-SA-4.0", ("cc-by-sa",)), ("CC-BY-SA-4.0", ("cc-by-sa-long",)),
     ("CC-BY-4.0", ("cc-by",)), ("CC-BY-4.0", ("cc-by-long",)), ("CC0-1.0", ("cc0",)), ("Unlicense", ("unlicense",)), ("BSL-1.0", ("boost",)),
 ]
+# The same for the search in texts; the SQL form has the ones above only.
+FURTHER = {
+    "apache-title-date": "apache license version 2 0 january 2004",
+    "apache-copy-https": "you may obtain a copy of the license at https www apache org licenses license 2 0",
+    "gpl2-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license",
+    "lgpl2-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl3-free-2": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+}
+FURTHER_RULES = [
+    ("Apache-2.0", ("apache-title-date",)), ("Apache-2.0", ("apache-use", "apache-copy", "apache-basis")), ("Apache-2.0", ("apache-copy-https",)), ("GPL-2.0", ("gpl2-only",)),
+    ("LGPL-2.0", ("lgpl2-free",)), ("LGPL-3.0", ("lgpl3-free",)), ("LGPL-3.0", ("lgpl3-free-2",)), ("AGPL-3.0", ("agpl-free",)),
+]
+#: Short enough to be part of other prose ("compatible with the Apache License, version 2.0").
+TITLES = ("apache-title", "mit-title")
 #: Every known sentence has one of these, so other texts need no splitting; and where sentences end.
 CUE, SENTENCE_END = "licen|permi|redistrib|warrant|public domain|provided", r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n"
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
+def _search() -> str:
+    """Matches a known sentence in a stream of words with | where a line or sentence ends."""
+    known = sorted(((v, k) for k, v in (SENTENCES | FURTHER).items()), key=lambda x: -len(x[0]))
+    words = [v.replace(" ", r" (?:\| )?") for v, _ in known]
+    return r"(?<= )(?<! (?:not|nor|never) )(?:" + "|".join(rf"(?<=\| ){w}(?= \|)" if k in TITLES else w for w, (_, k) in zip(words, known, strict=True)) + ")(?= )"
 
 
-def _known(parts: Column) -> Column:
-    """Identifiers of the known sentences among parts, in order."""
-    texts = list(SENTENCES.values())
-    longest = max(map(len, texts)) * 2
-    likely = F.filter(parts, lambda s: (F.length(s) <= longest) & s.rlike(CUE))
-    found = F.filter(F.transform(likely, _normal), lambda s: s.isin(texts))
-    names = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    return F.transform(found, lambda s: names[s])
+def _known(lower: Column) -> Column:
+    """Identifiers of the known sentences in a lower-case text, in order."""
+    bare = F.regexp_replace(lower, r"(?m)^[ \t]*(?:dnl|rem)(?=[ \t])", "")
+    stream = F.concat(F.lit("|"), F.regexp_replace(bare, rf"{SENTENCE_END}|\n", "|"), F.lit("|"))
+    stream = F.regexp_replace(F.regexp_replace(stream, "[^a-z0-9|]+", " "), r" ?\|[ |]*", " | ")
+    names = F.create_map(*[F.lit(x) for k, v in (SENTENCES | FURTHER).items() for x in (v, k)])
+    return F.transform(F.regexp_extract_all(stream, F.lit(_search()), F.lit(0)), lambda s: names[F.replace(s, F.lit(" |"), F.lit(""))])
 
 
 def pattern(identifiers: tuple[str, ...]) -> str:
@@ -84,16 +103,13 @@ def pattern(identifiers: tuple[str, ...]) -> str:
 
 
 def licences(docs: DataFrame) -> DataFrame:
-    """(doc_id, sentences, found) of docs (doc_id, text), a row a row: identifiers met, in order (sentences over line
-    ends first, then those that only whole lines show), and licences in the order of RULES, each once. Null, empty and
+    """(doc_id, sentences, found) of docs (doc_id, text), a row a row: identifiers met, in order,
+    and licences in the order of RULES and FURTHER_RULES, each once. Null, empty and
     other texts without a known sentence have empty arrays."""
     lower = docs.select("doc_id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("li_text"))
     none = F.array().cast("array<string>")
-    flowing, lines = _known(F.split("li_text", SENTENCE_END, -1)), _known(F.split("li_text", "\n", -1))
-    split = lower.select("doc_id", F.when(F.col("li_text").rlike(CUE), F.struct(flowing.alias("a"), lines.alias("b"))).alias("li")).select(
-        "doc_id", F.coalesce(F.concat("li.a", F.filter("li.b", lambda s: ~F.array_contains("li.a", s))), none).alias("sentences")
-    )
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f",{sequence[0]},").alias("first"), F.lit(pattern(sequence)).alias("pattern")) for name, sequence in RULES])
+    split = lower.select("doc_id", F.coalesce(F.when(F.col("li_text").rlike(CUE), _known(F.col("li_text"))), none).alias("sentences"))
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f",{sequence[0]},").alias("first"), F.lit(pattern(sequence)).alias("pattern")) for name, sequence in RULES + FURTHER_RULES])
     start = F.struct(F.array_join(F.transform("sentences", lambda s: F.concat(F.lit(","), s, F.lit(","))), "").alias("left"), none.alias("found"))
 
     def applied(acc: Column, rule: Column) -> Column:
@@ -109,7 +125,7 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same scan for DuckDB; the fold over the rules is written out as nested steps."""
+    """The scan for DuckDB, of whole sentences and lines only (equal on texts whose notices are such); the fold over the rules is written out as nested steps."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(quote(v) for v in SENTENCES.values())
     names = f"map([{known}], [{', '.join(quote(k) for k in SENTENCES)}])"
