@@ -332,6 +332,20 @@ def test_line_templates(spark):
     assert got[4].text == "" and got[5].text is None and got[6].lt_drop == [] and got[7].lt_drop == [0, 1] and got[7].text == ""
 
 
+@pytest.mark.parametrize("n", [30, 10_000])
+def test_line_template_is_the_same_in_few_and_many_documents(spark, n):
+    word = lambda i: chr(97 + i % 20) * 2 + chr(97 + i // 20)
+    many = [f"Dear reader please greet {word(k % 200)} living near {word((k // 200 * 3 + k) % 200)} this week" for k in range(n)]
+    got = line_templates.without_recurring_lines(docs_of(spark, many)).collect()
+    assert {r.doc_id for r in got if r.lt_drop != [0]} == {0}
+
+
+def test_line_template_counts_documents(spark):
+    many = ["\n".join(["Dear reader please greet anna this week"] * 3)] + [f"Dear reader please greet {n} this week" for n in ("bob", "carla", "dora")]
+    got = {r.doc_id: r.lt_drop for r in line_templates.without_recurring_lines(docs_of(spark, many)).collect()}
+    assert got == {0: [1, 2], 1: [0], 2: [0], 3: [0]}
+
+
 def test_licence_rules(spark):
     bsd = [licence_sentences.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-as-is")]
     many = [". ".join(bsd) + ".", ". ".join(bsd[:3]) + ".", "Released under the MIT License.", "x.\nLicensed under the Apache\nLicense, Version 2.0. More", "no such thing", "", None, "text\nLicensed under CC BY-NC 4.0.\ntext"]

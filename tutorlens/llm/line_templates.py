@@ -2,7 +2,9 @@
 
 A line's words with digits, addresses or links are variable from the start. The tree has a fixed depth: the number of
 words, then the first LEADING words; a leaf holds the lines that agree on these. Within a leaf a word is constant at its
-place if MIN_DOCS documents have it there, every other word is a variable field, and lines with the same constants are
+place if MIN_DOCS documents have it there and they are at least LEAST_SHARE of those that have the line's common words:
+the number of documents that LEAST_CONSTANT of the line's words reach. So the same template has the same constants in
+few documents and in many, also beside larger templates in its leaf. Every other word is a variable field, and lines with the same constants are
 of one template. A template that MIN_DOCS documents share is dropped everywhere but at its first place (smallest doc_id,
 then line), so copies of a document lose their lines and one stays whole. Lines with few constants (below LEAST_CONSTANT)
 are not generalised, and lines shorter than the tree is deep are left alone.
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-LEADING, MIN_DOCS, LEAST_CONSTANT = 3, 3, 0.6
+LEADING, MIN_DOCS, LEAST_CONSTANT, LEAST_SHARE = 3, 3, 0.6, 0.5
 VARIABLE = "<*>"
 
 
@@ -60,16 +62,20 @@ def templates(docs: DataFrame, keys: DataFrame) -> DataFrame:
     leaves = _documents(others, "lt_leaf").select("lt_leaf")
     # leaves with one key left cannot be generalised further than that key
     wide = others.join(leaves, "lt_leaf", "left_semi").groupBy("lt_leaf").agg(F.min("lt_key").alias("a"), F.max("lt_key").alias("b")).filter("a <> b").select("lt_leaf")
-    texts = _lines(docs).select("lt_leaf", "lt_key", "lt_masked").join(staged(wide, "op8-leaves"), "lt_leaf", "left_semi").join(exact, "lt_key", "left_anti")
-    distinct = staged(texts.groupBy("lt_leaf", "lt_key").agg(F.first("lt_masked").alias("lt_masked"), F.count("*").alias("lt_rows")), "op8-texts")
+    texts = _lines(docs).select("lt_leaf", "lt_key", "lt_masked", "lt_row").join(staged(wide, "op8-leaves"), "lt_leaf", "left_semi").join(exact, "lt_key", "left_anti")
+    distinct = staged(texts.groupBy("lt_leaf", "lt_key").agg(F.first("lt_masked").alias("lt_masked"), F.collect_set("lt_row").alias("lt_rows")), "op8-texts")
     tokens = distinct.select("lt_leaf", "lt_key", "lt_rows", F.posexplode(F.split("lt_masked", " ", -1)).alias("lt_place", "lt_word"))
-    constant = tokens.groupBy("lt_leaf", "lt_place", "lt_word").agg(F.sum("lt_rows").alias("seen")).filter((F.col("seen") >= MIN_DOCS) & (F.col("lt_word") != VARIABLE)).drop("seen").withColumn("fixed", F.lit(True))
-    marked = tokens.join(constant, ["lt_leaf", "lt_place", "lt_word"], "left")
-    word = F.struct("lt_place", F.when(F.col("fixed"), F.col("lt_word")).otherwise(F.lit(VARIABLE)).alias("word"))
+    # texts left here stand in fewer than MIN_DOCS documents each; a document counts once, however many lines have the word
+    once = tokens.filter(F.col("lt_word") != VARIABLE).select("lt_leaf", "lt_place", "lt_word", F.explode("lt_rows").alias("lt_row")).distinct()
+    constant = once.groupBy("lt_leaf", "lt_place", "lt_word").agg(F.count("*").alias("seen")).filter(F.col("seen") >= MIN_DOCS)
+    marked = tokens.drop("lt_rows").join(constant, ["lt_leaf", "lt_place", "lt_word"], "left")
+    word = F.struct("lt_place", F.col("lt_word").alias("word"), F.coalesce("seen", F.lit(0)).alias("seen"))
+    common = F.element_at(F.sort_array("words.seen", False), F.ceil(LEAST_CONSTANT * F.size("words")).cast("int"))
+    fields = F.transform("words", lambda w: F.when((w["seen"] > 0) & (w["seen"] >= LEAST_SHARE * F.col("common")), w["word"]).otherwise(F.lit(VARIABLE)))
     general = (
-        marked.groupBy("lt_leaf", "lt_key").agg(F.sort_array(F.collect_list(word)).alias("words"), F.count("fixed").alias("fixed"))
-        .filter(F.col("fixed") >= LEAST_CONSTANT * F.size("words"))
-        .select("lt_key", F.unhex(F.md5(F.concat_ws(" ", F.col("lt_leaf").cast("string"), F.array_join("words.word", " ")))).alias("lt_template"))
+        marked.groupBy("lt_leaf", "lt_key").agg(F.sort_array(F.collect_list(word)).alias("words"))
+        .withColumn("common", common).filter("common > 0")
+        .select("lt_key", F.unhex(F.md5(F.concat_ws(" ", F.col("lt_leaf").cast("string"), F.array_join(fields, " ")))).alias("lt_template"))
     )
     general = staged(general, "op8-general")
     recurring = _documents(others.join(general, "lt_key"), "lt_template").select("lt_template")
