@@ -346,6 +346,13 @@ def test_line_template_counts_documents(spark):
     assert got == {0: [1, 2], 1: [0], 2: [0], 3: [0]}
 
 
+def test_short_recurring_lines(spark):
+    lines = ["All rights reserved.", "Read more", "Privacy policy", "Page {} of", "call {}", "1 2", "end"]
+    many = ["\n".join([f"{'abcd'[i] * 3} stands in this text alone", *(x.format(i) for x in lines)]) for i in range(4)]
+    got = {r.doc_id: r.lt_drop for r in line_templates.without_recurring_lines(docs_of(spark, many)).collect()}
+    assert got == {0: [], 1: [1, 2, 3, 4], 2: [1, 2, 3, 4], 3: [1, 2, 3, 4]}
+
+
 def test_licence_rules(spark):
     bsd = [licence_sentences.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-as-is")]
     many = [". ".join(bsd) + ".", ". ".join(bsd[:3]) + ".", "Released under the MIT License.", "x.\nLicensed under the Apache\nLicense, Version 2.0. More", "no such thing", "", None, "text\nLicensed under CC BY-NC 4.0.\ntext"]

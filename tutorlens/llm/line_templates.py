@@ -7,7 +7,8 @@ the number of documents that LEAST_CONSTANT of the line's words reach. So the sa
 few documents and in many, also beside larger templates in its leaf. Every other word is a variable field, and lines with the same constants are
 of one template. A template that MIN_DOCS documents share is dropped everywhere but at its first place (smallest doc_id,
 then line), so copies of a document lose their lines and one stays whole. Lines with few constants (below LEAST_CONSTANT)
-are not generalised, and lines shorter than the tree is deep are left alone.
+are not generalised. Lines of two words up to LEADING are a leaf of their own, and keep their digits, addresses and links
+where these leave few constants; those without a letter and lines of one word are left alone.
 """
 
 from __future__ import annotations
@@ -24,21 +25,25 @@ VARIABLE = "<*>"
 #: A word with a digit, an at sign or a link, from its first character on.
 CHANGING = r"(?<![^ ])(?:[^ 0-9@:]|:(?!//))*+(?:[0-9@]|://)[^ ]*"
 
+#: Lines of at most LEADING words; those whose masked form has fewer constants than LEAST_CONSTANT.
+SHORT, SHORT_VARIABLE = r"^[^ ]*(?: [^ ]*){0,2}$", r"^(?:[^ ]+ )?<\*>$|^<\*> [^ ]+$|^<\*> <\*> [^ ]+$|^<\*> [^ ]+ <\*>$|^[^ ]+ <\*> <\*>$"
+
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(lt_doc, lt_row, lt_pos, lt_masked, lt_leaf, lt_key) of lines that are as long as the tree is deep. What needs a
+    """(lt_doc, lt_row, lt_pos, lt_masked, lt_leaf, lt_key) of lines of two words or more. What needs a
     pattern is done inside the generator, once a line."""
     text = F.coalesce(F.col("text"), F.lit(""))
     odd = text.contains("  ") | text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
     spaced = F.when(odd, F.regexp_replace(text, r"[\x20\t\x0B\f\r]+", " ")).otherwise(text)
+    mask = lambda x: F.regexp_replace(x, CHANGING, VARIABLE)
     masked = F.transform(
         F.transform(F.split(spaced, "\n", -1), lambda x: F.trim(x)),
-        lambda x: F.when(x.rlike("[0-9@]|://"), F.regexp_replace(x, CHANGING, VARIABLE)).otherwise(x),
+        lambda x: F.when(~x.rlike("[0-9@]|://"), x).when(x.rlike(SHORT) & mask(x).rlike(SHORT_VARIABLE), x).otherwise(mask(x)),
     )
     read = docs.select("doc_id", "text").select(F.col("doc_id").alias("lt_doc"), row_key().alias("lt_row"), F.posexplode(masked).alias("lt_pos", "lt_masked"))
     start = F.substring_index("lt_masked", " ", LEADING)
     n_spaces = F.length("lt_masked") - F.length(F.replace("lt_masked", F.lit(" "), F.lit("")))
-    return read.filter(start != F.col("lt_masked")).select(
+    return read.filter((start != F.col("lt_masked")) | (F.col("lt_masked").contains(" ") & F.col("lt_masked").rlike(r"\p{L}"))).select(
         "lt_doc", "lt_row", "lt_pos", "lt_masked", F.xxhash64(n_spaces, start).alias("lt_leaf"), F.unhex(F.md5("lt_masked")).alias("lt_key")
     )
 
