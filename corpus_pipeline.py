@@ -10,11 +10,8 @@ from tutorlens.llm.common import staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. It learns from the labelled documents of docs."""
-    model = quality_rules_ensemble.fit(docs, table(spark, sf_dir, "labels"))
-    judged = quality_rules_ensemble.with_statistics(docs.select("doc_id", "text")).select("doc_id", model.score().alias("cp_score"))
-    rejected = judged.filter(F.col("cp_score") < quality_rules_ensemble.CUTOFF).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the quality classifier accepts, row by row. It learns from the labelled documents of docs."""
+    return quality_rules_ensemble.accepted(docs, quality_rules_ensemble.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
