@@ -26,7 +26,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table, words
@@ -281,7 +281,6 @@ def candidates(sketches: DataFrame, runs: int) -> tuple[DataFrame, DataFrame | N
     found, huge = [], None
     bits, sketches = sketches.select("cp_id", "cp_bits"), sketches.select("cp_id", "cp_sketch")
     for depth in range(len(BRANCHES) + 1):
-        level = staged(level, f"op2-level{depth}")
         counts = level.groupBy("key").agg(F.count("*").alias("cp_n")).filter("cp_n > 1")
         sized = staged(level.join(counts, "key"), f"op2-groups{depth}")
         # a group holds LEAF sets at most here
@@ -315,15 +314,15 @@ def components(edges: DataFrame) -> DataFrame:
     minimum of the neighbours' labels and label halving; the work of a round follows the number of edges."""
     both = staged(edges.select("cp_a", "cp_b").unionByName(edges.select(F.col("cp_b").alias("cp_a"), F.col("cp_a").alias("cp_b"))), "op2-edges")
     labels = staged(both.groupBy("cp_a").agg(F.least(F.min("cp_b"), F.first("cp_a")).alias("cp_class")).withColumnRenamed("cp_a", "cp_id"), "op2-labels")
-    for _ in range(60):
+    while True:  # every round lets a label pass one edge and one jump at least, so it ends
         near = both.join(labels, both.cp_b == labels.cp_id).groupBy("cp_a").agg(F.min("cp_class").alias("near"))
         better = labels.join(near, labels.cp_id == near.cp_a).select("cp_id", F.least("cp_class", "near").alias("cp_class"), F.col("cp_class").alias("was"))
         jump = labels.select(F.col("cp_id").alias("j"), F.col("cp_class").alias("jumped"))
-        new = staged(better.join(jump, better.cp_class == jump.j, "left").select("cp_id", F.least("cp_class", "jumped").alias("cp_class"), "was"), "op2-labels")
-        if new.filter("cp_class <> was").isEmpty():
-            return new.select("cp_id", "cp_class")
-        labels = new.select("cp_id", "cp_class")
-    raise RuntimeError("components did not settle")
+        new = better.join(jump, better.cp_class == jump.j, "left").select("cp_id", F.least("cp_class", "jumped").alias("cp_class"), "was")
+        changes = Observation()
+        labels = staged(new.observe(changes, F.count_if(F.expr("cp_class <> was")).alias("n")).select("cp_id", "cp_class"), "op2-labels")
+        if not changes.get["n"]:
+            return labels
 
 
 @contextmanager
@@ -344,11 +343,9 @@ def word_hashes() -> Column:
 
 def shingle_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """(cp_id, cp_set) of the texts (cp_id, text) whose id is in ids (cp_id)."""
-    wanted = staged(ids, "op2-wanted")
     # few texts are wanted: Spark's Bloom filter on the ids keeps the others out of the shuffle (it weighs filtered
-    # sides only, hence the range condition, which holds for every id)
-    least, most = wanted.agg(F.min("cp_id"), F.max("cp_id")).first()
-    picked = wanted.filter(F.col("cp_id").between(least, most)) if least is not None else wanted
+    # sides only, hence the condition, which holds for every id)
+    picked = ids.filter(F.col("cp_id") >= F.lit(-(2**63)))
     with bloom_filters(texts.sparkSession):
         return staged(texts.join(picked, "cp_id", "left_semi").select("cp_id", word_hashes()).mapInArrow(_sets, "cp_id long, cp_set array<long>"), "op2-sets")
 
@@ -400,10 +397,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents whose class holds a smaller doc_id; rows without an id stay."""
-    classes = near_duplicates(docs, count_links=False, **options).filter("doc_id <> class_id").select("doc_id")
-    return docs.join(classes, "doc_id", "left_anti").select(docs.columns)
+    """docs without the documents whose class holds a smaller doc_id; rows without an id stay. Rows equal in id and text
+    are copies too: one of them stays. Rows that share an id but not the text are one document and fare alike."""
+    others = near_duplicates(docs, count_links=False, **options).filter("doc_id <> class_id").select("doc_id")
+    out = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    again = staged(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "op2-again")
+    if again.isEmpty():
+        return out
+    once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, class_id, copies, links), one row a document with an id. Texts without words (null, empty, blank) are
+    classes of their own without links; texts of fewer than five words are one shingle; repeated ids fold; an empty table
+    gives no rows. See near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"))
