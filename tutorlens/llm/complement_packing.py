@@ -3,13 +3,14 @@
 Token lengths have at most CAPACITY different values, so the packing is planned on their counts: a table that does not
 grow with the input. For each length, from the longest, single, pair and triple sums of the lengths still available are
 looked up for the exact gap and used as often as the counts allow; what is left is packed best-fit decreasing, again on
-counts. The plan is a list of patterns (lengths of one sequence) with the sequences that each one fills. Every piece
+counts. Singles are always used; how many of the pairs and triples is chosen by the sequences that the plan needs. The plan is a list of patterns (lengths of one sequence) with the sequences that each one fills. Every piece
 then finds its sequence from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -23,16 +24,20 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 CAPACITY, END_ID = 1024, 2
-#: Shares that the pieces of one length are dealt to, so that no length is ranked in one task.
-SHARES = 64
+#: Pieces of one length that a task ranks at most, about.
+PER_SHARE = 250_000
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+#: Runs of blanks or of other characters from which on a text goes to the tokenizer itself: the ranks' matcher recurses
+#: on them, and its merging takes the square of a run.
+LONG_RUN = re.compile(r"\s{2000}|\S{2000}")
 
 _encoders: dict = {}
 
 
 def _encoder(vocabulary: str, ranks: str):
     """text -> ids of the tokenizer file, without special tokens added. The ranks file holds the same vocabulary and
-    gives the same ids several times faster; texts that spell a special token go to the tokenizer itself."""
+    gives the same ids several times faster; texts that spell a special token or hold a very long run, and texts that
+    the ranks fail on, go to the tokenizer itself."""
     if (vocabulary, ranks) not in _encoders:
         import public_tokenizers
         import tiktoken
@@ -43,7 +48,13 @@ def _encoder(vocabulary: str, ranks: str):
         with open(public_tokenizers.path(ranks), "rb") as lines:
             table_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_of, special_tokens={})
-        _encoders[vocabulary, ranks] = lambda text: slow.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text)
+
+        def encode(text: str) -> list[int]:
+            if not any(s in text for s in special) and not LONG_RUN.search(text):
+                return fast.encode_ordinary(text)
+            return slow.encode(text, add_special_tokens=False).ids
+
+        _encoders[vocabulary, ranks] = encode
     return _encoders[vocabulary, ranks]
 
 
@@ -67,14 +78,19 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of one sequence, sequences)] that uses every counted length up; sums are at most capacity. Exact
-    fillings of up to three, two, one and no members are tried on the counts, and the plan with the fewest sequences is
-    taken: where few lengths are left to choose from, long exact fillings use up pieces that best fit places better."""
-    return min((_plan(counts, capacity, members) for members in (3, 2, 1, 0)), key=lambda p: sum(times for _, times in p))
+    """[(lengths of one sequence, sequences)] that uses every counted length up; sums are at most capacity. Every plan
+    begins with exact fillings: of singles, of singles and pairs, and up to triples. Pairs and triples use up small
+    pieces that best fit may place better, so they are tried for the lengths from each of several floors on, and the
+    plan with the fewest sequences is taken, of equal ones that with the most exact fillings tried."""
+    tries = [(members, floor) for members in (3, 2) for floor in (0, capacity // 2, capacity * 3 // 4, capacity * 7 // 8)] + [(1, 0)]
+    return min((_plan(counts, capacity, *t) for t in tries), key=lambda p: sum(times for _, times in p))
 
 
-def _plan(counts: dict[int, int], capacity: int, members: int) -> list[tuple[tuple[int, ...], int]]:
+def _plan(counts: dict[int, int], capacity: int, members: int, floor: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact fillings with up to `members` others beside lengths of at least floor (singles beside all), then best fit."""
     left = Counter({k: v for k, v in counts.items() if v > 0})
+    have = np.zeros(capacity + 1, bool)
+    have[list(left)] = True
     out: list[tuple[tuple[int, ...], int]] = []
 
     def use(lengths: tuple[int, ...]) -> bool:
@@ -86,34 +102,29 @@ def _plan(counts: dict[int, int], capacity: int, members: int) -> list[tuple[tup
                 left[k] -= n * times
                 if not left[k]:
                     del left[k]
+                    have[k] = False
         return times > 0
 
-    def exact(length: int, gap: int) -> list[tuple[int, ...]]:
-        """A single, pairs or triples of available lengths that fill the gap beside length, longest members first."""
-        if members and left.get(gap, 0) > (gap == length):
-            return [(gap,)]
-        if members < 2:
-            return []
-        have = np.zeros(capacity + 1, bool)
-        have[[k for k in left if k <= length]] = True
-        a = np.flatnonzero(have[: gap + 1])
-        pair = a[have[gap - a] & (a * 2 >= gap)]
-        if len(pair):
-            return [(int(x), int(gap - x)) for x in pair[::-1]]
-        found = []
-        for x in a[a * 3 >= gap][::-1] if members > 2 else ():
-            b = a[(a <= x) & (a <= gap - x)]
-            b = b[have[gap - x - b] & (b * 2 >= gap - x) & (gap - x - b <= b)]
-            found += [(int(x), int(y), int(gap - x - y)) for y in b[::-1]]
-            if len(found) > 64:
-                break
-        return found
+    def exact(length: int, gap: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of the gap beside length by available lengths: the single one, then pairs, then triples, longest
+        members first; all of them, as far as the caller reads."""
+        yield (gap,)
+        a = np.flatnonzero(have[: min(gap, length) + 1])
+        if members >= 2 and length >= floor:
+            for x in a[have[gap - a] & (a * 2 >= gap)][::-1].tolist():
+                yield x, gap - x
+        if members >= 3 and length >= floor:
+            for x in a[a * 3 >= gap][::-1].tolist():
+                b = a[(a <= x) & (a <= gap - x)]
+                for y in b[have[gap - x - b] & (b * 2 >= gap - x)][::-1].tolist():
+                    yield x, y, gap - x - y
 
     if capacity in left:
         use((capacity,))
     for length in sorted(left, reverse=True):
-        while left[length]:
-            if not any(use((length, *o)) for o in exact(length, capacity - length)):
+        for others in exact(length, capacity - length):
+            use((length, *others))
+            if not left[length]:
                 break
     while left:
         longest = max(left)
@@ -128,20 +139,25 @@ def _plan(counts: dict[int, int], capacity: int, members: int) -> list[tuple[tup
     return out
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, shares: int = SHARES) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, per_share: int = PER_SHARE) -> DataFrame:
     """cut (with doc_id, piece, length; it must give the same rows when read again) with sequence_id and offset. Pieces
-    of a length are alike to the plan, so ties need no order; equal rows get places of their own."""
-    share = F.pmod(F.xxhash64("doc_id", "piece", F.lit(5)), F.lit(shares))
-    ranked = cut.withColumn("pk_share", share).withColumn(
-        "pk_rank", F.row_number().over(Window.partitionBy("length", "pk_share").orderBy("doc_id", "piece"))
-    )
-    # capacity x shares rows at most, whatever the input
-    sizes = [tuple(r) for r in cut.groupBy("length", share.alias("pk_share")).agg(F.count("*").alias("n")).collect()]
-    counts: Counter = Counter()
+    of a length are alike to the plan, so ties need no order; equal rows get places of their own. The pieces of a length
+    are dealt to as many shares as they need, and a share is ranked in one task."""
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    shares = {k: -(-n // per_share) for k, n in counts.items()}
+    if max(shares.values(), default=1) > 1:
+        dealt = F.element_at(F.create_map(*[F.lit(x).cast("long") for k, n in shares.items() if n > 1 for x in (k, n)]), F.col("length"))
+    else:
+        dealt = F.lit(None).cast("long")
+    share = F.pmod(F.xxhash64("doc_id", "piece", F.lit(5)), F.coalesce(dealt, F.lit(1))).alias("pk_share")
+    ranked = cut.select("*", share).withColumn("pk_rank", F.row_number().over(Window.partitionBy("length", "pk_share").orderBy("doc_id", "piece")))
+    # capacity rows and one more for every per_share pieces
+    sizes = [tuple(r) for r in cut.groupBy("length", share).agg(F.count("*").alias("n")).collect()]
+    total: Counter = Counter()
     before = {}
     for length, part, n in sorted(sizes):
-        before[length, part] = counts[length]
-        counts[length] += n
+        before[length, part] = total[length]
+        total[length] += n
     base, total = {k: ([], []) for k in counts}, Counter()
     sequence = 0
     for lengths, times in plan(counts, capacity):
@@ -176,4 +192,6 @@ def pack_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places. A null or empty text is one piece of the end id; rows that share an
+    id are packed each; the ids of very long runs come from the tokenizer itself; an empty table gives no rows."""
     return pack_documents(table(spark, sf_dir, "documents"))
