@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling. DataFrame functions only.
 
 A source's target is its share of the budget by weight, held to MOST_COPIES times its size, the excess being reshared
-(water filling in closed form over the table of sources). A document's expected copies are target / source size: the
-whole part is taken for certain, the rest is an inclusion probability. Documents of a source are ranked by the odds of a
-random number over the odds of that probability, and taken in that order up to the words still missing.
+(water filling in closed form over the table of sources). The whole part of target / source size is the copies of each
+document that are certain; the words still missing are drawn. A document's inclusion probability grows with its size (of
+w words as w / (w + HALF), so that fragments come seldom and long documents do not crowd out others), scaled so that the
+expected words are those missing. Documents of a source are ranked by the odds of a random number over the odds of that
+probability, and taken in that order up to the words still missing.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import coin, table
+from .common import coin, staged, table
 
 BUDGET, MOST_COPIES, SEED = 1.5, 2, 7
 WEIGHTS = (3, 1, 2)
+#: Words at which a document is half as likely to be drawn as the longest ones, and the largest inclusion probability.
+HALF, MOST_LIKELY = 100, 0.99
 #: Slices of the ranking of a source: sums go slice by slice first, so only one slice is ever ordered in a task.
 SLICES = 4096
 
@@ -54,19 +58,21 @@ def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES, seed:
     """(doc_id, source, size, source_size, target, copies, taken): one row a row of docs (doc_id, source, text). A null
     text has size 0; null sources are one source, last; a source without words has target 0. A document is taken whole,
     `copies` times (at most `most`), so a source ends within half a document of its target. Repeated rows draw the same
-    random number and stand side by side in the ranking."""
+    random number and stand side by side in the ranking, so of equal rows only the first may have one copy more."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", weight_in_turn())
-    goal = targets(per_source, budget, most).withColumnRenamed("source", "mx_source")
+    lean = F.expr(f"size * 1000 div (size + {HALF})")  # whole numbers, so that sums do not depend on their order
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(lean * F.col("size")).alias("mx_lean")).withColumn("weight", weight_in_turn())
+    goal = targets(per_source, budget, most).join(per_source.select(F.col("source").alias("mx_source"), "mx_lean"), F.col("source").eqNullSafe(F.col("mx_source"))).drop("source")
     # one row a source: Spark broadcasts it where it is small and joins by shuffle otherwise
     drawn = sized.join(goal, F.col("source").eqNullSafe(F.col("mx_source"))).drop("mx_source", "weight")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = coin(seed, F.col("doc_id"))
-    odds = (u / (1 - u)) / (F.col("mx_part") / (1 - F.col("mx_part")))
+    part = F.when(F.col("mx_lean") > 0, F.least(F.lit(MOST_LIKELY), (rate - F.floor(rate)) * (lean * F.col("source_size") / F.col("mx_lean")))).otherwise(F.lit(0.0))
+    odds = (F.col("mx_u") / (1 - F.col("mx_u"))) / (F.col("mx_part") / (1 - F.col("mx_part")))
     ranked = (
-        drawn.withColumn("mx_sure", F.floor(rate)).withColumn("mx_part", rate - F.floor(rate))
-        .withColumn("mx_u", u).withColumn("mx_odds", F.when(F.col("mx_part") > 0, odds))
-        .withColumn("mx_slice", F.floor(u * slices))  # odds rise with u within a source
+        drawn.withColumn("mx_sure", F.floor(rate)).withColumn("mx_part", part).withColumn("mx_u", u)
+        .withColumn("mx_odds", F.when(F.col("mx_part") > 0, odds))
+        .withColumn("mx_slice", F.floor(F.col("mx_odds") / (1 + F.col("mx_odds")) * slices))  # rises with the odds
         .withColumn("mx_left", F.col("target") - F.col("mx_sure") * F.col("source_size"))
     )
     per_slice = ranked.filter("mx_part > 0").groupBy("source", "mx_slice").agg(F.sum("size").alias("mx_words"))
@@ -84,14 +90,25 @@ def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES, seed:
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """docs in the mix: every row as many times as mix() takes it; its columns are those of docs. Rows that share id,
-    source and size share their copies."""
-    chosen = mix(docs, **options).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("mx_copies")).toDF("k_doc", "k_source", "k_size", "mx_copies")
+    """docs in the mix: every row as many times as mix() takes it; its columns are those of docs. Of rows that share id,
+    source and size, of which mix() takes some once more, any are taken once more, as many."""
+    key = ["k_doc", "k_source", "k_size"]
+    copies = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("mx_least"), F.max("copies").alias("mx_most"), F.sum("copies").alias("mx_all"), F.count("*").alias("mx_rows"))
+    chosen = staged(copies.filter("mx_most > 0").toDF(*key, "mx_least", "mx_most", "mx_all", "mx_rows"), "op7-chosen")
     same = F.col("doc_id").eqNullSafe(F.col("k_doc")) & F.col("source").eqNullSafe(F.col("k_source")) & (word_count(F.col("text")) == F.col("k_size"))
-    return docs.join(chosen, same).withColumn("mx_copies", F.explode(F.sequence(F.lit(1), F.col("mx_copies").cast("int")))).select(docs.columns)
+    joined = docs.join(chosen, same)
+    even = joined.filter("mx_least = mx_most").withColumn("mx_copies", F.col("mx_least"))
+    if not chosen.filter("mx_least < mx_most").isEmpty():
+        # one group a source at most: equal rows that the end of the ranking falls between
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
+        uneven = joined.filter("mx_least < mx_most").withColumn("mx_copies", F.col("mx_least") + (place <= F.col("mx_all") - F.col("mx_least") * F.col("mx_rows")).cast("long"))
+        even = even.unionByName(uneven.filter("mx_copies > 0"))
+    return even.withColumn("mx_copies", F.explode(F.sequence(F.lit(1), F.col("mx_copies").cast("int")))).select(docs.columns)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source, copies), a row a row of documents; odd rows as in mix(). An
+    empty table gives no rows."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
@@ -99,7 +116,7 @@ ORACLE = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
 ), per_source AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size * 1000 // (size + {HALF}) * size) AS BIGINT) AS lean,
          CAST([{", ".join(map(str, WEIGHTS))}][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} AS INT)] AS BIGINT) AS weight
   FROM sized GROUP BY source
 ), leveled AS (
@@ -109,15 +126,17 @@ WITH sized AS (
          / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY {MOST_COPIES} * source_size / CAST(weight AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level
   FROM per_source
 ), goal AS (
-  SELECT source, source_size, least(CAST({MOST_COPIES} * source_size AS DOUBLE), weight * (SELECT level FROM leveled WHERE level <= ratio ORDER BY ratio, level LIMIT 1)) AS target FROM leveled
+  SELECT source, source_size, lean, least(CAST({MOST_COPIES} * source_size AS DOUBLE), weight * (SELECT level FROM leveled WHERE level <= ratio ORDER BY ratio, level LIMIT 1)) AS target FROM leveled
 ), drawn AS (
-  SELECT s.*, g.source_size, g.target,
+  SELECT s.*, g.source_size, g.target, g.lean,
          CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate,
          (CAST(CAST('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / {float(2**48)} AS u
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
+), likely AS (
+  SELECT *, CASE WHEN lean > 0 THEN least({MOST_LIKELY}, (rate - floor(rate)) * (CAST(size * 1000 // (size + {HALF}) * source_size AS DOUBLE) / lean)) ELSE 0.0 END AS part FROM drawn
 ), ranked AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM drawn
+  SELECT *, sum(size) OVER (PARTITION BY source, part > 0 ORDER BY (u / (1 - u)) / nullif(part / (1 - part), 0), u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM likely
 )
 SELECT doc_id, size, source_size, target, source, copies, CAST(copies * size AS BIGINT) AS taken FROM (
-  SELECT *, CAST(floor(rate) + CASE WHEN rate > floor(rate) AND coalesce(upto, 0) + size / 2.0 <= target - floor(rate) * source_size THEN 1 ELSE 0 END AS BIGINT) AS copies FROM ranked)
+  SELECT *, CAST(floor(rate) + CASE WHEN part > 0 AND coalesce(upto, 0) + size / 2.0 <= target - floor(rate) * source_size THEN 1 ELSE 0 END AS BIGINT) AS copies FROM ranked)
 """
