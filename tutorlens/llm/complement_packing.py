@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of one length that a task ranks at most, about.
-PER_SHARE = 250_000
+#: Shares that all pieces are dealt to at most, and the pieces that are not worth a share of their own.
+SHARES, LEAST_SHARE = 20_000, 1_000
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Runs of blanks or of other characters from which on a text goes to the tokenizer itself: the ranks' matcher recurses
 #: on them, and its merging takes the square of a run.
@@ -139,11 +139,12 @@ def _plan(counts: dict[int, int], capacity: int, members: int, floor: int) -> li
     return out
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, per_share: int = PER_SHARE) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (with doc_id, piece, length; it must give the same rows when read again) with sequence_id and offset. Pieces
     of a length are alike to the plan, so ties need no order; equal rows get places of their own. The pieces of a length
     are dealt to as many shares as they need, and a share is ranked in one task."""
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    per_share = max(LEAST_SHARE, sum(counts.values()) // SHARES)
     shares = {k: -(-n // per_share) for k, n in counts.items()}
     if max(shares.values(), default=1) > 1:
         dealt = F.element_at(F.create_map(*[F.lit(x).cast("long") for k, n in shares.items() if n > 1 for x in (k, n)]), F.col("length"))
@@ -151,7 +152,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_share: int = PER_SHARE) -
         dealt = F.lit(None).cast("long")
     share = F.pmod(F.xxhash64("doc_id", "piece", F.lit(5)), F.coalesce(dealt, F.lit(1))).alias("pk_share")
     ranked = cut.select("*", share).withColumn("pk_rank", F.row_number().over(Window.partitionBy("length", "pk_share").orderBy("doc_id", "piece")))
-    # capacity rows and one more for every per_share pieces
+    # capacity + SHARES rows at most
     sizes = [tuple(r) for r in cut.groupBy("length", share).agg(F.count("*").alias("n")).collect()]
     total: Counter = Counter()
     before = {}
