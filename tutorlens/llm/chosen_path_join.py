@@ -281,7 +281,8 @@ def candidates(sketches: DataFrame, runs: int) -> tuple[DataFrame, DataFrame | N
     found, huge = [], None
     bits, sketches = sketches.select("cp_id", "cp_bits"), sketches.select("cp_id", "cp_sketch")
     for depth in range(len(BRANCHES) + 1):
-        counts = level.groupBy("key").agg(F.count("*").alias("cp_n")).filter("cp_n > 1")
+        # written, so that the join below reads two shuffles, of which Spark can split a group that a third of all rows have
+        counts = staged(level.groupBy("key").agg(F.count("*").alias("cp_n")).filter("cp_n > 1"), f"op2-counts{depth}")
         sized = staged(level.join(counts, "key"), f"op2-groups{depth}")
         # a group holds LEAF sets at most here
         leaves = sized.filter(F.col("cp_n") <= LEAF).join(sketches, "cp_id").groupBy("key").agg(F.collect_list(F.struct("cp_id", "cp_sketch")).alias("m"))
