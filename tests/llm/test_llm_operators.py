@@ -246,6 +246,17 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert hilbert_neighbours.neighbours(frame.limit(0), F.col("hn_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_that_tie_by_scaling_come_by_id(spark):
+    rng = np.random.default_rng(1)
+    ray = rng.normal(size=8).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(200, 8)).astype(np.float32))]
+    rows += [(i, [float(x) for x in ray * np.float32(2.0 ** (i % 7 - 3))]) for i in range(200, 240)] + [(250, [float(x) for x in ray])] + [(300, [1.0, 2.0]), (301, [2.0, 4.0])]
+    got = hilbert_neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("hn_id") % 50 == 0).toPandas()
+    of = lambda q: list(got[got.query_id == q].sort_values("rank").vec_id)
+    assert of(250) == [200, 201, 202, 203, 204] and of(200) == [201, 202, 203, 204, 205] and of(300) == [301]
+    assert got[got.query_id == 250].score.values == pytest.approx(1.0, abs=1e-12)
+
+
 def test_hilbert_key_walks_neighbouring_cells():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = hilbert_neighbours.hilbert_key(cells, 3)

@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Each curve projects the unit vectors on DIMENSIONS random directions, shifts and quantises them, and orders all vectors
-by their Hilbert key. The orderings are range-partitioned by Spark; a query looks at the window around its own place in
-every ordering, and the candidates of all windows are merged and ranked by the exact cosine of the original vectors.
-The window is a share of the ordering, picked on a bounded sample of queries against brute force.
+Each curve projects the unit vectors on DIMENSIONS orthogonal random directions, shifts and quantises them, and orders all
+vectors by their Hilbert key. The orderings are range-partitioned by Spark; a query looks at the window around its own
+place in every ordering, and the candidates of all windows are merged and ranked by the exact cosine of the original
+vectors. The window is a share of the ordering, picked on a bounded sample of queries against brute force. Vectors of one
+direction are one point, as data and as query, so a vector that a third of the rows share is compared once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-CURVES, DIMENSIONS, BITS, NEAREST = 6, 4, 8, 5
-#: Rows of an ordering that are compared at once.
-BLOCK = 2048
-#: Windows to choose from, as shares of the ordering on each side; the last one reaches every vector.
-SHARES = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 1.0)
+CURVES, DIMENSIONS, BITS, NEAREST = 16, 8, 4, 5
+#: Rows of an ordering, and queries, that are compared at once.
+BLOCK, QUERIES = 1024, 512
+#: Windows to choose from, as shares of the ordering on each side.
+SHARES = (0.002, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5)
 #: Queries (at most) on which the window is picked, and the share of their neighbours that it must find.
 PROBES, TARGET_RECALL = 48, 0.95
 
@@ -56,7 +58,9 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def _places(width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([seed, width])
-    return rng.normal(size=(CURVES, width, DIMENSIONS)), rng.random((CURVES, DIMENSIONS))
+    d = min(width, DIMENSIONS)
+    directions = [np.linalg.qr(rng.normal(size=(width, d)))[0] * np.sqrt(width) for _ in range(CURVES)]
+    return np.stack(directions), rng.random((CURVES, d))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -76,13 +80,20 @@ def usable(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     ).filter(F.coalesce(finite, F.lit(False)) & F.exists("hn_vec", lambda x: x != 0))
 
 
-def distinct_vectors(vectors: DataFrame, most: int) -> DataFrame:
-    """(hn_key, hn_vec, hn_ids): one row a distinct vector with its `most` smallest ids, picked in two steps so that a
-    vector that a third of the rows share is never gathered in one task."""
-    keyed = vectors.withColumn("hn_key", F.xxhash64("hn_vec")).withColumn("hn_salt", F.pmod(F.xxhash64("hn_id"), F.lit(64)))
-    some = keyed.withColumn("hn_rn", F.row_number().over(Window.partitionBy("hn_key", "hn_salt").orderBy("hn_id"))).filter(F.col("hn_rn") <= most)
+def keyed(vectors: DataFrame) -> DataFrame:
+    """vectors with hn_key, the hash of the direction: the vector over its largest component (zeros without a sign)."""
+    largest = F.array_max(F.transform("hn_vec", lambda x: F.abs(x)))
+    return vectors.withColumn("hn_most", largest).withColumn("hn_key", F.xxhash64(F.transform("hn_vec", lambda x: x / F.col("hn_most") + F.lit(0.0)))).drop("hn_most")
+
+
+def directions(vectors: DataFrame, most: int) -> DataFrame:
+    """(hn_key, hn_vec, hn_ids): one row a direction (vectors that are positive multiples of each other) with its `most`
+    smallest ids and the vector of the smallest, picked in two steps so that a vector that a third of the rows share is
+    never gathered in one task."""
+    scaled = keyed(vectors)
+    some = scaled.withColumn("hn_rn", F.row_number().over(Window.partitionBy("hn_key", F.pmod(F.xxhash64("hn_id"), F.lit(64))).orderBy("hn_id"))).filter(F.col("hn_rn") <= most)
     few = some.withColumn("hn_rn", F.row_number().over(Window.partitionBy("hn_key").orderBy("hn_id"))).filter(F.col("hn_rn") <= most)
-    return few.groupBy("hn_key").agg(F.first("hn_vec").alias("hn_vec"), F.sort_array(F.collect_list("hn_id")).alias("hn_ids"))
+    return few.groupBy("hn_key").agg(F.min_by("hn_vec", "hn_id").alias("hn_vec"), F.sort_array(F.collect_list("hn_id")).alias("hn_ids"))
 
 
 def orderings(points: DataFrame, seed: int) -> DataFrame:
@@ -111,64 +122,78 @@ def orderings(points: DataFrame, seed: int) -> DataFrame:
 
 
 def _rank_blocks(nearest: int):
-    """(block rows) + (queries that look at the block) -> the nearest rows of the block for each query."""
+    """(rows of a block) + (queries that look at it) -> the nearest rows for each query, equal scores by smallest id."""
 
     def rank(key, points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(points) and len(asked):
-            widths = points["hn_vec"].map(len)
-            for w, part in points.groupby(widths):
-                queries = asked[asked["q_vec"].map(len) == w]
-                if not len(queries):
-                    continue
-                m, q = _matrix(part["hn_vec"]), _matrix(queries["q_vec"])
-                scores = (q @ m.T) / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((m * m).sum(1))
-                place, keys = part["place"].to_numpy(), part["hn_key"].to_numpy()
-                outside = (place < queries["lo"].to_numpy()[:, None]) | (place > queries["hi"].to_numpy()[:, None])
-                scores[outside] = -9
-                best = np.argsort(-scores, axis=1, kind="stable")[:, : nearest + 1]
-                for i, query in enumerate(queries["query_id"].to_numpy()):
-                    kept = best[i][scores[i, best[i]] > -9]
-                    out.append(pd.DataFrame({"query_id": query, "hn_key": keys[kept], "score": scores[i, kept]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "hn_key": [], "score": []}).astype({"query_id": "int64", "hn_key": "int64"})
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        widths, wanted = points["hn_vec"].map(len), asked["q_vec"].map(len)
+        for w in set(widths) & set(wanted):
+            part, queries = points[widths == w], asked[wanted == w]
+            m, q = _matrix(part["hn_vec"]), _matrix(queries["q_vec"])
+            scores = _unit(q) @ _unit(m).T
+            place, keys, least = (part[c].to_numpy() for c in ("place", "hn_key", "least_id"))
+            scores[(place < queries["lo"].to_numpy()[:, None]) | (place > queries["hi"].to_numpy()[:, None])] = -9
+            k = min(nearest + 1, len(place))
+            floor = np.partition(scores, len(place) - k, axis=1)[:, len(place) - k]
+            # everything about as near as the last of them, so that ties are all there before they are cut by id
+            i, j = np.nonzero((scores >= floor[:, None] - 1e-12) & (scores > -9))
+            exact = np.einsum("ij,ij->i", q[i], m[j]) / np.sqrt(np.einsum("ij,ij->i", q[i], q[i])) / np.sqrt(np.einsum("ij,ij->i", m[j], m[j]))
+            order = np.lexsort((least[j], -exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) <= nearest
+            for at, x in enumerate((queries["q_key"].to_numpy()[i[kept]], keys[j[kept]], least[j[kept]], exact[kept])):
+                found[at] = np.concatenate([found[at], x])
+        return pd.DataFrame(dict(zip(("q_key", "hn_key", "least_id", "score"), found, strict=True)))
 
     return rank
 
 
-def window_candidates(points: DataFrame, places: DataFrame, queries: DataFrame, share: float, total: int, nearest: int) -> DataFrame:
-    """(query_id, hn_key, score) of the nearest points of every block that a query's windows reach, without repeats."""
-    reach = total if share >= 1 else max(int(total * share), 16 * nearest)
-    curves = places.filter("curve = 0") if share >= 1 else places
-    blocks = curves.join(points.select("hn_key", "hn_vec"), "hn_key").withColumn("block", F.floor(F.col("place") / BLOCK))
-    looks = curves.join(queries.select("query_id", "q_vec", F.col("q_key").alias("hn_key")), "hn_key").select(
-        F.col("curve").alias("q_curve"), "query_id", "q_vec", F.greatest(F.col("place") - reach, F.lit(0)).alias("lo"), F.least(F.col("place") + reach, F.lit(total - 1)).alias("hi")
+def window_candidates(points: DataFrame, places: DataFrame, queries: DataFrame, reach: int, total: int, nearest: int) -> DataFrame:
+    """(q_key, hn_key, least_id, score) of the nearest points of every block that a query's windows reach, without
+    repeats. queries (q_key, q_vec), one row a direction. A group is a block and QUERIES queries or so."""
+    blocks = places.join(points.select("hn_key", "hn_vec", F.col("hn_ids")[0].alias("least_id")), "hn_key").withColumn("block", F.floor(F.col("place") / BLOCK))
+    looks = places.join(queries, F.col("hn_key") == F.col("q_key")).select(
+        F.col("curve").alias("q_curve"), "q_key", "q_vec", F.greatest(F.col("place") - reach, F.lit(0)).alias("lo"), F.least(F.col("place") + reach, F.lit(total - 1)).alias("hi")
     )
     looks = looks.withColumn("q_block", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK))))
-    ranked = blocks.groupBy("curve", "block").cogroup(looks.groupBy("q_curve", "q_block")).applyInPandas(_rank_blocks(nearest), "query_id long, hn_key long, score double")
-    return ranked.groupBy("query_id", "hn_key").agg(F.max("score").alias("score"))
+    crowd = looks.groupBy(F.col("q_curve").alias("curve"), F.col("q_block").alias("block")).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("crowds"))
+    spread = blocks.join(crowd, ["curve", "block"]).withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)))
+    dealt = looks.join(crowd.toDF("q_curve", "q_block", "crowds"), ["q_curve", "q_block"]).withColumn("q_crowd", F.pmod(F.xxhash64("q_key"), "crowds").cast("int"))
+    ranked = spread.groupBy("curve", "block", "crowd").cogroup(dealt.groupBy("q_curve", "q_block", "q_crowd")).applyInPandas(_rank_blocks(nearest), "q_key long, hn_key long, least_id long, score double")
+    return ranked.groupBy("q_key", "hn_key").agg(F.min("least_id").alias("least_id"), F.max("score").alias("score"))
+
+
+def nearest_rows(candidates: DataFrame, points: DataFrame, asked: DataFrame, nearest: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the nearest directions' ids for every query (asked: query_id, q_key), the query's
+    own left out, equal scores to the smaller id."""
+    order = Window.partitionBy("q_key").orderBy(F.desc("score"), "least_id")
+    best = candidates.withColumn("c_rn", F.row_number().over(order)).filter(F.col("c_rn") <= nearest + 1)
+    opened = best.join(points.select("hn_key", "hn_ids"), "hn_key").select("q_key", F.explode("hn_ids").alias("vec_id"), "score")
+    near = opened.withColumn("c_rn", F.row_number().over(Window.partitionBy("q_key").orderBy(F.desc("score"), "vec_id"))).filter(F.col("c_rn") <= nearest + 1)
+    answers = near.groupBy("q_key").agg(F.sort_array(F.collect_list(F.struct("c_rn", "vec_id", "score"))).alias("c_found"))
+    # at most nearest + 1 a direction; a query that is not among them (its direction has smaller ids) leaves the last out
+    others = F.slice(F.filter("c_found", lambda x: x["vec_id"] != F.col("query_id")), 1, nearest)
+    return asked.join(answers, "q_key").select("query_id", F.posexplode(others).alias("c_at", "x")).select("query_id", (F.col("c_at") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
-def nearest_rows(candidates: DataFrame, points: DataFrame, nearest: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): candidates' ids opened, the query's own left out, ties to the smaller id."""
-    best = candidates.withColumn("c_rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "hn_key"))).filter(F.col("c_rn") <= 4 * (nearest + 1))
-    opened = best.join(points.select("hn_key", "hn_ids"), "hn_key").select("query_id", F.explode("hn_ids").alias("vec_id"), "score").filter("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return opened.withColumn("rank", rank).filter(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+def _reach(total: int, share: float, nearest: int) -> int:
+    return max(math.ceil(total * share), 16 * nearest)
 
 
 def pick_share(points: DataFrame, places: DataFrame, queries: DataFrame, total: int, nearest: int) -> float:
-    """The smallest share that finds TARGET_RECALL of the neighbours of PROBES queries, found by brute force in blocks."""
-    probes = staged(queries.orderBy(F.xxhash64(F.lit(3), "query_id")).limit(PROBES), "op5-probes")
-    true = staged(nearest_rows(window_candidates(points, places, probes, 1.0, total, nearest), points, nearest), "op5-true").join(
-        points.select(F.explode("hn_ids").alias("vec_id"), "hn_key"), "vec_id"
-    ).select("query_id", "hn_key").distinct()
-    at = places.join(probes.select("query_id", F.col("q_key").alias("hn_key")), "hn_key").select("curve", "query_id", F.col("place").alias("own"))
-    far = true.join(places, "hn_key").join(at, ["curve", "query_id"]).groupBy("query_id", "hn_key").agg(F.min(F.abs(F.col("place") - F.col("own"))).alias("away"))
+    """The smallest share that finds TARGET_RECALL of the neighbours of PROBES queries; these are found by brute force in
+    blocks of one ordering, which is the measure and no answer."""
+    probes = staged(queries.orderBy(F.xxhash64(F.lit(3), "q_key")).limit(PROBES), "op5-probes")
+    true = window_candidates(points, places.filter("curve = 0"), probes, total, total, nearest).filter("q_key <> hn_key")
+    order = Window.partitionBy("q_key").orderBy(F.desc("score"), "least_id")
+    near = staged(true.withColumn("c_rn", F.row_number().over(order)).filter(F.col("c_rn") <= nearest).select("q_key", "hn_key"), "op5-true")
+    at = places.join(probes.select("q_key"), F.col("hn_key") == F.col("q_key")).select("curve", "q_key", F.col("place").alias("own"))
+    far = near.join(places, "hn_key").join(at, ["curve", "q_key"]).groupBy("q_key", "hn_key").agg(F.min(F.abs(F.col("place") - F.col("own"))).alias("away"))
     away = [r["away"] for r in far.select("away").collect()]  # PROBES x nearest rows at most
     for share in SHARES:
-        if not away or sum(a <= max(int(total * share), 16 * nearest) for a in away) >= TARGET_RECALL * len(away):
+        if sum(a <= _reach(total, share, nearest) for a in away) >= TARGET_RECALL * len(away):
             return share
-    return 1.0
+    return SHARES[-1]
 
 
 def neighbours(embeddings: DataFrame, is_query, nearest: int = NEAREST, share: float | None = None, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -176,14 +201,17 @@ def neighbours(embeddings: DataFrame, is_query, nearest: int = NEAREST, share: f
     by cosine. share None: picked by pick_share. Vectors that usable() leaves out neither ask nor answer; rows of another
     length are never neighbours. Repeated ids count once. No vectors or no queries: no rows."""
     vectors = staged(usable(embeddings, id_col, vector_col).dropDuplicates(["hn_id"]), "op5-vectors")
-    points = staged(distinct_vectors(vectors, nearest + 1), "op5-points")
+    points = staged(directions(vectors, nearest + 1), "op5-points")
     total = points.count()
     places = staged(orderings(points, seed), "op5-places")
-    queries = staged(vectors.filter(is_query).select(F.col("hn_id").alias("query_id"), F.col("hn_vec").alias("q_vec"), F.xxhash64("hn_vec").alias("q_key")), "op5-queries")
+    asked = staged(keyed(vectors.filter(is_query)).select(F.col("hn_id").alias("query_id"), F.col("hn_key").alias("q_key")), "op5-asked")
+    queries = staged(points.join(asked.select(F.col("q_key").alias("hn_key")).distinct(), "hn_key").select(F.col("hn_key").alias("q_key"), F.col("hn_vec").alias("q_vec")), "op5-queries")
     if share is None:
         share = pick_share(points, places, queries, total, nearest)
-    return nearest_rows(window_candidates(points, places, queries, share, total, nearest), points, nearest)
+    return nearest_rows(window_candidates(points, places, queries, _reach(total, share, nearest), total, nearest), points, asked, nearest)
 
 
 def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score). Vectors that are null, zero or hold null or non-finite components take no part;
+    equal vectors and scores rank by vec_id; an empty table gives no rows."""
     return neighbours(table(spark, sf_dir, "embeddings"), F.col("hn_id") % 50 == 0)
