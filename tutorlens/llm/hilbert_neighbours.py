@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import staged, table
 
@@ -72,8 +73,11 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def usable(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(hn_id, hn_vec double array) of vectors that take part: not null, not zero, all components finite."""
-    vec = F.col(vector_col).cast("array<double>")
+    """(hn_id, hn_vec) of vectors that take part: not null, not zero, all components finite. Floats stay floats (half the
+    bytes to move); all arithmetic on them is in double."""
+    vec = F.col(vector_col)
+    if embeddings.schema[vector_col].dataType != ArrayType(FloatType()):
+        vec = vec.cast("array<double>")
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return embeddings.select(F.col(id_col).cast("long").alias("hn_id"), vec.alias("hn_vec")).filter(
         "hn_id is not null and hn_vec is not null"
