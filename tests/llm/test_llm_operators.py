@@ -295,15 +295,21 @@ def test_classifiers_on_held_out_rows(spark):
     assert neighbour_toxicity.score(docs, neighbour_toxicity.fit(docs, nothing)).filter("predicted = 0").count() == len(rows)
 
 
-def test_toxicity_neighbours_are_exact():
+def test_toxicity_neighbours_are_exact_and_blocks_are_skipped(monkeypatch):
     rng = random.Random(2)
-    examples = [(i, " ".join(rng.choices(["awful", "vile", "nasty", "rotten"] if i % 2 else ["sunny", "kind", "calm", "gentle"], k=8)), i % 2) for i in range(300)]
-    index = neighbour_toxicity.build(examples, {0: 150, 1: 150})
-    vectors = [dict(index.vector(neighbour_toxicity.terms(t))) for _, t, _ in examples]
-    query = index.vector(neighbour_toxicity.terms("awful awful vile kind"))
-    every = sorted((-sum(w * v.get(t, 0.0) for t, w in query), e) for e, v in enumerate(vectors))
-    got = index.nearest(query, 15)
-    assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in every[:15]]
+    words = [["awful", "vile", "nasty", "rotten", *(f"bad{i}" for i in range(60))], ["sunny", "kind", "calm", "gentle", *(f"good{i}" for i in range(60))]]
+    # examples of one kind stand together, so that bounds differ between blocks
+    examples = [(i, Counter(rng.choices(words[i >= 500][(i // 64) * 4 % 32 :][:24], k=rng.randint(8, 60))), int(i < 500)) for i in range(1000)]
+    index = neighbour_toxicity.build(examples, {0: 500, 1: 500})
+    vectors = [dict(index.vector(c)) for _, c, _ in examples]
+    read = Counter()
+    monkeypatch.setattr(index, "lists", [type("Seen", (dict,), {"get": lambda self, b: (read.update([b]), dict.get(self, b))[1]})(x) for x in index.lists])
+    for k in (1, 15):
+        for query in (index.vector(Counter(rng.choices(words[j % 2], k=12))) for j in range(40)):
+            every = sorted((-sum(w * v.get(t, 0.0) for t, w in query), e) for e, v in enumerate(vectors))
+            got = index.nearest(query, k)
+            assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in every[:k] if s < 0]
+    assert sum(read.values()) < 0.9 * 80 * 12 * len({b for x in index.lists for b in dict.keys(x)})
 
 
 def test_mix_targets_and_bounds(spark, texts):

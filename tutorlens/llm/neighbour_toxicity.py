@@ -1,9 +1,11 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded sample of labelled texts is the index: TF-IDF vectors over the terms whose document counts tell the classes
-apart (all other terms weigh nothing), kept as inverted lists in blocks that know their largest weight. A text's nearest
-examples by exact cosine are found with block-max pruning inside Arrow tasks; their distance-weighted votes, mapped
-by isotonic steps fitted on leave-one-out votes, are the score, and the voters are the evidence.
+apart (all other terms are stop words), kept as inverted lists by example number, cut at every BLOCK examples, with the
+largest weight of each piece. For a text, the pieces' largest weights bound the cosine of all examples of a block; blocks
+are read from the largest bound on, and those whose bound cannot reach the k-th best are never read. The k nearest
+examples by exact cosine vote by distance; votes, mapped by isotonic steps fitted on leave-one-out votes, are the score,
+and the voters are the evidence.
 """
 
 from __future__ import annotations
@@ -16,14 +18,15 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, staged, table, training_labels
 
-#: Labelled examples of each class in the index at most (the only sample in this operator), and terms at most.
-MAX_EXAMPLES, MAX_TERMS = 2_000, 5_000
+#: Labelled examples of each class in the index at most (the only sample in this operator).
+MAX_EXAMPLES = 2_000
 NEIGHBOURS, BLOCK, CUTOFF, EVIDENCE = 15, 64, 0.5, 3
 #: Log-likelihood ratio at which a term counts as telling, before the correction for the number of terms tried.
 ALPHA = 0.01
@@ -37,9 +40,12 @@ def terms(text: str | None) -> Counter:
 
 @dataclass
 class Index:
-    """lists: term -> (idf, [(largest weight, [(example, weight), ...]), ...]); examples are numbered by doc_id."""
+    """terms: term -> (idf, row of the bounds or None where no example has it); lists: for each row, block -> (places in
+    the block, weights); examples are numbered by doc_id."""
 
-    lists: dict
+    terms: dict
+    lists: list
+    bounds: np.ndarray  # rows x blocks: the largest weight of each piece
     ids: list
     labels: list
     votes: list  # weight of an example's vote: how many labelled rows it stands for
@@ -48,30 +54,34 @@ class Index:
     steps: list  # [(vote share from which on, score)]
 
     def vector(self, counts: Counter) -> list:
-        raw = [(t, (1 + math.log(n)) * self.lists[t][0]) for t, n in sorted(counts.items()) if t in self.lists]
+        raw = [(t, (1 + math.log(n)) * self.terms[t][0]) for t, n in sorted(counts.items()) if t in self.terms]
         norm = math.sqrt(sum(w * w for _, w in raw))
         return [(t, w / norm) for t, w in raw]
 
     def nearest(self, vector: list, k: int, without: int = -1) -> list:
-        """The k examples with the largest cosine (above 0), exactly; ties to the smaller number: [(cosine, example)].
-        Lists are read from the largest bound on; a block is skipped once its bound and those of the lists still to
-        come cannot reach the k-th best."""
-        lists = sorted(((q * max(b[0] for b in self.lists[t][1]), q, t) for t, q in vector), reverse=True)
-        rest = [0.0]
-        for bound, *_ in reversed(lists):
-            rest.append(rest[-1] + bound)
-        rest = rest[::-1]
-        got: dict[int, float] = defaultdict(float)
-        for i, (_, q, t) in enumerate(lists):
-            known = heapq.nlargest(k, got.values())
-            floor = known[-1] if len(known) == k else -1.0
-            for largest, block in self.lists[t][1]:
-                # examples that no earlier list named can reach q * largest + the lists after this one
-                closed = q * largest + rest[i + 1] < floor - 1e-12
-                for example, w in block:
-                    if example != without and (not closed or example in got):
-                        got[example] += q * w
-        return heapq.nsmallest(k, ((-s, e) for e, s in got.items()))
+        """The k examples with the largest cosine (above 0), exactly; ties to the smaller number: [(-cosine, example)].
+        Blocks are read from the largest bound on, up to the first whose bound stays below the k-th best."""
+        known = [(self.terms[t][1], q) for t, q in vector if self.terms[t][1] is not None]
+        if not known:
+            return []
+        bound = np.array([q for _, q in known]) @ self.bounds[[r for r, _ in known]]
+        best: list = []  # a heap of (cosine, -example), its least on top
+        for block in np.argsort(-bound, kind="stable").tolist():
+            if bound[block] <= 0 or len(best) == k and bound[block] < best[0][0] - 1e-12:
+                break
+            got = np.zeros(BLOCK)
+            for row, q in known:
+                if piece := self.lists[row].get(block):
+                    got[piece[0]] += q * piece[1]
+            for place in np.flatnonzero(got).tolist():
+                found = (float(got[place]), -(block * BLOCK + place))
+                if -found[1] == without:
+                    continue
+                if len(best) < k:
+                    heapq.heappush(best, found)
+                elif found > best[0]:
+                    heapq.heapreplace(best, found)
+        return sorted((-s, -e) for s, e in best)
 
     def vote(self, found: list) -> float:
         total, yes = 0.2, 0.2 * self.prior
@@ -85,41 +95,42 @@ class Index:
         return self.steps[max(0, bisect_right(self.steps, (share, 2.0)) - 1)][1] if self.steps else share
 
 
-def build(examples: list[tuple[int, str, int]], sizes: dict[int, int]) -> Index:
-    """examples: (doc_id, text, label); sizes: labelled rows of each class that they stand for."""
-    examples = sorted(examples)
-    counts = [terms(text) for _, text, _ in examples]
+def build(examples: list[tuple[int, Counter, int]], sizes: dict[int, int]) -> Index:
+    """examples: (doc_id, term counts, label); sizes: labelled rows of each class that they stand for."""
+    examples = sorted(examples, key=lambda x: x[0])
+    counts = [c for _, c, _ in examples]
     labels = [label for *_, label in examples]
     n = Counter(labels)
     with_term: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for c, label in zip(counts, labels, strict=True):
         for t in c:
             with_term[t][label] += 1
-    # G2 with one degree of freedom: the tail is erfc(sqrt(G2 / 2)); Bonferroni over the terms tried
-    telling = []
-    for t, (a, b) in with_term.items():
+
+    def telling(a: int, b: int) -> bool:
+        """G2 with one degree of freedom: the tail is erfc(sqrt(G2 / 2)); Bonferroni over the terms tried."""
         g2 = 0.0
         for seen, of in ((a, n[0]), (b, n[1])):
             for part, share in ((seen, (a + b) / len(labels)), (of - seen, 1 - (a + b) / len(labels))):
                 if part and of * share > 0:
                     g2 += 2 * part * math.log(part / (of * share))
-        if n[0] and n[1] and math.erfc(math.sqrt(max(0.0, g2) / 2)) <= ALPHA / len(with_term):
-            telling.append((-g2, t))
-    kept = [t for _, t in sorted(telling)[:MAX_TERMS]]
+        return bool(n[0] and n[1]) and math.erfc(math.sqrt(max(0.0, g2) / 2)) <= ALPHA / len(with_term)
+
+    kept = sorted(t for t, (a, b) in with_term.items() if telling(a, b))
     idf = {t: math.log((1 + len(labels)) / (1 + sum(with_term[t]))) + 1 for t in kept}
     votes = [sizes.get(label, n[label]) / n[label] for label in labels]
     total = sum(votes)
     prior = sum(v * label for v, label in zip(votes, labels, strict=True)) / total if total else 0.0
-    index = Index({t: (idf[t], []) for t in kept}, [i for i, *_ in examples], labels, votes, prior, prior, [])
+    bounds = np.zeros((len(kept), -(-len(examples) // BLOCK)))
+    index = Index({t: (idf[t], row) for row, t in enumerate(kept)}, [], bounds, [i for i, *_ in examples], labels, votes, prior, prior, [])
     vectors = [index.vector(c) for c in counts]
-    postings: dict[str, list] = defaultdict(list)
+    pieces: list[dict] = [defaultdict(list) for _ in kept]
     for e, v in enumerate(vectors):
         for t, w in v:
-            postings[t].append((e, w))
-    for t, p in postings.items():
-        p = sorted(p, key=lambda x: (-x[1], x[0]))
-        index.lists[t] = (idf[t], [(p[i][1], p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)])
-    index.lists = {t: x for t, x in index.lists.items() if x[1]}
+            pieces[index.terms[t][1]][e // BLOCK].append((e % BLOCK, w))
+    for row, of in enumerate(pieces):
+        index.lists.append({block: (np.array([p for p, _ in x]), np.array([w for _, w in x])) for block, x in of.items()})
+        for block, (_, weights) in index.lists[row].items():
+            bounds[row, block] = weights.max()
     blank = [(v, y) for vec, v, y in zip(vectors, votes, labels, strict=True) if not vec]
     index.empty_score = (sum(v * y for v, y in blank) + prior) / (sum(v for v, _ in blank) + 1)
     index.steps = isotonic([(index.vote(index.nearest(v, NEIGHBOURS, e)), votes[e], labels[e]) for e, v in enumerate(vectors) if v])
@@ -143,21 +154,29 @@ def isotonic(points: list[tuple[float, float, int]]) -> list[tuple[float, float]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = MAX_EXAMPLES) -> Index:
-    """At most max_examples of either class, by the order of a hash of doc_id, from rows open to training. The index is
-    built on the driver: its size is bounded by that number, texts are cut to their telling terms there."""
+    """At most max_examples of either class, by the order of a hash of doc_id, from rows open to training; of rows that
+    share an id any one. Texts are cut to their term counts by Spark; the driver builds the index of these."""
     known = staged(training_labels(labels, label), "op6-labels")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64(F.lit(6), "doc_id"), "doc_id").limit(max_examples) for y in (0, 1)]
     sample = parts[0].unionByName(parts[1])
     # 2 x max_examples rows at most, so it may be broadcast
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    return build([(r["doc_id"], r["text"] or "", r["label"]) for r in picked.collect()], sizes)
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [terms(t) for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "terms": [list(c) for c in found], "counts": [list(c.values()) for c in found]})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = picked.mapInPandas(counted, f"doc_id {kind}, label int, terms array<string>, counts array<int>").collect()
+    return build([(r["doc_id"], Counter(dict(zip(r["terms"], r["counts"], strict=True))), r["label"]) for r in rows], sizes)
 
 
 def score(docs: DataFrame, index: Index, cutoff: float = CUTOFF) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence): every row of docs once. Texts without a telling term (null, empty
     ones too) get the smoothed share of label 1 among such examples and no evidence; without labels all scores are 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_EXAMPLES and MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the terms of 2 x MAX_EXAMPLES texts
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, memo = shared.value, {}
@@ -165,7 +184,7 @@ def score(docs: DataFrame, index: Index, cutoff: float = CUTOFF) -> DataFrame:
             out = []
             for text in frame["text"]:
                 found = TERM.findall((text or "").lower())
-                counts = Counter(t for t in found if t in own.lists)
+                counts = Counter(t for t in found if t in own.terms)
                 key = tuple(sorted(counts.items()))
                 if key not in memo:
                     if len(memo) > 50_000:
@@ -181,5 +200,7 @@ def score(docs: DataFrame, index: Index, cutoff: float = CUTOFF) -> DataFrame:
 
 
 def op6_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence), a row a row of documents; odd rows as in score(). A null doc_id
+    counts as held out; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
