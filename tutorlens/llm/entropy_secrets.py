@@ -24,7 +24,9 @@ KINDS = [
 MARK, OTHER = "﷐", "﷑"
 #: Candidate strings, window width, and the entropy (bits a character) that a class must reach within a window.
 CANDIDATE, WINDOW = r"[A-Za-z0-9+/_=-]{20,}", 20
-CLASS_LIMITS = {"digits": 9.0, "hex": 3.0, "lower": 3.6, "mixed": 3.8}
+CLASS_LIMITS = {"hex": 3.0, "lower": 3.6, "mixed": 3.8}
+#: The characters of candidates.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 # Strings that look random but are known to be harmless (placeholders, alphabets, identifiers).
 ALLOWED = (
     r"(?i)example|sample|placeholder|dummy|changeme|xxxx|abcdefgh|01234567|12345678|qwerty|"
@@ -52,29 +54,41 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def highest_entropy(s: Column, width: int = WINDOW) -> Column:
-    """The largest Shannon entropy (bits) of a window of width characters of s; s is at least width long."""
+    """The largest Shannon entropy (bits) of a window of width characters of s; s is at least width long and of ALPHABET.
+    A fold over the characters keeps the counts of the window (an array by character): the one that goes is taken off,
+    the one that comes is added, and the sum of c*log2(c) follows. The work of a step does not depend on s."""
     part = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    count = lambda window, ch: (F.length(window) - F.length(F.replace(window, ch, F.lit("")))).cast("double")
+    slots = len(ALPHABET) + 1  # the first is for what goes while the first window fills
+    count = lambda counts, at: F.element_at(counts, at + 1)
 
-    def move(acc: Column, i: Column) -> Column:
-        come, window = F.substring(s, i, F.lit(1)), F.substring(s, F.greatest(i - width + 1, F.lit(1)), F.least(i, F.lit(width)))
-        go, left = F.substring(s, i - width, F.lit(1)), F.substring(s, i - width, F.lit(width))
-        added, gone = count(window, come), count(left, go)
-        total = acc["total"] + part(added) - part(added - 1) - F.when(i > width, part(gone) - part(gone - 1)).otherwise(F.lit(0.0))
-        # the one that goes leaves before the other comes; where they are equal both changes cancel
-        total = F.when((i > width) & (come == go), acc["total"]).otherwise(total)
-        return F.struct(total.alias("total"), F.when(i >= width, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
+    def put(counts: Column, at: Column, value: Column) -> Column:
+        return F.concat(F.slice(counts, F.lit(1), at), F.array(value), F.slice(counts, at + 2, slots - 1 - at))
 
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, move, lambda acc: F.log2(F.lit(float(width))) - acc["least"] / float(width))
+    come = F.transform(F.split(s, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
+    go = F.slice(F.concat(F.array_repeat(F.lit(0), width), come), F.lit(1), F.length(s))
+    both = F.zip_with(come, go, lambda a, b: a * 100 + b)
+
+    def move(acc: Column, x: Column) -> Column:
+        comes, goes = F.floor(x / 100).cast("int"), x % 100
+        gone = count(acc["counts"], goes)
+
+        def enter(counts: Column) -> Column:
+            there = count(counts, comes)
+            total = acc["total"] - F.when(goes > 0, part(gone) - part(gone - 1)).otherwise(F.lit(0.0)) + part(there + 1) - part(there)
+            least = F.when(acc["n"] >= width - 1, F.least(acc["least"], total)).otherwise(acc["least"])
+            return F.struct(put(counts, comes, there + 1).alias("counts"), total.alias("total"), least.alias("least"), (acc["n"] + 1).alias("n"))
+
+        # the array of one keeps the counts without the one that goes from being made again for each use
+        return F.transform(F.array(put(acc["counts"], goes, gone - 1)), enter)[0]
+
+    start = F.struct(F.array_repeat(F.lit(0.0), slots).alias("counts"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"), F.lit(0).alias("n"))
+    return F.aggregate(both, start, move, lambda acc: F.log2(F.lit(float(width))) - acc["least"] / float(width))
 
 
 def entropy_limit(s: Column) -> Column:
     """The limit of the narrowest character class that holds s."""
-    return (
-        F.when(s.rlike(r"^[0-9/_=+-]+$"), CLASS_LIMITS["digits"]).when(s.rlike(r"^[0-9a-fA-F]+$"), CLASS_LIMITS["hex"])
-        .when(s.rlike(r"^(?:[a-z0-9/_=+-]+|[A-Z0-9/_=+-]+)$"), CLASS_LIMITS["lower"]).otherwise(CLASS_LIMITS["mixed"])
-    )
+    lower = s.rlike(r"^(?:[a-z0-9/_=+-]+|[A-Z0-9/_=+-]+)$")
+    return F.when(s.rlike(r"^[0-9a-fA-F]+$"), CLASS_LIMITS["hex"]).when(lower, CLASS_LIMITS["lower"]).otherwise(CLASS_LIMITS["mixed"])
 
 
 def secrets(docs: DataFrame) -> DataFrame:
@@ -112,6 +126,8 @@ def _joined(spans: Column) -> Column:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy), a row a row of documents. Null and empty texts
+    have no spans and the hash of nothing; an empty table gives no rows."""
     found = secrets(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("found", lambda m: m["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("found", lambda m: m["kind"] != "entropy")
