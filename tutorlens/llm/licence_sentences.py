@@ -2,9 +2,9 @@
 
 Texts are normalised (lower case, runs of other characters than letters and digits become one space, so that line breaks
 and comment marks go) and known licence sentences are found in them wherever they stand, the longest first; titles count
-only where a line or sentence begins and ends. Rules name a licence and the identifiers that must follow each other, others may
-stand between; they are tried in order and a match uses its identifiers up, so a longer licence goes before one that is
-part of it.
+only where a line or sentence begins and ends. Rules name a licence and the identifiers that must follow each other; others may
+stand between and stay for later rules. Rules are tried in order and a match uses its identifiers up, so a longer licence
+goes before one that is part of it. Equal identifiers in a row count once.
 """
 
 from __future__ import annotations
@@ -97,9 +97,18 @@ def _known(lower: Column) -> Column:
     return F.transform(F.regexp_extract_all(stream, F.lit(_search()), F.lit(0)), lambda s: names[F.replace(s, F.lit(" |"), F.lit(""))])
 
 
+#: One character for each identifier, so that a rule is a pattern over characters.
+CODES = {k: chr(0xE000 + i) for i, k in enumerate(SENTENCES | FURTHER)}
+
+
 def pattern(identifiers: tuple[str, ...]) -> str:
-    """Matches the identifiers in sequence within ',a,,b,'; those between are kept by the groups."""
-    return "(?:,[^,]+,)*?".join(f",{x}," for x in identifiers)
+    """Matches the identifiers' characters in sequence; those between are kept by the groups. The first of each is the
+    right one, so nothing is tried twice, and no step recurses."""
+    return CODES[identifiers[0]] + "".join(f"(?>(.*?){CODES[x]})" for x in identifiers[1:])
+
+
+def kept(identifiers: tuple[str, ...]) -> str:
+    return "".join(f"${i}" for i in range(1, len(identifiers)))
 
 
 def licences(docs: DataFrame) -> DataFrame:
@@ -109,17 +118,24 @@ def licences(docs: DataFrame) -> DataFrame:
     lower = docs.select("doc_id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("li_text"))
     none = F.array().cast("array<string>")
     split = lower.select("doc_id", F.coalesce(F.when(F.col("li_text").rlike(CUE), _known(F.col("li_text"))), none).alias("sentences"))
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f",{sequence[0]},").alias("first"), F.lit(pattern(sequence)).alias("pattern")) for name, sequence in RULES + FURTHER_RULES])
-    start = F.struct(F.array_join(F.transform("sentences", lambda s: F.concat(F.lit(","), s, F.lit(","))), "").alias("left"), none.alias("found"))
+    rules = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.array(*[F.lit(CODES[x]) for x in sequence]).alias("all"), F.lit(pattern(sequence)).alias("pattern"), F.lit(kept(sequence)).alias("kept"))
+        for name, sequence in RULES + FURTHER_RULES
+    ])
+    code = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
+    once = F.filter("sentences", lambda s, i: (i == 0) | (s != F.get("sentences", i - 1)))
+    start = F.struct(F.array_join(F.transform(once, lambda s: code[s]), "").alias("left"), none.alias("found"))
 
     def applied(acc: Column, rule: Column) -> Column:
-        hit = acc["left"].contains(rule["first"]) & F.regexp_like(acc["left"], rule["pattern"])
-        return F.when(hit, F.struct(F.regexp_replace(acc["left"], rule["pattern"], F.lit("")).alias("left"), F.array_union(acc["found"], F.array(rule["name"])).alias("found"))).otherwise(acc)
+        hit = F.forall(rule["all"], lambda c: acc["left"].contains(c)) & F.regexp_like(acc["left"], rule["pattern"])
+        return F.when(hit, F.struct(F.regexp_replace(acc["left"], rule["pattern"], rule["kept"]).alias("left"), F.array_union(acc["found"], F.array(rule["name"])).alias("found"))).otherwise(acc)
 
     return split.select("doc_id", "sentences", F.when(F.size("sentences") > 0, F.aggregate(rules, start, applied, lambda acc: acc["found"])).otherwise(none).alias("found"))
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_sentences, sentences, licences), a row a row of documents. Null and empty texts have none; an empty table
+    gives no rows."""
     found = licences(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentences"), F.array_join("found", ",").alias("licences"))
 
@@ -135,10 +151,12 @@ def _oracle() -> str:
             f"list_transform(list_filter(list_transform(list_filter(string_split_regex(t, '{regex}'), lambda s: length(s) <= {longest} AND regexp_matches(s, '{CUE}')), "
             f"lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))), lambda s: s IN ({known})), lambda s: {names}[s])"
         )
-    steps = ["s0 AS (SELECT doc_id, sentences, array_to_string(list_transform(sentences, lambda s: ',' || s || ','), '') AS l, CAST([] AS VARCHAR[]) AS f FROM joined)"]
+    codes = f"map([{', '.join(quote(k) for k in SENTENCES)}], [{', '.join(quote(CODES[k]) for k in SENTENCES)}])"
+    steps = [f"s0 AS (SELECT doc_id, sentences, array_to_string(list_transform(list_filter(sentences, lambda s, i: i = 1 OR s <> sentences[i - 1]), lambda s: {codes}[s]), '') AS l, CAST([] AS VARCHAR[]) AS f FROM joined)"]
     for i, (name, sequence) in enumerate(RULES):
-        p = pattern(sequence)
-        steps.append(f"s{i + 1} AS (SELECT doc_id, sentences, regexp_replace(l, '{p}', '', 'g') AS l, CASE WHEN regexp_matches(l, '{p}') AND NOT list_contains(f, '{name}') THEN list_append(f, '{name}') ELSE f END AS f FROM s{i})")
+        p = "(.*?)".join(CODES[x] for x in sequence)
+        between = "".join(f"\\{k}" for k in range(1, len(sequence)))
+        steps.append(f"s{i + 1} AS (SELECT doc_id, sentences, regexp_replace(l, '{p}', '{between}', 'g') AS l, CASE WHEN regexp_matches(l, '{p}') AND NOT list_contains(f, '{name}') THEN list_append(f, '{name}') ELSE f END AS f FROM s{i})")
     return (
         "WITH lowered AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), "
         f"parts AS (SELECT doc_id, CASE WHEN regexp_matches(t, '{CUE}') THEN {part(SENTENCE_END)} ELSE [] END AS a, CASE WHEN regexp_matches(t, '{CUE}') THEN {part(chr(92) + 'n')} ELSE [] END AS b FROM lowered), "
