@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -222,6 +223,16 @@ def test_secrets_equal_brute_force(spark):
     assert value == pytest.approx(naive_entropy(key * 3), abs=1e-9)
 
 
+def test_entropy_of_a_very_long_candidate(spark):
+    rng = random.Random(5)
+    s = "".join(rng.choices(entropy_secrets.ALPHABET[:40], k=100_000)) + "98765+/_=-ABCDE" + "z1" * 500
+    began = time.time()
+    got = {r.doc_id: r for r in entropy_secrets.secrets(docs_of(spark, [f"see {s} here", "z" * 50_000 + "1"])).collect()}
+    assert [(x.kind, x.start, x.end) for x in got[0].found] == [("entropy", 4, 4 + len(s))] and not got[1].found and time.time() - began < 60
+    value = spark.createDataFrame([(s[-1100:],)], "s string").select(entropy_secrets.highest_entropy(F.col("s"))).first()[0]
+    assert value == pytest.approx(naive_entropy(s[-1100:]), abs=1e-9)
+
+
 def test_neighbours_recall_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in v], None) for i, v in enumerate(rng.normal(size=(600, 16)))]
@@ -378,6 +389,15 @@ def test_licence_rules(spark):
     assert all(re.search(licence_sentences.CUE, s) for s in licence_sentences.SENTENCES.values())
 
 
+def test_licences_of_long_and_mixed_texts(spark):
+    line = {k: v + ".\n" for k, v in licence_sentences.SENTENCES.items()}
+    mixed = "".join(line[k] for k in ("apache-notice", "mit-notice", "apache-use", "apache-copy", "bsd-grant", "apache-basis", "bsd-source", "bsd-binary", "bsd-as-is"))
+    many = [line["mit-notice"] * 20_000, (line["mit-notice"] + line["cc-by"]) * 5_000, mixed, "".join(line[k] for k in ("bsd-grant", "bsd-binary", "bsd-source"))]
+    got = {r.doc_id: r for r in licence_sentences.licences(docs_of(spark, many)).collect()}
+    assert len(got[0].sentences) == 20_000 and [sorted(got[i].found) for i in range(4)] == [["MIT"], ["CC-BY-4.0", "MIT"], ["Apache-2.0", "BSD-2-Clause", "MIT"], []]
+    assert got[2].sentences == ["apache-notice", "mit-notice", "apache-use", "apache-copy", "bsd-grant", "apache-basis", "bsd-source", "bsd-binary", "bsd-as-is"]
+
+
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at

@@ -27,9 +27,12 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; where the session names none (tests), one is made and set."""
+    """The folder that all executors share. Where a session on one machine names none (tests), one is made and set; on a
+    cluster its absence is an error, for a folder of the driver's machine would be no other's."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tutorlens-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -116,5 +116,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, ..., base_failed, kept, broken), a row a row of documents. Null and empty texts count nothing and
+    fail the base; missing labels or labels of one class leave rules without a cutoff; an empty table gives no rows."""
     judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
