@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tutorlens.functions import text as T
-from tutorlens.operators import audit, enrich, graph, metrics, pages, profiles, split
+from tutorlens.operators import audit, enrich, graph, metrics, pages, profiles, scorers, split
 from tutorlens.sources import files
 from tutorlens.streaming import exposure
 
@@ -90,14 +92,14 @@ def test_profiles_follow_missing_codes(spark):
     rows = [(1, 1990, -97, -98, -99, -97), (2, 1990, 3, -97, 2, 1), (3, 1990, 3, 3, 1, 1), (4, 1990, 1, 1, 2, 0), (5, 1950, 3, 3, 1, 1)]
     survey = spark.createDataFrame([(i, y, 1, 5, 9, a, b, c, f, f, f, f, f, f) for i, y, a, b, c, f in rows], "respondent int, a0400 int, a0100 int, e0100 int, a1500 int, k0600 int, k0100 int, k1003 int, b0130a int, b0130b int, b0130c int, b1000b int, b1000c int, a0320 int")
     got = {r.user_id: (r.financial_knowledge_level, r.saving_habit, r.investment_experience) for r in profiles.user_profiles(survey).collect()}
-    assert got == {"U0001": (None, None, None), "U0002": ("medio", "frecuente", "básica"), "U0003": ("alto", "frecuente", "básica"), "U0004": ("bajo", None, "ninguna")}
+    assert got == {"U0001": (None, None, None), "U0002": ("medio", "frecuente", "básica"), "U0003": ("alto", "frecuente", "básica"), "U0004": ("bajo", "ocasional", "ninguna")}
 
 
 def test_page_parts(spark):
     html = '<html><body><nav><a href="/menu">menu</a></nav><article><h1>One &amp; two</h1><p>Para <a href="mailto:x@y">mail</a><a href="/go">See more</a></p><h2>Next</h2><ul><li>x</li></ul><iframe src="//www.youtube.com/embed/1"></iframe></article></body></html>'
     frame = spark.createDataFrame([(1, "https://h.org/a/b?x=1", html), (2, "https://h.org/a/b", None)], "page_id long, url string, html string")
     assert [(r.level, r.heading) for r in pages.headings(frame).orderBy("pos").collect()] == [(1, "One & two"), (2, "Next")]
-    assert {r.href for r in pages.links(frame).collect()} == {"https://h.org/menu", "https://h.org/go"}
+    assert {r.href for r in pages.links(frame, main_only=False).collect()} == {"https://h.org/menu", "https://h.org/go"}
     video = frame.filter("page_id = 1").select(pages.video_info(F.col("html")).alias("v")).first().v
     assert video.has_video and video.video_urls == ["https://www.youtube.com/embed/1"] and video.platforms == ["youtube"]
     assert {r.page_id: r.deduped_from for r in pages.fan_out(frame).collect()} == {1: None, 2: 1}
@@ -108,7 +110,132 @@ def test_sections_and_blocks(spark):
     docs = spark.createDataFrame([(1, "A\ntext\nB\nmore\nA", ["A", "Z", "B", "A"])], "page_id long, text string, headings array<string>")
     assert [(r.heading, r.start, r.end, r.found) for r in pages.sections(docs).orderBy("pos").collect()] == [("A", 0, 7, True), ("Z", None, None, False), ("B", 7, 14, True), ("A", 14, 15, True)]
     text = spark.createDataFrame([(1, "one\ntwo\n\n- a\n- b\n1. x\n\nend")], "page_id long, text string")
-    assert [(r.block, r.kind, r.n_lines) for r in pages.blocks(text).orderBy("block").collect()] == [(1, "paragraph", 2), (2, "ul", 2), (3, "ol", 1), (4, "paragraph", 1)]
+    assert [(r.block, r.kind, r.style, r.n_lines, r.items) for r in pages.blocks(text).orderBy("block").collect()] == [(1, "paragraph", None, 2, None), (2, "list", "ul", 3, ["a", "b", "x"]), (3, "paragraph", None, 1, None)]
+
+
+def loop_blocks(text, headings, links):
+    """Blocks of a text by a plain loop: headings in order, lists, paragraphs."""
+    norm = lambda x: " ".join(x.split()).lower()
+    out, buffer, kind, k = [], [], None, 0
+
+    def close():
+        nonlocal buffer
+        if buffer:
+            linked = kind == "list" and all(norm(x) in {norm(label) for label in links} for x in buffer)
+            out.append(("link_list" if linked else kind, len(buffer), "\n".join(buffer)))
+        buffer = []
+
+    for line in text.split("\n"):
+        item = re.sub(r"^\s*[-•·]\s+|^\s*\d+[.)]\s+", "", line)
+        if not line.strip():
+            now = None
+        elif k < len(headings) and norm(line) == norm(headings[k]):
+            now, k = "heading", k + 1
+        else:
+            now = "list" if item != line else "paragraph"
+        if now != kind or now == "heading":
+            close()
+        kind = now
+        if now:
+            buffer.append(item.strip() if now == "list" else line.strip())
+    close()
+    return out
+
+
+def test_blocks_equal_a_plain_loop(spark):
+    rng = random.Random(6)
+    lines = ["One", "Two  words", "", " ", "- alpha", "• beta", "3) gamma", "plain text", "Three", "more of it"]
+    rows = []
+    for i in range(60):
+        rows.append((i, "\n".join(rng.choices(lines, k=rng.randint(1, 14))), rng.sample(["One", "two words", "Three"], rng.randint(0, 3)), [("alpha", "h1"), ("Beta", "h2")][: rng.randint(0, 2)]))
+    frame = spark.createDataFrame(rows, "page_id long, text string, headings array<string>, links array<struct<label:string,href:string>>")
+    got = {i: [] for i in range(60)}
+    for r in pages.blocks(frame).orderBy("page_id", "block").collect():
+        got[r.page_id].append((r.kind, r.n_lines, "\n".join(r["items"]) if r["items"] is not None else r.content))
+    assert got == {i: loop_blocks(text, heads, [label for label, _ in links]) for i, text, heads, links in rows}
+
+
+def test_glossary_and_link_places(spark):
+    items = ["Term", "What it means, at length.", "Long item that ends with a point.", "Other term", "Its meaning", "Tail"]
+    text = "\n".join(f"- {x}" for x in items) + "\n\nSee the guide here.\n\nSee the guide again"
+    frame = spark.createDataFrame([(1, text, "Glosario web"), (2, text, "Vídeo")], "page_id long, text string, format string")
+    blocks = pages.blocks(frame)
+    kinds = {(r.page_id, r.block): (r.kind, r.entries) for r in blocks.collect()}
+    assert kinds[2, 1][0] == "list" and kinds[1, 1][0] == "glossary"
+    assert [(e.term, e.definition) for e in kinds[1, 1][1]] == [("Term", items[1]), ("", items[2]), ("Other term", "Its meaning"), ("", "Tail")]
+    links = spark.createDataFrame([(1, 0, "the guide", "u1"), (1, 1, "nowhere", "u2")], "page_id long, pos int, label string, href string")
+    assert [tuple(r) for r in pages.link_places(blocks, links).collect()] == [(1, "u1", 2, 4, 13)]
+
+
+def test_main_links_take_the_heading_over_a_call(spark):
+    html = '<nav><a href="/menu">menu</a></nav><article><h2>Budget tool</h2><a href="/tool">Try it</a><a href="b.html#x">A label that is long enough to stand</a><a href="/p#top">same page</a></article>'
+    got = {r.href: r.label for r in pages.links(spark.createDataFrame([(1, "https://h.org/p", html)], "page_id long, url string, html string")).collect()}
+    assert got == {"https://h.org/tool": "Budget tool", "https://h.org/b.html#x": "A label that is long enough to stand"}
+    video = '<script type="application/ld+json">[{"@type": "VideoObject", "embedUrl": "//v/1"}, {"@type": "Article", "url": "x"}]</script><script type="application/ld+json">{"@type": "VideoObject", "contentUrl": "https://v/2", "url": "y"}</script><script type="application/ld+json">{broken</script>'
+    assert spark.createDataFrame([(video,)], "html string").select(pages.video_objects(F.col("html"))).first()[0] == ["//v/1", "https://v/2"]
+
+
+def test_ingest_summary_states(spark):
+    frame = spark.createDataFrame([(1, "https://h/x.pdf", None), (2, "https://h/y", "<p></p>"), (3, "https://h/z", "<title>The guide</title><h1>Head</h1><p>" + "word " * 60 + "</p>")], "page_id long, url string, html string")
+    catalog = spark.createDataFrame([(3, "the  Guide!", "web", "Artículo")], "page_id long, title string, source string, format string")
+    got = {r.content_id: (r.url_type, r.status, r.ok, r.title_match, r.num_headings, r.classification, r.error) for r in pages.ingest_summary(frame, catalog).collect()}
+    assert got == {1: ("pdf", 0, False, False, 0, "fetch_error", "no body"), 2: ("html", 200, False, False, 0, "extract_error", ""), 3: ("html", 200, True, True, 1, "ok", "")}
+
+
+def test_requests_name_metadata_and_glossary(spark):
+    docs = spark.createDataFrame([("C1", "A title", "ahorro", None, "básico", "To save", ["One"] * 30, [("list", None), ("glossary", [("", "orphan"), ("Term", "d" * 300)])], "x" * 30_001), ("C2",) + (None,) * 8], "content_id string, title string, topic string, subtopic string, difficulty string, learning_objective string, headings array<string>, blocks array<struct<type:string,entries:array<struct<term:string,definition:string>>>>, text string")
+    concepts = spark.createDataFrame([("C02", "two"), ("C01", "one")], "concept_id string, concept_name string")
+    got = {r.content_id: r.prompt for r in enrich.requests(docs, concepts).collect()}
+    lines = got["C1"].split("\n")
+    assert lines[:5] == ["- Title: A title", "- Topic: ahorro / ", "- Difficulty: básico", "- Objective: To save", "Concepts: C01 (one); C02 (two)"]
+    assert lines[5:7] == ["Glossary:", "- Term: " + "d" * 200] and lines.count("- One") == 20 and lines[-1] == "[...]"
+    assert "(none)" in got["C2"] and got["C2"].startswith("- Title: \n")
+
+
+def test_eligibility_rules_by_hand(spark):
+    events = log(spark, [(1, 0, 1, 1.0, "completed"), (1, 1, 2, 1.0, "viewed"), (2, 2, 1, 1.0, "disliked"), (2, 1, 2, 1.0, "viewed"), (1, 2, 3, 1.0, "viewed")])
+    users = spark.createDataFrame([(1, "bajo", "ninguna"), (2, "alto", "básica")], "user_id long, level string, experience string")
+    contents = spark.createDataFrame([(0, 0, "básico", False), (1, 0, "intermedio", False), (2, 1, "avanzado", True)], "content_id int, topic int, difficulty string, is_investment_related boolean")
+    topics = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 3)], "topic int, place int, concept_id int")
+    seen = audit.first_seen(events, contents.join(topics, "topic").select("content_id", "concept_id"))
+    needs = audit.content_needs(contents, topics, [1, 2])
+    got = {r.event_id: [k for k in ("r1", "r2", "r3", "r4") if r[k]] for r in audit.eligibility(events, users, contents, seen, needs).collect()}
+    # event 2: nothing was seen before; event 3: a bounced event marks nothing; event 4: concepts 1 and 2 were seen, 3 not
+    assert got == {0: [], 1: [], 2: ["r2", "r3", "r4"], 3: ["r4"], 4: ["r1", "r2", "r4"]}
+    pairs = users.select("user_id").crossJoin(contents.select("content_id"))
+    allowed = audit.qualifying(pairs, users, contents, seen, needs)
+    assert {tuple(r) for r in allowed.collect()} == {(1, 0), (1, 1), (2, 0), (2, 1)}
+    pool = {(r.user_id, r.target): (r.tier, r.n_contents) for r in audit.difficulty_pool(allowed.filter("user_id = 1"), pairs, contents).collect()}
+    assert pool == {(1, "básico"): (1, 1), (1, "intermedio"): (1, 1), (1, "avanzado"): (2, 1), (2, "básico"): (3, 1), (2, "intermedio"): (3, 1), (2, "avanzado"): (3, 1)}
+
+
+def test_ridge_equals_the_closed_form(spark):
+    rng = np.random.default_rng(3)
+    rows = [(u, c, float(rng.random())) for u in range(12) for c in range(6) if (u * 7 + c * 3) % 4]
+    users = spark.createDataFrame([(u, "ab"[u % 2]) for u in range(12)], "user_id long, kind string")
+    contents = spark.createDataFrame([(c, "xyz"[c % 3]) for c in range(6)], "content_id int, topic string")
+    got = {(r.user_id, r.content_id): r.score for r in scorers.svd_ridge(spark.createDataFrame(rows, "user_id long, content_id int, score double"), users, contents, ["kind"], ["topic"], rank=3).collect()}
+    a = np.zeros((12, 6))
+    for u, c, s in rows:
+        a[u, c] = s
+    u_, s_, v_ = np.linalg.svd(a, full_matrices=False)
+    dots = (u_[:, :3] * s_[:3]) @ v_[:3]
+    x = lambda u, c: [dots[u, c], u % 2 == 0, u % 2 == 1, c % 3 == 0, c % 3 == 1, c % 3 == 2]
+    m, y = np.array([x(u, c) for u, c, _ in rows], float), np.array([s for *_, s in rows])
+    centred = m - m.mean(0)
+    w = np.linalg.solve(centred.T @ centred + np.eye(6), centred.T @ (y - y.mean()))
+    want = {(u, c): y.mean() + (np.array(x(u, c), float) - m.mean(0)) @ w for u in range(12) for c in range(6)}
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-6
+
+
+def test_draws_follow_their_weights(spark):
+    u = profiles.coin(4, F.col("id"))
+    got = {r.x: r["count"] for r in spark.range(20_000).select(profiles.draw(u, [("a", 0.3), ("b", 0.4), ("c", 0.3)]).alias("x")).groupBy("x").count().collect()}
+    assert all(abs(got[k] / 20_000 - w) < 0.01 for k, w in (("a", 0.3), ("b", 0.4), ("c", 0.3)))
+    picks = profiles.weighted_pick(spark.range(6_000).crossJoin(spark.createDataFrame([(1, 1.0), (2, 3.0)], "item int, w double")), "id", "item", "w").groupBy("item").count().collect()
+    assert abs({r["item"]: r["count"] for r in picks}[2] / 6_000 - 0.75) < 0.04
+    named = audit.numbered(spark.range(0, 300_000, 7).withColumnRenamed("id", "k"), "k").filter("number <> k / 7 + 1").count()
+    assert named == 0
 
 
 def test_validation_codes(spark):
@@ -124,10 +251,15 @@ def test_validation_codes(spark):
 def test_text_functions(spark):
     row = spark.range(1).select(
         T.titles_match(F.lit(" Hola  Mundo "), F.lit("hola mundo!")).alias("match"), T.titles_match(F.lit(""), F.lit("x")).alias("blank"), T.is_pdf_url(F.lit("https://h/x.PDF?a=1")).alias("pdf"),
-        T.loose_date(F.lit("D:20210304120000")).alias("date"), T.loose_date(F.lit("2021-03")).alias("month"), T.is_pdf_body(F.lit(b"%PDF-1.4")).alias("magic"), T.decoded(F.lit('charset=iso-8859-1 "é"'.encode("latin-1"))).alias("text"),
+        T.loose_date(F.lit("D:20210304120000+02'00'")).alias("date"), T.loose_date(F.lit("2021.03.04")).alias("dots"), T.loose_date(F.lit("p. 12345")).alias("other"), T.loose_date(F.lit(" ")).alias("nothing"),
+        T.decoded(F.lit(b"charset=windows-1252 \x80")).alias("euro"), T.decoded(F.lit(b"charset=iso-8859-15 \xa4")).alias("euro15"), T.title_guess(F.lit("12\nab\n3 Guide of x\nA fair title\nSame lengths\nshort one")).alias("title"),
+        T.subset(F.array(F.lit(1)), F.array(F.lit(1), F.lit(2))).alias("sub"), T.subset(F.lit(None).cast("array<int>"), F.array(F.lit(1))).alias("none_needed"), T.first_are_in(F.array(F.lit(1), F.lit(2), F.lit(9)), F.array(F.lit(2), F.lit(1))).alias("two"),
+        T.filled(F.create_map(F.lit("a"), F.lit("x"), F.lit("b"), F.lit(""))).alias("map"), T.lenient_timestamp(F.lit("never")).alias("never"), T.loose_date(F.lit("2021-03")).alias("month"), T.is_pdf_body(F.lit(b"%PDF-1.4")).alias("magic"), T.decoded(F.lit('charset=iso-8859-1 "é"'.encode("latin-1"))).alias("text"),
         T.without_page_lines(F.lit("12\nreal line\n3 Guide of x\n\n\n\nend")).alias("lines"),
     ).first()
     assert row.match and not row.blank and row.pdf and row.magic
+    assert row.dots == "2021-03-04" and row.other == "p. 12345" and row.nothing is None and row.euro.endswith("€") and row.euro15.endswith("€") and row.title == "A fair title"
+    assert row.sub and row.none_needed and row.two and row.map == {"a": "x"} and row.never is None
     assert row.date == "2021-03-04" and row.month == "2021-03" and "é" in row.text and row.lines == "real line\n\nend"
 
 

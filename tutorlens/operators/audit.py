@@ -91,19 +91,113 @@ def last_wins(frame: DataFrame, key: str, place: str, value: str) -> DataFrame:
 
 
 def first_seen(events: DataFrame, concepts_of: DataFrame) -> DataFrame:
-    """(user_id, concept_id, first_ts) over engaged events (not disliked)."""
+    """(user_id, concept_id, first_ts) over engaged events (not disliked); concepts_of (content_id, concept_id)."""
     return events.filter("event <> 'disliked'").join(concepts_of, "content_id").groupBy("user_id", "concept_id").agg(F.min("ts").alias("first_ts"))
 
 
-def eligibility(events: DataFrame, users: DataFrame, contents: DataFrame, seen: DataFrame, needs: DataFrame) -> DataFrame:
-    """Events with the rules that they break: r1 low knowledge with advanced content, r2 advanced investment content
-    without high knowledge, r3 needed concepts (needs: content_id, concept_id) not seen earlier."""
-    facts = events.join(users.select("user_id", "level"), "user_id", "left").join(contents.select("content_id", "difficulty", "is_investment_related"), "content_id")
-    unseen = events.select("event_id", "user_id", "content_id", "ts").join(needs, "content_id").join(seen, ["user_id", "concept_id"], "left")
-    late = unseen.filter(F.col("first_ts").isNull() | (F.col("first_ts") >= F.col("ts"))).select("event_id").distinct().withColumn("late", F.lit(True))
+def content_needs(contents: DataFrame, topic_concepts: DataFrame, investment: list[int], base: int = 2) -> DataFrame:
+    """(content_id, rule, concept_id): concepts that r3 (investment contents) and r4 (the first ones of the topic) ask for;
+    basic contents ask for none."""
+    asking = contents.filter("difficulty <> 'básico'")
+    r3 = asking.filter("is_investment_related").select("content_id", F.lit("r3").alias("rule"), F.explode(F.array(*[F.lit(c) for c in investment])).alias("concept_id"))
+    r4 = asking.join(topic_concepts.filter(F.col("place") < base), "topic").select("content_id", F.lit("r4").alias("rule"), "concept_id")
+    return r3.unionByName(r4)
+
+
+def _levels() -> tuple[Column, Column]:
+    """r1: advanced content for low (or unknown) knowledge without investing experience; r2: advanced investment content
+    for beginners. An unknown experience is none of these."""
     advanced = F.col("difficulty") == "avanzado"
-    return facts.join(late, "event_id", "left").select(
-        "event_id", "user_id", "content_id",
-        (advanced & F.coalesce(F.col("level") == "bajo", F.lit(True))).alias("r1"), (advanced & F.col("is_investment_related") & F.coalesce(F.col("level") != "alto", F.lit(True))).alias("r2"),
-        ((F.col("difficulty") != "básico") & F.col("late").isNotNull()).alias("r3"),
-    )
+    r1 = advanced & F.coalesce(F.col("level") == "bajo", F.lit(True)) & F.coalesce(F.col("experience") == "ninguna", F.lit(False))
+    return r1, advanced & F.col("is_investment_related") & F.coalesce(F.col("experience").isin("ninguna", "básica"), F.lit(False))
+
+
+def eligibility(events: DataFrame, users: DataFrame, contents: DataFrame, seen: DataFrame, needs: DataFrame) -> DataFrame:
+    """Events with the rules that they break: r1 and r2 by level and experience, r3 and r4 where a needed concept (needs:
+    content_id, rule, concept_id) was not seen earlier (seen: user_id, concept_id, first_ts)."""
+    facts = events.join(users.select("user_id", "level", "experience"), "user_id", "left").join(contents.select("content_id", "difficulty", "is_investment_related"), "content_id")
+    asked = events.select("event_id", "user_id", "content_id", "ts").join(needs, "content_id").join(seen, ["user_id", "concept_id"], "left")
+    late = F.col("first_ts").isNull() | (F.col("first_ts") >= F.col("ts"))
+    missing = asked.filter(late).groupBy("event_id").agg(F.max(F.col("rule") == "r3").alias("m3"), F.max(F.col("rule") == "r4").alias("m4"))
+    r1, r2 = _levels()
+    return facts.join(missing, "event_id", "left").select("event_id", "user_id", "content_id", r1.alias("r1"), r2.alias("r2"), F.coalesce("m3", F.lit(False)).alias("r3"), F.coalesce("m4", F.lit(False)).alias("r4"))
+
+
+def qualifying(pairs: DataFrame, users: DataFrame, contents: DataFrame, seen: DataFrame, needs: DataFrame) -> DataFrame:
+    """Those of pairs (user_id, content_id) that break none of the four rules, given all concepts seen so far."""
+    facts = pairs.join(users.select("user_id", "level", "experience"), "user_id").join(contents.select("content_id", "difficulty", "is_investment_related"), "content_id")
+    r1, r2 = _levels()
+    missing = pairs.join(needs.select("content_id", "concept_id").distinct(), "content_id").join(seen.select("user_id", "concept_id"), ["user_id", "concept_id"], "left_anti").select("user_id", "content_id").distinct()
+    return facts.filter(~r1 & ~r2).select("user_id", "content_id").join(missing, ["user_id", "content_id"], "left_anti")
+
+
+def difficulty_pool(qualified: DataFrame, pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """(user_id, target, tier, n_contents): what a user may get for each target difficulty: 1 qualified contents of that
+    difficulty, else 2 qualified basic ones, else 3 all basic ones."""
+    levels = contents.select("content_id", "difficulty")
+    own = qualified.join(levels, "content_id")
+    targets = F.explode(F.array(*[F.lit(x) for x in ("básico", "intermedio", "avanzado")])).alias("target")
+    first = own.select("user_id", F.col("difficulty").alias("target"), F.lit(1).alias("tier"), "content_id")
+    second = own.filter("difficulty = 'básico'").select("user_id", targets, F.lit(2).alias("tier"), "content_id")
+    third = pairs.join(levels.filter("difficulty = 'básico'"), "content_id").select("user_id", targets, F.lit(3).alias("tier"), "content_id")
+    n = first.unionByName(second).unionByName(third).groupBy("user_id", "target", "tier").agg(F.count("*").alias("n_contents"))
+    return n.groupBy("user_id", "target").agg(F.min("tier").alias("tier"), F.min_by("n_contents", "tier").alias("n_contents"))
+
+
+def sparsities(interactions: DataFrame, users: DataFrame, contents: DataFrame) -> DataFrame:
+    """One row: share of empty cells over active contents counting rows, and over the whole grid counting scored pairs."""
+    seen = interactions.agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("u"), F.countDistinct("content_id").alias("c"))
+    cells = interactions.groupBy("user_id", "content_id").agg(F.avg("score").alias("s")).filter("s <> 0").agg(F.count("*").alias("filled"))
+    size = users.agg(F.count("*").alias("nu")).crossJoin(contents.agg(F.count("*").alias("nc")))  # one row on either side
+    both = seen.crossJoin(cells).crossJoin(size)
+    return both.select(F.round(1 - F.col("n") / (F.col("u") * F.col("c")), 6).alias("active_sparsity"), F.round(1 - F.col("filled") / (F.col("nu") * F.col("nc")), 6).alias("grid_sparsity"))
+
+
+def most_common(frame: DataFrame, column: str, n: int) -> DataFrame:
+    """(column, n_rows): the n most frequent values, ties to the smaller value."""
+    return frame.groupBy(column).agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), column).limit(n)
+
+
+def weighted_mode(frame: DataFrame, key: str, value: str, weight: str) -> DataFrame:
+    """(key, value, weight): the value with the largest sum of weights for each key, ties to the larger value."""
+    total = frame.groupBy(key, value).agg(F.sum(weight).alias("w"))
+    best = F.max(F.struct("w", value)).alias("best")
+    return total.groupBy(key).agg(best).select(key, F.col(f"best.{value}").alias(value), F.col("best.w").alias("weight"))
+
+
+def quartiles(frame: DataFrame, by: str, value: str) -> DataFrame:
+    """(quartile, n, mean_value): rows by the exact quartile cuts of a column, and the mean of another in each."""
+    cuts = frame.agg(*[F.percentile(by, q).alias(f"q{i}") for i, q in enumerate((0.25, 0.5, 0.75))])  # one row
+    at = 1 + sum(((F.col(by) > F.col(f"q{i}")).cast("int") for i in range(3)), F.lit(0))
+    return frame.crossJoin(cuts).groupBy(at.alias("quartile")).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean_value"))
+
+
+def histogram(frame: DataFrame, column: str, width: float) -> DataFrame:
+    return frame.groupBy(F.floor(F.col(column) / width).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def symmetric_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, side): values that one side only has."""
+    only = lambda a, b, side: a.select(key).distinct().join(b.select(key), key, "left_anti").withColumn("side", F.lit(side))
+    return only(left, right, "left").unionByName(only(right, left, "right"))
+
+
+def bounds_per_user(interactions: DataFrame, least: int, most: int) -> DataFrame:
+    """One row: smallest and largest number of rows a user, and the users outside the bounds."""
+    n = interactions.groupBy("user_id").agg(F.count("*").alias("n"))
+    return n.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count_if(F.col("n") < least).alias("too_few"), F.count_if(F.col("n") > most).alias("too_many"))
+
+
+def numbered(frame: DataFrame, key: str, name: str = "number", width: int = 65_536) -> DataFrame:
+    """frame with numbers from 1 in the order of an integer key, ties in any order: ranges of the key are counted, then
+    numbered each in a task of its own."""
+    ranged = frame.withColumn("nb_range", F.floor(F.col(key) / width))
+    upto = Window.orderBy("nb_range").rowsBetween(Window.unboundedPreceding, -1)  # over the table of ranges
+    offsets = ranged.groupBy("nb_range").agg(F.count("*").alias("nb_n")).select("nb_range", F.coalesce(F.sum("nb_n").over(upto), F.lit(0)).alias("nb_before"))
+    place = F.row_number().over(Window.partitionBy("nb_range").orderBy(key))
+    return ranged.withColumn("nb_place", place).join(offsets, "nb_range").withColumn(name, (F.col("nb_place") + F.col("nb_before")).cast("long")).drop("nb_range", "nb_place", "nb_before")
+
+
+def zipped(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
+    """Rows of both frames side by side by their place in the order of their keys."""
+    return numbered(left, left_key).join(numbered(right, right_key), "number")

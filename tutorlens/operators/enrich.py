@@ -15,11 +15,26 @@ def cut_text(text: Column, n: int = TEXT_LIMIT) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("\n[...]"))).otherwise(text)
 
 
+def glossary_lines(blocks: Column) -> Column:
+    """Lines of the glossary blocks' first ENTRIES entries that have a term, definitions cut; blocks array<struct<type,
+    entries array<struct<term,definition>>>>."""
+    entries = F.slice(F.flatten(F.transform(F.filter(blocks, lambda b: b["type"] == "glossary"), lambda b: b["entries"])), 1, ENTRIES)
+    named = F.filter(entries, lambda e: F.coalesce(e["term"] != "", F.lit(False)))
+    return F.array_join(F.transform(named, lambda e: F.concat(F.lit("- "), e["term"], F.lit(": "), F.substring(F.coalesce(e["definition"], F.lit("")), 1, DEFINITION))), "\n")
+
+
 def requests(docs: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(content_id, prompt) of docs (content_id, title, headings, text); the concept list is one row."""
-    known = concepts.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.col("concept_id").cast("string"), "concept_name"))), "\n").alias("known"))
-    bullets = F.array_join(F.transform(F.slice("headings", 1, HEADINGS), lambda h: F.concat(F.lit("- "), h)), "\n")
-    return docs.crossJoin(known).select("content_id", F.concat_ws("\n", F.concat(F.lit("Title: "), F.coalesce("title", F.lit(""))), F.lit("Concepts:"), "known", F.lit("Headings:"), bullets, F.lit("Text:"), cut_text(F.col("text"))).alias("prompt"))
+    """(content_id, prompt) of docs (content_id, title, topic, subtopic, difficulty, learning_objective, headings, blocks,
+    text); a null field is left empty. The concept list is one row."""
+    known = concepts.agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s (%s)", F.col("concept_id").cast("string"), "concept_name"))), "; ").alias("known"))
+    field = lambda name, *cols: F.concat(F.lit(f"- {name}: "), F.concat_ws(" / ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
+    bullets = F.array_join(F.transform(F.slice(F.coalesce("headings", F.array().cast("array<string>")), 1, HEADINGS), lambda h: F.concat(F.lit("- "), h)), "\n")
+    terms = F.coalesce(glossary_lines(F.col("blocks")), F.lit(""))
+    parts = [
+        field("Title", "title"), field("Topic", "topic", "subtopic"), field("Difficulty", "difficulty"), field("Objective", "learning_objective"), F.concat(F.lit("Concepts: "), F.col("known")),
+        F.when(terms != "", F.concat(F.lit("Glossary:\n"), terms)), F.lit("Headings:"), F.when(bullets == "", "(none)").otherwise(bullets), F.lit("Text:"), F.coalesce(cut_text(F.col("text")), F.lit("")),
+    ]
+    return docs.crossJoin(known).select("content_id", F.concat_ws("\n", *parts).alias("prompt"))
 
 
 def json_part(response: Column) -> Column:
@@ -36,7 +51,7 @@ def validate(responses: DataFrame, concepts: DataFrame) -> DataFrame:
     parsed = responses.withColumn("r", F.from_json(json_part(F.col("response")), RECORD)).crossJoin(known)
     quiz = F.col("r.quiz")
     bad = lambda test: F.coalesce(F.exists(quiz, test), F.lit(False))
-    blank = lambda c: F.coalesce(F.length(F.trim(c)) == 0, F.lit(True))
+    blank = lambda c: F.coalesce(F.length(c) == 0, F.lit(True))
     rules = [
         ("no json", F.col("r").isNull() | (F.col("r.tldr").isNull() & quiz.isNull())),
         ("tldr", F.coalesce(F.length(F.trim("r.tldr")) < 20, F.lit(True))),
@@ -48,15 +63,23 @@ def validate(responses: DataFrame, concepts: DataFrame) -> DataFrame:
         ("explanation", bad(lambda q: blank(q["explanation"]))),
     ]
     errors = F.array_compact(F.array(*[F.when(hit, name) for name, hit in rules]))
-    clean = F.struct(
-        F.trim("r.tldr").alias("tldr"), F.filter(F.transform("r.key_points", lambda p: F.trim(p)), lambda p: p != "").alias("key_points"),
-        F.transform(quiz, lambda q: q.withField("concept_id", F.when(F.array_contains("known", q["concept_id"]), q["concept_id"]))).alias("quiz"),
+    question = lambda q: F.struct(
+        F.trim(q["question"]).alias("question"), F.transform(q["options"], lambda o: F.trim(o)).alias("options"), q["correct_index"].alias("correct_index"),
+        F.trim(q["explanation"]).alias("explanation"), F.when(F.array_contains("known", q["concept_id"]), q["concept_id"]).alias("concept_id"),
     )
+    clean = F.struct(F.col("r.tldr").alias("tldr"), F.filter(F.transform("r.key_points", lambda p: F.trim(p)), lambda p: p != "").alias("key_points"), F.transform(quiz, question).alias("quiz"))
     return parsed.select("content_id", (F.size(errors) == 0).alias("ok"), errors.alias("errors"), F.when(F.size(errors) == 0, clean).alias("data"))
 
 
-def outcome(validated: DataFrame) -> DataFrame:
-    return validated.agg(F.count_if("ok").alias("n_ok"), F.count_if(F.expr("not ok")).alias("n_error"), F.count("*").alias("n_all"))
+def outcome(validated: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """One row: records ok, with errors and skipped (already done)."""
+    n = validated.agg(F.count_if("ok").alias("n_ok"), F.count_if(F.expr("not ok")).alias("n_error"), F.count("*").alias("n_all"))
+    return n.withColumn("n_skipped", F.lit(0).cast("long")) if skipped is None else n.crossJoin(skipped.agg(F.count("*").alias("n_skipped")))
+
+
+def error_list(validated: DataFrame) -> DataFrame:
+    """(error, n): records by error, one row an error."""
+    return validated.select(F.explode("errors").alias("error")).groupBy("error").agg(F.count("*").alias("n"))
 
 
 def quiz_by_concept(validated: DataFrame) -> DataFrame:

@@ -20,6 +20,11 @@ def mastered(events: DataFrame, content_concepts: DataFrame) -> DataFrame:
     return done.join(content_concepts.filter("coverage_type = 'directa'").select("content_id", "concept_id"), "content_id").select("user_id", "concept_id").distinct()
 
 
+def with_initial(earned: DataFrame, initial: DataFrame) -> DataFrame:
+    """Union of earned and initial mastery (user_id, concept_id)."""
+    return earned.unionByName(initial).distinct()
+
+
 def qualify(candidates: DataFrame, required_concepts: DataFrame, mastered_concepts: DataFrame) -> DataFrame:
     """candidates (user_id, content_id, ...) with `qualified`: no required concept is missing."""
     have = mastered_concepts.select("user_id", F.col("concept_id").alias("required_concept_id"))

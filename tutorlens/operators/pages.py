@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import extraction_class, host, plain
+from ..functions.text import extraction_class, host, is_pdf_url, normal, plain, titles_match
 
 
 def main_text(html: Column) -> Column:
@@ -14,7 +14,7 @@ def main_text(html: Column) -> Column:
     article = F.regexp_extract(bare, r"(?is)<article[^>]*>(.*?)</article>", 1)
     body = F.when(article != "", article).otherwise(F.regexp_replace(bare, r"(?is)<head>.*?</head>", " "))
     lines = F.regexp_replace(body, r"(?i)</?(p|div|h[1-6]|li|ul|ol|br|section|article|tr)\b[^>]*>", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain(lines), r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain(lines), r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def headings(pages: DataFrame) -> DataFrame:
@@ -25,21 +25,28 @@ def headings(pages: DataFrame) -> DataFrame:
     return each.filter("heading <> ''").withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, label, href): absolute links with a label of 3 characters or more, each target once."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>"), F.lit(0))
-    each = pages.select("page_id", "url", F.posexplode(found).alias("pos", "tag")).select("page_id", "pos", plain(F.col("tag")).alias("label"), F.regexp_extract("tag", r'(?i)href="([^"]*)"', 1).alias("raw"), "url")
-    wanted = each.filter(~F.col("raw").rlike(r"^(#|mailto:|javascript:|$)") & (F.length("label") >= 3))
+def links(pages: DataFrame, main_only: bool = True) -> DataFrame:
+    """(page_id, pos, label, href): absolute links with a label of 3 characters or more, each target once, from the main
+    part (article or main; none without one) or, without main_only, the whole page. Anchors of the page itself are left
+    out. A short label without end punctuation is a call to action: the heading before it tells what it leads to."""
+    main = F.regexp_extract("html", r"(?is)<(?:main|article)\b[^>]*>(.*)</(?:main|article)>", 1)
+    found = F.regexp_extract_all(main if main_only else F.col("html"), F.lit(r"(?is)<h[1-4][^>]*>.*?</h[1-4]>|<a\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>"), F.lit(0))
+    each = pages.select("page_id", "url", F.posexplode(found).alias("pos", "tag")).select("page_id", "pos", "url", plain(F.col("tag")).alias("label"), F.col("tag").rlike("(?i)^<h[1-4]").alias("is_heading"), F.trim(F.regexp_extract("tag", r'(?i)^<a\s[^>]*?href="([^"]*)"', 1)).alias("raw"))
+    before = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    headed = each.withColumn("over", F.last(F.when(F.col("is_heading"), F.col("label")), ignorenulls=True).over(before))
+    wanted = headed.filter(~F.col("is_heading") & ~F.col("raw").rlike(r"^(#|mailto:|javascript:|$)") & (F.length("label") >= 3))
     root = F.concat(F.regexp_extract("url", r"^(https?)://", 1), F.lit("://"), host(F.col("url")))
     href = F.when(F.col("raw").rlike("^https?://"), F.col("raw")).when(F.col("raw").startswith("//"), F.concat(F.lit("https:"), F.col("raw"))).when(F.col("raw").startswith("/"), F.concat(root, F.col("raw"))).otherwise(F.concat(F.regexp_replace("url", r"[^/]*$", ""), F.col("raw")))
+    call = (F.length("label") < 25) & ~F.col("label").rlike("[.?!:]$") & (F.coalesce(F.length("over"), F.lit(0)) >= 3)
     first = Window.partitionBy("page_id", "href").orderBy("pos")
-    return wanted.withColumn("href", href).withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("page_id", "pos", "label", "href")
+    absolute = wanted.withColumn("href", href).filter(~(F.col("href").contains("#") & (F.regexp_replace("href", r"[?#].*$", "") == F.regexp_replace("url", r"[?#].*$", ""))))
+    return absolute.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("page_id", "pos", F.when(call, F.col("over")).otherwise(F.col("label")).alias("label"), "href")
 
 
 def video_info(html: Column) -> Column:
     """struct(has_video, video_urls, platforms): video tags, frames of known platforms and data attributes."""
     grab = lambda p: F.regexp_extract_all(html, F.lit(p), F.lit(1))
-    sources = F.concat(grab(r"(?is)<(?:video|source)\b[^>]*?src=[\"']([^\"']+)"), grab(r"(?is)<iframe\b[^>]*?src=[\"']([^\"']*(?:youtube|youtu\.be|vimeo|dailymotion)[^\"']*)"), grab(r"(?is)data-video=[\"']([^\"']+)"), grab(r"(?is)\"(?:contentUrl|embedUrl)\"\s*:\s*\"([^\"]+)"))
+    sources = F.concat(grab(r"(?is)<(?:video|source)\b[^>]*?src=[\"']([^\"']+)"), grab(r"(?is)<iframe\b[^>]*?src=[\"']([^\"']*(?:youtube|youtu\.be|vimeo|dailymotion)[^\"']*)"), grab(r"(?is)data-video=[\"']([^\"']+)"), video_objects(html))
     urls = F.array_distinct(F.transform(sources, lambda u: F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u)))
     platform = lambda u: F.when(u.rlike(r"youtube|youtu\.be"), "youtube").when(u.contains("vimeo"), "vimeo").when(u.contains("dailymotion"), "dailymotion").otherwise("html5")
     return F.struct((F.size(urls) > 0).alias("has_video"), urls.alias("video_urls"), F.array_sort(F.array_distinct(F.transform(urls, platform))).alias("platforms"))
@@ -78,16 +85,73 @@ def sections(docs: DataFrame) -> DataFrame:
     return each.select("page_id", "pos", "heading", F.when(F.col("found"), F.col("start")).alias("start"), F.when(F.col("found"), end).alias("end"), "found")
 
 
+ITEM, NUMBER = r"^\s*[-•·]\s+", r"^\s*\d+[.)]\s+"
+ENTRY = "array<struct<term:string,definition:string>>"
+
+
+def headings_at(lines: Column, heads: Column) -> Column:
+    """For each line the place of the heading that it is, or -1: headings (array of texts) are met in their order."""
+    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<int>").alias("at"))
+
+    def step(acc: Column, line: Column) -> Column:
+        hit = F.coalesce(normal(line) == normal(F.get(heads, acc["k"])), F.lit(False)) & (F.trim(line) != "")
+        return F.struct((acc["k"] + hit.cast("int")).alias("k"), F.concat(acc["at"], F.array(F.when(hit, acc["k"]).otherwise(-1))).alias("at"))
+
+    return F.aggregate(lines, start, step, lambda acc: acc["at"])
+
+
+def glossary_entries(items: Column) -> Column:
+    """Pairs of term and definition: an item that looks like a term (60 characters and 8 words at most, no closing point)
+    takes the next one as its definition; others are definitions without a term."""
+    short = lambda t: (t != "") & (F.length(t) <= 60) & ~t.rlike("[.,;]$") & (F.size(F.split(t, r"\s+")) <= 8)
+    start = F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("term"), F.array().cast(ENTRY).alias("out"))
+
+    def step(acc: Column, item: Column) -> Column:
+        t = F.trim(item)
+        opens = acc["term"].isNull() & short(t) & (acc["i"] < F.size(items) - 1)
+        entry = F.array(F.struct(F.coalesce(acc["term"], F.lit("")).alias("term"), t.alias("definition")))
+        return F.struct((acc["i"] + 1).alias("i"), F.when(opens, t).alias("term"), F.when(opens, acc["out"]).otherwise(F.concat(acc["out"], entry)).alias("out"))
+
+    return F.aggregate(items, start, step, lambda acc: acc["out"])
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """docs (page_id, text) -> (page_id, block, kind, n_lines, content): runs of lines of a kind (ul, ol, paragraph),
-    closed by blank lines."""
-    lines = docs.select("page_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    kind = F.when(F.trim("line") == "", "blank").when(F.col("line").rlike(r"^\s*[-*•]\s+"), "ul").when(F.col("line").rlike(r"^\s*\d+[.)]\s+"), "ol").otherwise("paragraph")
+    """docs (page_id, text, and if there are any headings array<string>, links array<struct<label,href>>, format) ->
+    (page_id, block, kind, style, n_lines, content, items, entries): runs of lines, closed by blank lines. Lines that are
+    the next heading are blocks of their own. A list is a link_list if every item is the label of a link, a glossary if
+    the format says so, it has four bullets or more and half its entries have a term."""
+    for name, kind in (("headings", "array<string>"), ("links", "array<struct<label:string,href:string>>"), ("format", "string")):
+        if name not in docs.columns:
+            docs = docs.withColumn(name, F.lit(None).cast(kind))
+    cut = docs.withColumn("lines", F.split("text", "\n", -1)).withColumn("at", F.when(F.size("headings") > 0, headings_at(F.col("lines"), F.col("headings"))))
+    lines = cut.select("page_id", F.posexplode("lines").alias("pos", "line"), "at").withColumn("head", F.coalesce(F.get("at", F.col("pos")), F.lit(-1)))
+    style = F.when(F.col("line").rlike(ITEM), "ul").when(F.col("line").rlike(NUMBER), "ol")
+    kind = F.when(F.trim("line") == "", "blank").when(F.col("head") >= 0, "heading").when(style.isNotNull(), "list").otherwise("paragraph")
     order = Window.partitionBy("page_id").orderBy("pos")
-    new = F.when(F.col("kind") != F.lag("kind", 1, "").over(order), 1).otherwise(0)
-    grouped = lines.withColumn("kind", kind).withColumn("new", new).withColumn("run", F.sum("new").over(order)).filter("kind <> 'blank'")
-    each = grouped.groupBy("page_id", "run", "kind").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: F.trim(x["line"])), "\n").alias("content"))
-    return each.select("page_id", (F.dense_rank().over(Window.partitionBy("page_id").orderBy("run"))).alias("block"), "kind", "n_lines", "content")
+    new = F.when((F.col("kind") != F.lag("kind", 1, "").over(order)) | (F.col("kind") == "heading"), 1).otherwise(0)
+    grouped = lines.drop("at").withColumn("kind", kind).withColumn("style", style).withColumn("new", new).withColumn("run", F.sum("new").over(order)).filter("kind <> 'blank'")
+    bare = F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x["line"], ITEM, ""), NUMBER, "")))
+    each = grouped.groupBy("page_id", "run", "kind").agg(
+        F.min_by("style", "pos").alias("style"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: F.trim(x["line"])), "\n").alias("content"), F.when(F.col("kind") == "list", bare).alias("items")
+    )
+    told = each.join(docs.select("page_id", "links", "format"), "page_id")
+    linked = (F.col("kind") == "list") & F.coalesce(F.forall("items", lambda i: F.exists("links", lambda link: normal(link["label"]) == normal(i))), F.lit(False))
+    pairs = F.when((F.col("style") == "ul") & (F.size("items") >= 4) & F.lower(F.coalesce("format", F.lit(""))).contains("glosario"), glossary_entries(F.col("items")))
+    paired = told.withColumn("pairs", pairs)
+    terms = F.size(F.filter("pairs", lambda e: e["term"] != ""))
+    glossary = ~linked & F.coalesce(terms >= F.greatest(F.lit(1), F.floor(F.size("pairs") / 2)), F.lit(False))
+    named = paired.withColumn("entries", F.when(glossary, F.col("pairs"))).withColumn("kind", F.when(linked, "link_list").when(glossary, "glossary").otherwise(F.col("kind")))
+    return named.select("page_id", F.dense_rank().over(Window.partitionBy("page_id").orderBy("run")).alias("block"), "kind", "style", "n_lines", "content", "items", "entries")
+
+
+def link_places(blocks: DataFrame, links: DataFrame) -> DataFrame:
+    """(page_id, href, block, start, end): each link (page_id, pos, label, href) at its label's first place in the first
+    paragraph that has it; links that no paragraph names are absent."""
+    paragraphs = blocks.filter("kind = 'paragraph'").select("page_id", "block", "content")
+    at = F.instr("content", F.col("label"))
+    met = links.join(paragraphs, "page_id").withColumn("at", at).filter("at > 0")
+    first = met.groupBy("page_id", "pos", "href", "label").agg(F.min(F.struct("block", "at")).alias("p"))
+    return first.select("page_id", "href", "p.block", (F.col("p.at") - 1).alias("start"), (F.col("p.at") - 1 + F.length("label")).alias("end"))
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -101,3 +165,29 @@ def records(pages: DataFrame) -> DataFrame:
 
 def class_counts(frame: DataFrame) -> DataFrame:
     return frame.groupBy("classification").agg(F.count("*").alias("n"), F.sum("text_len").alias("chars"))
+
+
+def ingest_summary(pages: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """The flat report of an ingest, one row a page. status is 200 with a body and 0 without; a page without a body has
+    class fetch_error, one without text extract_error. catalog (page_id, title, source, format) may be missing."""
+    extra = catalog if catalog is not None else pages.select("page_id", *[F.lit(None).cast("string").alias(c) for c in ("title", "source", "format")])
+    known = extra.select("page_id", F.col("title").alias("title_csv"), F.col("source").alias("fuente"), "format")
+    heads = headings(pages).groupBy("page_id").agg(F.count("*").alias("num_headings"))
+    there = pages.select("page_id", F.col("html").isNotNull().alias("there"))
+    whole = records(pages).join(there, "page_id").join(known, "page_id", "left").join(heads, "page_id", "left")
+    return whole.select(
+        F.col("page_id").alias("content_id"), "url", F.when(is_pdf_url(F.col("url")), "pdf").otherwise("html").alias("url_type"), "fuente", "format", F.when(F.col("there"), 200).otherwise(0).alias("status"),
+        (F.col("there") & (F.col("text_len") > 0)).alias("ok"), F.coalesce("title", F.lit("")).alias("title_extracted"), "title_csv", titles_match(F.col("title"), F.col("title_csv")).alias("title_match"),
+        "text_len", F.coalesce("num_headings", F.lit(0)).alias("num_headings"), F.when(~F.col("there"), "fetch_error").when(F.col("text_len") == 0, "extract_error").otherwise(F.col("classification")).alias("classification"),
+        F.when(~F.col("there"), "no body").otherwise("").alias("error"),
+    )
+
+
+def video_objects(html: Column) -> Column:
+    """Urls (contentUrl, url or embedUrl, in this order) of the VideoObject in each JSON-LD script, object or list."""
+    kind = "array<struct<`@type`:string,contentUrl:string,url:string,embedUrl:string>>"
+    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    listed = F.transform(scripts, lambda x: F.when(F.trim(x).startswith("["), x).otherwise(F.concat(F.lit("["), x, F.lit("]"))))
+    objects = F.flatten(F.transform(listed, lambda x: F.coalesce(F.from_json(x, kind), F.array().cast(kind))))
+    urls = F.transform(F.filter(objects, lambda o: o["@type"] == "VideoObject"), lambda o: F.coalesce(o["contentUrl"], o["url"], o["embedUrl"]))
+    return F.filter(urls, lambda u: u.isNotNull())

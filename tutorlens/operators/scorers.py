@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import FMRegressor, LinearRegression
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that text scoring leaves out.
-STOP_WORDS = (
-    "un una unas unos el la las los al del lo alguno algunos alguna algunas de en para por con sin sobre bajo entre hasta desde hacia y o u e pero "
-    "mas como cuando donde quien que cual cuyo este esta estos estas ese esa esos esas aquel aquella aquellos aquellas mi tu su mis tus sus nuestro "
-    "nuestra nuestros nuestras yo ella nosotros nosotras vosotros vosotras ellos ellas me te se nos os le les mio tuyo suyo míos tuyos suyos miá tuá "
-    "suá mías tuyas suyas no si sí muy mucho poco menos bastante demasiado casi solo también tampoco ser estar hacer tener haber poder querer ir venir "
-    "ver dar saber cómo qué cuál cuándo dónde"
-).split()
+STOP_WORDS = [
+    "un", "una", "unas", "unos", "el", "la", "las", "los", "al", "del", "lo", "alguno", "algunos", "alguna", "algunas", "de", "en", "para", "por", "con", "sin",
+    "sobre", "bajo", "entre", "hasta", "desde", "hacia", "y", "o", "u", "e", "pero", "mas", "como", "cuando", "donde", "quien", "que", "cual", "cuyo", "este",
+    "esta", "estos", "estas", "ese", "esa", "esos", "esas", "aquel", "aquella", "aquellos", "aquellas", "mi", "tu", "su", "mis", "tus", "sus", "nuestro",
+    "nuestra", "nuestros", "nuestras", "yo", "ella", "nosotros", "nosotras", "vosotros", "vosotras", "ellos", "ellas", "me", "te", "se", "nos", "os", "le",
+    "les", "mio", "tuyo", "suyo", "míos", "tuyos", "suyos", "miá", "tuá", "suá", "mías", "tuyas", "suyas", "no", "si", "sí", "muy", "mucho", "poco", "menos",
+    "bastante", "demasiado", "casi", "solo", "también", "tampoco", "ser", "estar", "hacer", "tener", "haber", "poder", "querer", "ir", "venir", "ver", "dar",
+    "saber", "cómo", "qué", "cuál", "cuándo", "dónde",
+]
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -48,11 +48,12 @@ def random_topk(users: DataFrame, contents: DataFrame, history: DataFrame | None
 
 
 def tfidf(texts: DataFrame, key: str = "content_id", text: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """(key, term, weight): raw counts times ln((1 + N) / (1 + df)) + 1, rows of length 1."""
+    """(key, term, weight): raw counts times ln((1 + N) / (1 + df)) + 1, rows of length 1. A key may have several rows of
+    text; N is the number of keys."""
     terms = texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("term")).filter(~F.col("term").isin(stop_words))
     tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    total = texts.agg(F.count("*").alias("n_docs"))  # one row
+    total = texts.agg(F.countDistinct(key).alias("n_docs"))  # one row
     raw = tf.join(df, "term").crossJoin(total).select(key, "term", (F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("raw"), "df", "n_docs")
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
@@ -65,21 +66,21 @@ def similarity(weights: DataFrame) -> DataFrame:
     return left.join(right, "term").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
 
 
-def tfidf_scores(train: DataFrame, users: DataFrame, contents: DataFrame, relevance: float = 0.5) -> DataFrame:
-    """Mean similarity to the contents that the user liked; 0 without any."""
+def tfidf_scores(train: DataFrame, users: DataFrame, contents: DataFrame, texts: DataFrame, relevance: float = 0.5) -> DataFrame:
+    """Mean similarity to the contents that the user liked; 0 without any. texts (content_id, text)."""
     liked = train.filter(F.col("score") >= relevance).select("user_id", F.col("content_id").alias("a")).distinct()
     n = liked.groupBy("user_id").agg(F.count("*").alias("n"))
-    total = liked.join(similarity(tfidf(contents)), "a").groupBy("user_id", F.col("b").alias("content_id")).agg(F.sum("sim").alias("total"))
+    total = liked.join(similarity(tfidf(texts)), "a").groupBy("user_id", F.col("b").alias("content_id")).agg(F.sum("sim").alias("total"))
     mean = total.join(n, "user_id").select("user_id", "content_id", (F.col("total") / F.col("n")).alias("score"))
     return grid(users, contents).join(mean, ["user_id", "content_id"], "left").select("user_id", "content_id", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
 
 
-def tfidf_profile(queries: DataFrame, contents: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
+def tfidf_profile(queries: DataFrame, texts: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
     """(key, content_id, score): cosine of query texts with contents in the contents' vocabulary; pairs without a shared
     term are absent (score 0)."""
-    weights = tfidf(contents)
+    weights = tfidf(texts)
     vocabulary = weights.groupBy("term").agg(F.count("*").alias("df"))
-    total = contents.agg(F.count("*").alias("n_docs"))
+    total = texts.agg(F.countDistinct("content_id").alias("n_docs"))
     terms = queries.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     raw = terms.join(vocabulary, "term").crossJoin(total).select(key, "term", (F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("q"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
@@ -89,22 +90,30 @@ def tfidf_profile(queries: DataFrame, contents: DataFrame, key: str = "query_id"
 def _one_hot(frame: DataFrame, columns: list[str], prefix: str) -> DataFrame:
     """frame with `<prefix>_features`; a null is a category of its own, an unseen value is all zeros."""
     filled = frame.select("*", *[F.coalesce(F.col(c).cast("string"), F.lit("desconocido")).alias(f"{prefix}_{c}") for c in columns])
-    stages = [StringIndexer(inputCol=f"{prefix}_{c}", outputCol=f"{prefix}_{c}_i", handleInvalid="keep") for c in columns]
-    stages.append(OneHotEncoder(inputCols=[f"{prefix}_{c}_i" for c in columns], outputCols=[f"{prefix}_{c}_v" for c in columns], dropLast=True))
+    names = [f"{prefix}_{c}" for c in columns]
+    stages = [
+        StringIndexer(inputCols=names, outputCols=[f"{n}_i" for n in names], handleInvalid="keep"),
+        OneHotEncoder(inputCols=[f"{n}_i" for n in names], outputCols=[f"{n}_v" for n in names], dropLast=True),
+    ]
     stages.append(VectorAssembler(inputCols=[f"{prefix}_{c}_v" for c in columns], outputCol=f"{prefix}_features"))
     return Pipeline(stages=stages).fit(filled).transform(filled)
 
 
 def svd_factors(train: DataFrame, n_items: int, rank: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(user_id, u) and (content_id, v): truncated SVD of the mean-score matrix, u holding the singular values."""
+    """(user_id, u) and (content_id, v): truncated SVD of the mean-score matrix A, u holding the singular values. V comes
+    from the items' products A'A, a table of n_items x n_items at most (a catalog of some thousands), and A V is U times
+    the singular values, summed by user without leaving Spark."""
     spark = train.sparkSession
-    cells = train.groupBy("user_id", "content_id").agg(F.avg("score").alias("s")).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("content_id", "s"))).alias("row"))
-    rows = cells.rdd.map(lambda r: IndexedRow(r["user_id"], OldVectors.sparse(n_items, [(c["content_id"], c["s"]) for c in r["row"]])))
-    svd = IndexedRowMatrix(rows).computeSVD(min(rank, n_items - 1), computeU=True)
-    sigma = svd.s.toArray()
-    left = svd.U.rows.map(lambda r: (int(r.index), [float(a * b) for a, b in zip(r.vector.toArray(), sigma, strict=True)]))
-    v = svd.V.toArray()  # items x rank
-    return spark.createDataFrame(left, "user_id long, u array<double>"), spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(n_items)], "content_id int, v array<double>")
+    rank = min(rank, n_items - 1)
+    cells = train.groupBy("user_id", "content_id").agg(F.avg("score").alias("s"))
+    other = cells.select("user_id", F.col("content_id").alias("other"), F.col("s").alias("t"))
+    gram = np.zeros((n_items, n_items))
+    for a, b, x in cells.join(other, "user_id").groupBy("content_id", "other").agg(F.sum(F.col("s") * F.col("t")).alias("x")).collect():
+        gram[a, b] = x
+    v = np.linalg.eigh(gram)[1][:, ::-1][:, :rank]
+    right = spark.createDataFrame([(i, v[i].tolist()) for i in range(n_items)], "content_id int, v array<double>")
+    sums = F.array(*[F.sum(F.col("s") * F.col("v")[i]) for i in range(rank)])
+    return cells.join(right, "content_id").groupBy("user_id").agg(sums.alias("u")), right
 
 
 def svd_ridge(train: DataFrame, users: DataFrame, contents: DataFrame, profile: list[str], features: list[str], rank: int = 10, alpha: float = 1.0, collaborative: bool = True, clip: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,13 +18,16 @@ def warm_split(interactions: DataFrame, ratio: float = 0.2, order: tuple[str, ..
     return first.withColumn("side", F.when(test, "test").otherwise("train"))
 
 
-def user_order(seed: int = 42):
-    """A fixed shuffle of integer user ids that any SQL engine repeats."""
-    return F.pmod(F.col("user_id") * 7919 + seed * 104729, F.lit(1000003))
+def user_order(seed: int = 42) -> Column:
+    """A fixed shuffle of integer user ids that any SQL engine repeats: a number below 1000003, evenly spread."""
+    return F.pmod(F.col("user_id") * 618034 + seed * 104729, F.lit(1000003))
 
 
-def cold_split(interactions: DataFrame, n: int = 200, seed: int = 42) -> DataFrame:
-    """All rows with `side`: test for n users drawn by user_order, pool for the others."""
+def cold_split(interactions: DataFrame, n: int | None = None, share: float = 0.1, seed: int = 42) -> DataFrame:
+    """All rows with `side`: test for cold users, pool for the others. Cold are the first n users by user_order, or
+    without n those whose place is below the share, which needs neither a sort nor a join."""
+    if n is None:
+        return interactions.withColumn("side", F.when(user_order(seed) < int(share * 1000003), "test").otherwise("pool"))
     cold = interactions.select("user_id").distinct().orderBy(user_order(seed), "user_id").limit(n).withColumn("cold", F.lit(True))
     return interactions.join(cold, "user_id", "left").withColumn("side", F.when(F.col("cold"), "test").otherwise("pool")).drop("cold")
 
@@ -43,3 +46,16 @@ def leaked_pairs(split: DataFrame) -> DataFrame:
     """Pairs that stand on both sides; a sound split has none."""
     sides = split.select("user_id", "content_id", "side").distinct()
     return sides.groupBy("user_id", "content_id").agg(F.count("*").alias("n_sides")).filter("n_sides > 1")
+
+
+def split_distributions(split: DataFrame, columns: list[str]) -> DataFrame:
+    """(side, column_name, value, n, share) of the columns within each side, null being a value of its own."""
+    long = split.select("side", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("side", "x.*")
+    n = long.groupBy("side", "column_name", "value").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("side", "column_name")), 6))
+
+
+def users_without_test(split: DataFrame, n: int = 5) -> DataFrame:
+    """(user_id, n_rows) of the first n users that have train rows only."""
+    per_user = split.groupBy("user_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("side") == "test").alias("te"))
+    return per_user.filter("te = 0").select("user_id", "n_rows").orderBy("user_id").limit(n)

@@ -23,32 +23,59 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = table(spark, sf_dir, "events").select("user_id").distinct()
     level = F.when(F.col("c_acctbal") < 0, None).when(F.col("c_acctbal") < 3000, "bajo").when(F.col("c_acctbal") < 7000, "medio").otherwise("alto")
     return table(spark, sf_dir, "customer").join(active, F.col("c_custkey") == F.col("user_id"), "left_semi").select(
-        F.col("c_custkey").cast("long").alias("user_id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("int").alias("nation"), level.alias("level")
-    )
+        F.col("c_custkey").cast("long").alias("user_id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("int").alias("nation"), level.alias("level"),
+        F.when(F.col("c_nationkey") % 3 == 0, "básica").when(F.col("c_nationkey") % 3 == 1, "ninguna").alias("experience"),
+    )
+
+
+#: Contents of the catalog (the log names them 0 to 99); every document belongs to the content of its remainder.
+CATALOG = 100
+
+
+def content_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(content_id, text): the whole texts of a content, one row a document."""
+    return table(spark, sf_dir, "documents").select((F.col("doc_id") % CATALOG).cast("int").alias("content_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").filter("doc_id < 100").select("doc_id", F.substring("text", 1, 400).alias("text"))
-    k = F.col("id").cast("int")
+    k = F.col("content_id")
     difficulty = F.when(k % 10 < 6, "básico").when(k % 10 < 9, "intermedio").otherwise("avanzado")
-    return spark.range(100).join(texts, F.col("id") == F.col("doc_id"), "left").select(
-        k.alias("content_id"), (k % 14).alias("topic"), difficulty.alias("difficulty"), (k % 7 == 0).alias("is_investment_related"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    return content_texts(spark, sf_dir).select("content_id").distinct().select(k, (k % 14).alias("topic"), difficulty.alias("difficulty"), (k % 7 == 0).alias("is_investment_related"))
 
 
 def content_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("id").cast("int")
-    both = spark.range(100).select(k.alias("content_id"), F.explode(F.when(k % 5 == 0, F.array(k % 30, (k * 7) % 30)).otherwise(F.array(k % 30))).alias("concept_id"))
-    return both.distinct().withColumn("coverage_type", F.lit("directa"))
+    k = F.col("content_id")
+    both = content_texts(spark, sf_dir).select("content_id").distinct().select(k, F.explode(F.when(k % 5 == 0, F.array(k % 30, (k * 7) % 30)).otherwise(F.array(k % 30))).alias("concept_id"))
+    direct = both.distinct().withColumn("coverage_type", F.lit("directa"))
+    # indirect coverage, which the graph leaves out
+    return direct.unionByName(direct.filter("content_id % 4 = 0").select("content_id", ((F.col("concept_id") + 11) % 30).alias("concept_id"), F.lit("indirecta").alias("coverage_type")))
+
+
+def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(concept_id): 40, of which the last ten have no content."""
+    return table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).cast("int").alias("concept_id")).distinct()
 
 
 def prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("id").cast("int")
-    half = spark.range(1, 30).filter("id % 3 <> 1").select(c.alias("concept_id"), F.floor(c / 2).cast("int").alias("prerequisite_concept_id"))
-    last = spark.range(1, 30).filter("id % 6 = 0").select(c.alias("concept_id"), (c - 1).cast("int").alias("prerequisite_concept_id"))
+    c = F.col("concept_id")
+    known = concepts(spark, sf_dir).filter("concept_id between 1 and 29")
+    half = known.filter("concept_id % 3 <> 1").select(c, F.floor(c / 2).cast("int").alias("prerequisite_concept_id"))
+    last = known.filter("concept_id % 6 = 0").select(c, (c - 1).alias("prerequisite_concept_id"))
     return half.unionByName(last).distinct()
 
 
+# Concepts of each topic, first those that its contents ask for; and those that investment contents ask for.
+TOPIC_CONCEPTS = [
+    [1, 16, 2], [2, 1], [3, 1], [4, 3], [5, 6], [7], [8, 18], [9, 1, 3], [10, 1, 3, 19], [11, 10, 19, 5], [12, 2, 7, 6, 13, 14], [13, 22], [14, 12, 13], [15, 29],
+]
+INVESTMENT_CONCEPTS = [2, 7, 6, 13]
+
+
+def topic_concepts(spark: SparkSession) -> DataFrame:
+    """(topic, place, concept_id), a few dozen rows."""
+    return spark.createDataFrame([(t, i, c) for t, cs in enumerate(TOPIC_CONCEPTS) for i, c in enumerate(cs)], "topic int, place int, concept_id int")
+
+
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey codes from customer keys, with missing codes by the remainder of 17."""
     k = F.col("c_custkey").cast("int")
@@ -73,13 +100,18 @@ CTES = f"""
 interactions AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS INT) AS content_id, ts, least(value / 100, 1.0) AS score,
   CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'quiz_passed' WHEN 'error' THEN 'disliked' ELSE 'viewed' END AS event FROM events),
 users AS (SELECT CAST(c_custkey AS BIGINT) AS user_id, c_mktsegment AS segment, CAST(c_nationkey AS INT) AS nation,
-  CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal < 3000 THEN 'bajo' WHEN c_acctbal < 7000 THEN 'medio' ELSE 'alto' END AS level
+  CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal < 3000 THEN 'bajo' WHEN c_acctbal < 7000 THEN 'medio' ELSE 'alto' END AS level,
+  CASE c_nationkey % 3 WHEN 0 THEN 'básica' WHEN 1 THEN 'ninguna' END AS experience
   FROM customer WHERE c_custkey IN (SELECT user_id FROM events)),
-contents AS (SELECT CAST(k AS INT) AS content_id, CAST(k % 14 AS INT) AS topic, CASE WHEN k % 10 < 6 THEN 'básico' WHEN k % 10 < 9 THEN 'intermedio' ELSE 'avanzado' END AS difficulty,
-  k % 7 = 0 AS is_investment_related, coalesce(substr(text, 1, 400), '') AS text FROM range(100) r(k) LEFT JOIN documents ON doc_id = k),
-ccm AS (SELECT CAST(k AS INT) AS content_id, CAST(k % 30 AS INT) AS concept_id FROM range(100) r(k) UNION SELECT CAST(k AS INT), CAST((k * 7) % 30 AS INT) FROM range(100) r(k) WHERE k % 5 = 0),
-prerequisites AS (SELECT CAST(c AS INT) AS concept_id, CAST(c // 2 AS INT) AS prerequisite_concept_id FROM range(1, 30) r(c) WHERE c % 3 <> 1
-  UNION SELECT CAST(c AS INT), CAST(c - 1 AS INT) FROM range(1, 30) r(c) WHERE c % 6 = 0),
+texts AS (SELECT CAST(doc_id % 100 AS INT) AS content_id, coalesce(text, '') AS text FROM documents),
+contents AS (SELECT content_id, CAST(content_id % 14 AS INT) AS topic, CASE WHEN content_id % 10 < 6 THEN 'básico' WHEN content_id % 10 < 9 THEN 'intermedio' ELSE 'avanzado' END AS difficulty,
+  content_id % 7 = 0 AS is_investment_related FROM (SELECT DISTINCT content_id FROM texts)),
+ccm AS (SELECT content_id, CAST(content_id % 30 AS INT) AS concept_id FROM contents UNION SELECT content_id, CAST((content_id * 7) % 30 AS INT) FROM contents WHERE content_id % 5 = 0),
+concepts AS (SELECT DISTINCT CAST(doc_id % 40 AS INT) AS concept_id FROM documents),
+prerequisites AS (SELECT concept_id, CAST(concept_id // 2 AS INT) AS prerequisite_concept_id FROM concepts WHERE concept_id BETWEEN 1 AND 29 AND concept_id % 3 <> 1
+  UNION SELECT concept_id, CAST(concept_id - 1 AS INT) FROM concepts WHERE concept_id BETWEEN 1 AND 29 AND concept_id % 6 = 0),
+topic_concepts(topic, place, concept_id) AS (VALUES (0, 0, 1), (0, 1, 16), (0, 2, 2), (1, 0, 2), (1, 1, 1), (2, 0, 3), (2, 1, 1), (3, 0, 4), (3, 1, 3), (4, 0, 5), (4, 1, 6), (5, 0, 7), (6, 0, 8), (6, 1, 18), (7, 0, 9), (7, 1, 1), (7, 2, 3),
+  (8, 0, 10), (8, 1, 1), (8, 2, 3), (8, 3, 19), (9, 0, 11), (9, 1, 10), (9, 2, 19), (9, 3, 5), (10, 0, 12), (10, 1, 2), (10, 2, 7), (10, 3, 6), (10, 4, 13), (10, 5, 14), (11, 0, 13), (11, 1, 22), (12, 0, 14), (12, 1, 12), (12, 2, 13), (13, 0, 15), (13, 1, 29)),
 survey AS (SELECT CAST(c_custkey AS INT) AS respondent, CAST(1970 + (c_custkey * 7) % 40 AS INT) AS a0400, {_code("c_custkey % 2", 0)} AS a0100, {_code("c_custkey % 5 + 1", 1)} AS e0100,
   {_code("c_custkey % 10 + 1", 2)} AS a1500, {_code("(c_custkey * 3) % 4 + 1", 3)} AS k0600, {_code("(c_custkey * 5) % 3 + 1", 4)} AS k0100, {_code("c_custkey % 4", 5)} AS k1003,
   {_code("(c_custkey + c_custkey // 3) % 2", 6)} AS b0130a, {_code("(c_custkey // 2) % 2", 7)} AS b0130b, {_code("(c_custkey // 5) % 2", 8)} AS b0130c,
