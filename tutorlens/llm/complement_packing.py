@@ -27,9 +27,10 @@ CAPACITY, END_ID = 1024, 2
 #: Shares that all pieces are dealt to at most, and the pieces that are not worth a share of their own.
 SHARES, LEAST_SHARE = 20_000, 1_000
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-#: Runs of blanks or of other characters from which on a text goes to the tokenizer itself: the ranks' matcher recurses
-#: on them, and its merging takes the square of a run.
-LONG_RUN = re.compile(r"\s{2000}|\S{2000}")
+#: Length of a run of blanks or of other characters from which on a text goes to the tokenizer itself: the ranks' matcher
+#: recurses on runs of millions. Shorter texts hold no such run and are not searched.
+LONG = 50_000
+LONG_RUN = re.compile(rf"\s{{{LONG}}}|\S{{{LONG}}}")
 
 _encoders: dict = {}
 
@@ -50,7 +51,7 @@ def _encoder(vocabulary: str, ranks: str):
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_of, special_tokens={})
 
         def encode(text: str) -> list[int]:
-            if not any(s in text for s in special) and not LONG_RUN.search(text):
+            if not any(s in text for s in special) and (len(text) < LONG or not LONG_RUN.search(text)):
                 return fast.encode_ordinary(text)
             return slow.encode(text, add_special_tokens=False).ids
 
