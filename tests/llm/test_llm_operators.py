@@ -175,7 +175,7 @@ def test_ranks_give_the_ids_of_the_tokenizer(spark):
 
     slow = Tokenizer.from_file(public_tokenizers.path(complement_packing.VOCABULARY))
     encode = complement_packing._encoder(complement_packing.VOCABULARY, complement_packing.RANKS)
-    for text in ["", "Hola, ¿qué tal?\n\n x  y", "a<|endoftext|>b", "日本語 ünï 12345   ", "Ofthtioninor thswhere's don't"]:
+    for text in ["", "Hola, ¿qué tal?\n\n x  y", "a<|endoftext|>b", "日本語 ünï 12345   ", "Ofthtioninor thswhere's don't", " " * 49_999, " " * 60_000 + "b", "a" * 60_000, " " * 2_000_000]:
         assert encode(text) == slow.encode(text, add_special_tokens=False).ids
 
 

@@ -34,7 +34,7 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES) -> DataFrame:
-    """sizes (source, weight, source_size) with target. The level is the words a unit of weight gets: sources are held
+    """sizes (source, weight, source_size and any others) with target. The level is the words a unit of weight gets: sources are held
     to most * size in the order of most * size / weight for as long as the level exceeds that. One row a source, so the
     windows run over the table of sources only."""
     ratio = most * F.col("source_size") / F.col("weight")
@@ -49,7 +49,7 @@ def targets(sizes: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES) -
     first = F.min(F.when(F.col("mx_level") <= F.col("mx_ratio"), F.struct("mx_ratio", "mx_level"))).over(everything)["mx_level"]
     capped = (most * F.col("source_size")).cast("double")
     return leveled.withColumn("mx_first", first).select(
-        "source", "weight", "source_size",
+        *sizes.columns,
         F.when(F.col("mx_first").isNull(), capped).otherwise(F.least(capped, F.col("weight") * F.col("mx_first"))).alias("target"),
     )
 
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES, seed:
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     lean = F.expr(f"size * 1000 div (size + {HALF})")  # whole numbers, so that sums do not depend on their order
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(lean * F.col("size")).alias("mx_lean")).withColumn("weight", weight_in_turn())
-    goal = targets(per_source, budget, most).join(per_source.select(F.col("source").alias("mx_source"), "mx_lean"), F.col("source").eqNullSafe(F.col("mx_source"))).drop("source")
+    goal = targets(per_source, budget, most).withColumnRenamed("source", "mx_source")
     # one row a source: Spark broadcasts it where it is small and joins by shuffle otherwise
     drawn = sized.join(goal, F.col("source").eqNullSafe(F.col("mx_source"))).drop("mx_source", "weight")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
