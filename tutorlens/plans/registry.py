@@ -163,6 +163,19 @@ def j16(spark, d):
     return scorers.similarity(scorers.tfidf(fx.content_texts(spark, d))).withColumn("sim", F.round("sim", 6))
 
 
+@query("m4_tfidf_cold")
+def m4c(spark, d):
+    """New users' profile texts against the contents' vocabulary; contents without a shared term score 0."""
+    people = fx.users(spark, d)
+
+    def score(train: DataFrame, w: dict) -> DataFrame:
+        words = people.join(w["users"], "user_id", "left_semi").select("user_id", T.joined_text(F.col("segment"), F.col("level"), F.col("experience")).alias("text"))
+        told = scorers.tfidf_profile(words, w["texts"], key="user_id")
+        return scorers.grid(w["users"], w["contents"]).join(told, ["user_id", "content_id"], "left").select("user_id", "content_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+    return _cold(spark, d, score)
+
+
 @query("m4_tfidf_profile", TFIDF + """, q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM benchmark),
 qw AS (SELECT query_id, term, count(*) * any_value(idf) AS w FROM q JOIN idf USING (term) GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY ALL)
 SELECT query_id, content_id, round(sum(w * weight) / any_value(norm), 6) AS score FROM qw JOIN weights USING (term) JOIN qn USING (query_id) GROUP BY ALL""")
@@ -214,9 +227,14 @@ def g13r(spark, d):
 
 @query("g14_model_table")
 def g14(spark, d):
-    """One row a model and scenario: the plain-SQL scorers side by side."""
-    named = lambda f, model, scenario: f(spark, d).select(F.lit(model).alias("model"), F.lit(scenario).alias("scenario"), "*")
-    return named(g5, "popularity", "warm").unionByName(named(m2, "random", "warm")).unionByName(named(m3, "tfidf", "warm")).unionByName(named(g13, "popularity", "cold")).unionByName(named(g13r, "random", "cold"))
+    """One row a model and scenario, ten in all; shares to four places, percentages to two."""
+    models = [
+        ("popularity", "warm", g5), ("random", "warm", m2), ("tfidf", "warm", m3), ("svd ridge", "warm", m7), ("factor model", "warm", m10),
+        ("popularity", "cold", g13), ("random", "cold", g13r), ("tfidf", "cold", m4c), ("ridge", "cold", m8), ("factor model", "cold", m11),
+    ]
+    rows = [f(spark, d).select(F.lit(model).alias("model"), F.lit(scenario).alias("scenario"), "*") for model, scenario, f in models]
+    out = reduce(DataFrame.unionByName, rows)
+    return out.withColumns({c: F.round(c, 2 if c.endswith("_pct") else 4) for c, kind in out.dtypes if kind == "double"})
 
 
 @query("g15_list_diversity", WARM + POPULAR + EVAL_WARM.split("per_user AS")[0].rstrip(", \n") + " SELECT round(avg(t), 6) AS diversity FROM (SELECT user_id, count(DISTINCT topic) / 5.0 AS t FROM flagged JOIN contents USING (content_id) WHERE prn <= 5 GROUP BY user_id)")
