@@ -344,9 +344,10 @@ def word_hashes() -> Column:
 
 def shingle_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """(cp_id, cp_set) of the texts (cp_id, text) whose id is in ids (cp_id)."""
-    # few texts are wanted: Spark's Bloom filter on the ids keeps the others out of the shuffle (it weighs filtered
-    # sides only, hence the condition, which holds for every id)
-    picked = ids.filter(F.col("cp_id") >= F.lit(-(2**63)))
+    # few texts are wanted: the ids are written, so that Spark knows their size and broadcasts them below its threshold;
+    # beyond it, its Bloom filter keeps the other texts out of the shuffle (it weighs filtered sides only, hence the
+    # condition, which holds for every id)
+    picked = staged(ids, "op2-wanted").filter(F.col("cp_id") >= F.lit(-(2**63)))
     with bloom_filters(texts.sparkSession):
         return staged(texts.join(picked, "cp_id", "left_semi").select("cp_id", word_hashes()).mapInArrow(_sets, "cp_id long, cp_set array<long>"), "op2-sets")
 
