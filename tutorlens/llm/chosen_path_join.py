@@ -401,7 +401,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents whose class holds a smaller doc_id; rows without an id stay. Rows equal in id and text
     are copies too: one of them stays. Rows that share an id but not the text are one document and fare alike."""
-    others = near_duplicates(docs, count_links=False, **options).filter("doc_id <> class_id").select("doc_id")
+    # written, so that Spark knows its size and moves the documents' texts only where it outgrows a broadcast
+    others = staged(near_duplicates(docs, count_links=False, **options).filter("doc_id <> class_id").select("doc_id"), "op2-others")
     out = docs.join(others, "doc_id", "left_anti").select(docs.columns)
     again = staged(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "op2-again")
     if again.isEmpty():
