@@ -54,56 +54,82 @@ def targets(sizes: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES) -
     )
 
 
-def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES, seed: int = SEED, slices: int = SLICES) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): one row a row of docs (doc_id, source, text). A null
-    text has size 0; null sources are one source, last; a source without words has target 0. A document is taken whole,
-    `copies` times (at most `most`), so a source ends within half a document of its target. Repeated rows draw the same
-    random number and stand side by side in the ranking, so of equal rows only the first may have one copy more."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    lean = F.expr(f"size * 1000 div (size + {HALF})")  # whole numbers, so that sums do not depend on their order
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(lean * F.col("size")).alias("mx_lean")).withColumn("weight", weight_in_turn())
-    goal = targets(per_source, budget, most).withColumnRenamed("source", "mx_source")
-    # one row a source: Spark broadcasts it where it is small and joins by shuffle otherwise
-    drawn = sized.join(goal, F.col("source").eqNullSafe(F.col("mx_source"))).drop("mx_source", "weight")
+def goals(sized: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES) -> DataFrame:
+    """(mx_source, source_size, mx_lean, target) of sized (source, size), one row a source."""
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(_lean() * F.col("size")).alias("mx_lean")).withColumn("weight", weight_in_turn())
+    return targets(per_source, budget, most).withColumnRenamed("source", "mx_source").drop("weight")
+
+
+def _lean() -> Column:
+    return F.expr(f"size * 1000 div (size + {HALF})")  # whole numbers, so that sums do not depend on their order
+
+
+def ranked(sized: DataFrame, goal: DataFrame, seed: int = SEED) -> DataFrame:
+    """sized (doc_id, source, size and any others but mx_...) with its goal, the certain copies, the inclusion probability
+    mx_part of one more and mx_rank, the place in its source's order. One row a source is joined: Spark broadcasts it
+    where it is small and joins by shuffle otherwise."""
+    drawn = sized.join(goal, F.col("source").eqNullSafe(F.col("mx_source"))).drop("mx_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    u = coin(seed, F.col("doc_id"))
-    part = F.when(F.col("mx_lean") > 0, F.least(F.lit(MOST_LIKELY), (rate - F.floor(rate)) * (lean * F.col("source_size") / F.col("mx_lean")))).otherwise(F.lit(0.0))
+    part = F.when(F.col("mx_lean") > 0, F.least(F.lit(MOST_LIKELY), (rate - F.floor(rate)) * (_lean() * F.col("source_size") / F.col("mx_lean")))).otherwise(F.lit(0.0))
     odds = (F.col("mx_u") / (1 - F.col("mx_u"))) / (F.col("mx_part") / (1 - F.col("mx_part")))
-    ranked = (
-        drawn.withColumn("mx_sure", F.floor(rate)).withColumn("mx_part", part).withColumn("mx_u", u)
+    return (
+        drawn.withColumn("mx_sure", F.floor(rate)).withColumn("mx_part", part).withColumn("mx_u", coin(seed, F.col("doc_id")))
         .withColumn("mx_odds", F.when(F.col("mx_part") > 0, odds))
-        .withColumn("mx_slice", F.floor(F.col("mx_odds") / (1 + F.col("mx_odds")) * slices))  # rises with the odds
-        .withColumn("mx_left", F.col("target") - F.col("mx_sure") * F.col("source_size"))
+        .withColumn("mx_rank", F.struct("mx_odds", "mx_u", "doc_id", "size"))
     )
-    per_slice = ranked.filter("mx_part > 0").groupBy("source", "mx_slice").agg(F.sum("size").alias("mx_words"))
+
+
+def _decided(places: DataFrame, slices: int) -> DataFrame:
+    """ranked() rows with mx_more: whether a document is taken once more than the certain copies."""
+    sliced = places.withColumn("mx_slice", F.floor(F.col("mx_odds") / (1 + F.col("mx_odds")) * slices)).withColumn("mx_left", F.col("target") - F.col("mx_sure") * F.col("source_size"))  # slices rise with the odds
+    per_slice = sliced.filter("mx_part > 0").groupBy("source", "mx_slice").agg(F.sum("size").alias("mx_words"))
     upto = Window.partitionBy("source").orderBy("mx_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = per_slice.select(F.col("source").alias("s_source"), F.col("mx_slice").alias("s_slice"), F.coalesce(F.sum("mx_words").over(upto), F.lit(0)).alias("mx_before"), "mx_words")
-    placed = ranked.join(before, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("mx_slice") == F.col("s_slice")), "left").drop("s_source", "s_slice")
-    within = Window.partitionBy("source", "mx_slice").orderBy("mx_odds", "mx_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sliced.join(before, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("mx_slice") == F.col("s_slice")), "left").drop("s_source", "s_slice")
+    within = Window.partitionBy("source", "mx_slice").orderBy("mx_rank").rowsBetween(Window.unboundedPreceding, -1)
     # only the slice in which the missing words run out needs its documents in order
     at = F.col("mx_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     open_ = (F.col("mx_part") > 0) & (F.col("mx_before") <= F.col("mx_left")) & (F.col("mx_before") + F.col("mx_words") > F.col("mx_left"))
     split = placed.filter(F.coalesce(open_, F.lit(False))).withColumn("mx_more", at + F.col("size") / 2.0 <= F.col("mx_left"))
     whole = placed.filter(~F.coalesce(open_, F.lit(False))).withColumn("mx_more", F.coalesce((F.col("mx_part") > 0) & (F.col("mx_before") + F.col("mx_words") <= F.col("mx_left")), F.lit(False)))
+    return split.unionByName(whole)
+
+
+def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES, seed: int = SEED, slices: int = SLICES) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken): one row a row of docs (doc_id, source, text). A null
+    text has size 0; null sources are one source, last; a source without words has target 0. A document is taken whole,
+    `copies` times (at most `most`), so a source ends within half a document of its target. Repeated rows draw the same
+    random number and stand side by side in the ranking, so of equal rows only the first may have one copy more."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    decided = _decided(ranked(sized, goals(sized, budget, most), seed), slices)
     copies = F.col("mx_sure") + F.col("mx_more").cast("long")
-    return split.unionByName(whole).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return decided.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
+def take(docs: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES, seed: int = SEED, slices: int = SLICES) -> DataFrame:
     """docs in the mix: every row as many times as mix() takes it; its columns are those of docs. Of rows that share id,
-    source and size, of which mix() takes some once more, any are taken once more, as many."""
-    key = ["k_doc", "k_source", "k_size"]
-    copies = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("mx_least"), F.max("copies").alias("mx_most"), F.sum("copies").alias("mx_all"), F.count("*").alias("mx_rows"))
-    chosen = staged(copies.filter("mx_most > 0").toDF(*key, "mx_least", "mx_most", "mx_all", "mx_rows"), "op7-chosen")
-    same = F.col("doc_id").eqNullSafe(F.col("k_doc")) & F.col("source").eqNullSafe(F.col("k_source")) & (word_count(F.col("text")) == F.col("k_size"))
-    joined = docs.join(chosen, same)
-    even = joined.filter("mx_least = mx_most").withColumn("mx_copies", F.col("mx_least"))
-    if not chosen.filter("mx_least < mx_most").isEmpty():
+    source and size, of which mix() takes some once more, any are taken once more, as many. The documents taken once more
+    are those up to one place in their source's order, so each row is decided by the table of sources and no text moves."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    goal = staged(goals(sized, budget, most), "op7-goals")
+    decided = _decided(ranked(sized, goal, seed), slices)
+    rest = (F.col("mx_part") > 0) & ~F.col("mx_more")
+    ends = decided.groupBy("source").agg(F.max(F.when(F.col("mx_more"), F.col("mx_rank"))).alias("mx_last"), F.min(F.when(rest, F.col("mx_rank"))).alias("mx_next")).withColumnRenamed("source", "e_source")
+    cuts = staged(goal.join(ends, F.col("mx_source").eqNullSafe(F.col("e_source"))).drop("e_source"), "op7-cuts")
+    own = docs.select(F.struct("*").alias("mx_doc"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = ranked(own, cuts, seed)
+    more = F.coalesce((F.col("mx_part") > 0) & (F.col("mx_rank") <= F.col("mx_last")), F.lit(False))
+    divided = F.coalesce((F.col("mx_last") == F.col("mx_next")) & (F.col("mx_rank") == F.col("mx_last")), F.lit(False))
+    out = rows.filter(~divided).select("mx_doc", (F.col("mx_sure") + more.cast("long")).alias("mx_copies"))
+    if not cuts.filter("mx_last = mx_next").isEmpty():
         # one group a source at most: equal rows that the end of the ranking falls between
-        place = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
-        uneven = joined.filter("mx_least < mx_most").withColumn("mx_copies", F.col("mx_least") + (place <= F.col("mx_all") - F.col("mx_least") * F.col("mx_rows")).cast("long"))
-        even = even.unionByName(uneven.filter("mx_copies > 0"))
-    return even.withColumn("mx_copies", F.explode(F.sequence(F.lit(1), F.col("mx_copies").cast("int")))).select(docs.columns)
+        tied = cuts.filter("mx_last = mx_next").select(F.col("mx_source").alias("t_source"), F.col("mx_last").alias("t_last"))
+        end = F.col("source").eqNullSafe(F.col("t_source")) & (F.col("mx_rank") == F.col("t_last"))
+        once_more = decided.filter("mx_more").join(tied, end).groupBy("t_source").agg(F.count("*").alias("mx_once_more"))
+        place = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("mx_doc.text")))
+        group = rows.filter(divided).withColumn("mx_place", place).join(once_more, F.col("source").eqNullSafe(F.col("t_source")))
+        out = out.unionByName(group.select("mx_doc", (F.col("mx_sure") + (F.col("mx_place") <= F.col("mx_once_more")).cast("long")).alias("mx_copies")))
+    return out.filter("mx_copies > 0").withColumn("mx_copy", F.explode(F.sequence(F.lit(1), F.col("mx_copies").cast("int")))).select("mx_doc.*")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
