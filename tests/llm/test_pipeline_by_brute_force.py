@@ -263,3 +263,13 @@ def test_cutoffs_are_the_smallest_that_pass(spark, corpus):
 def test_neighbours_take_empty_and_odd_tables(spark):
     frame = spark.createDataFrame([(0, None, "own"), (None, [1.0, 2.0], "own"), (50, [1.0, 0.0], "own")], "vec_id long, embedding array<float>, score string")
     assert hilbert_neighbours.neighbours(frame, F.col("hn_id") % 50 == 0).count() == 0
+
+
+def test_take_takes_what_mix_takes(spark):
+    """Equal rows that the end of a ranking falls between, null ids, sources and texts, and columns named like the operator's."""
+    rows = [(7, "x " * 50 + str(i % 3), "q") for i in range(41)] + [(i, "w " * (i % 9), "y") for i in range(30)] * 3 + [(None, "a b", None)] * 2 + [(6, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"size": F.lit(1), "mx_rank": F.lit(2), "target": F.lit(3)})
+    taken = pareto_mixing.take(docs)
+    assert taken.columns == docs.columns
+    mixed = pareto_mixing.mix(docs).collect()
+    assert Counter(tuple(r) for r in taken.select("doc_id", "source", pareto_mixing.word_count(F.col("text"))).collect()) == sum((Counter({(r.doc_id, r.source, r["size"]): r.copies}) for r in mixed if r.copies), Counter())
