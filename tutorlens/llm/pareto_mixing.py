@@ -54,6 +54,12 @@ def targets(sizes: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES) -
     )
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size), a row a row of docs, written once: words are counted in one pass over the texts, and all
+    that follows reads these narrow rows."""
+    return staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "op7-sizes")
+
+
 def goals(sized: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES) -> DataFrame:
     """(mx_source, source_size, mx_lean, target) of sized (source, size), one row a source."""
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(_lean() * F.col("size")).alias("mx_lean")).withColumn("weight", weight_in_turn())
@@ -100,7 +106,7 @@ def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES, seed:
     text has size 0; null sources are one source, last; a source without words has target 0. A document is taken whole,
     `copies` times (at most `most`), so a source ends within half a document of its target. Repeated rows draw the same
     random number and stand side by side in the ranking, so of equal rows only the first may have one copy more."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = counted(docs)
     decided = _decided(ranked(sized, goals(sized, budget, most), seed), slices)
     copies = F.col("mx_sure") + F.col("mx_more").cast("long")
     return decided.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
@@ -110,13 +116,14 @@ def take(docs: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES, seed:
     """docs in the mix: every row as many times as mix() takes it; its columns are those of docs. Of rows that share id,
     source and size, of which mix() takes some once more, any are taken once more, as many. The documents taken once more
     are those up to one place in their source's order, so each row is decided by the table of sources and no text moves."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = counted(docs)
     goal = staged(goals(sized, budget, most), "op7-goals")
     decided = _decided(ranked(sized, goal, seed), slices)
     rest = (F.col("mx_part") > 0) & ~F.col("mx_more")
     ends = decided.groupBy("source").agg(F.max(F.when(F.col("mx_more"), F.col("mx_rank"))).alias("mx_last"), F.min(F.when(rest, F.col("mx_rank"))).alias("mx_next")).withColumnRenamed("source", "e_source")
     cuts = staged(goal.join(ends, F.col("mx_source").eqNullSafe(F.col("e_source"))).drop("e_source"), "op7-cuts")
-    own = docs.select(F.struct("*").alias("mx_doc"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    # a generator of one row keeps Spark from copying the count into every use of size
+    own = docs.select(F.struct("*").alias("mx_doc"), "doc_id", "source", F.explode(F.array(word_count(F.col("text")))).alias("size"))
     rows = ranked(own, cuts, seed)
     more = F.coalesce((F.col("mx_part") > 0) & (F.col("mx_rank") <= F.col("mx_last")), F.lit(False))
     divided = F.coalesce((F.col("mx_last") == F.col("mx_next")) & (F.col("mx_rank") == F.col("mx_last")), F.lit(False))
