@@ -86,19 +86,24 @@ def ranked(sized: DataFrame, goal: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def _decided(places: DataFrame, slices: int) -> DataFrame:
-    """ranked() rows with mx_more: whether a document is taken once more than the certain copies."""
-    sliced = places.withColumn("mx_slice", F.floor(F.col("mx_odds") / (1 + F.col("mx_odds")) * slices)).withColumn("mx_left", F.col("target") - F.col("mx_sure") * F.col("source_size"))  # slices rise with the odds
-    per_slice = sliced.filter("mx_part > 0").groupBy("source", "mx_slice").agg(F.sum("size").alias("mx_words"))
+    """ranked() rows with mx_more: whether a document is taken once more than the certain copies. Rows that cannot be drawn
+    (a source held to whole copies, documents without words) have no place and take no part in any shuffle."""
+    drawn = F.coalesce(F.col("mx_part") > 0, F.lit(False))
+    sliced = places.filter(drawn).withColumn("mx_slice", F.floor(F.col("mx_odds") / (1 + F.col("mx_odds")) * slices)).withColumn("mx_left", F.col("target") - F.col("mx_sure") * F.col("source_size"))  # slices rise with the odds
+    per_slice = sliced.groupBy("source", "mx_slice").agg(F.sum("size").alias("mx_words"))
     upto = Window.partitionBy("source").orderBy("mx_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = per_slice.select(F.col("source").alias("s_source"), F.col("mx_slice").alias("s_slice"), F.coalesce(F.sum("mx_words").over(upto), F.lit(0)).alias("mx_before"), "mx_words")
-    placed = sliced.join(before, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("mx_slice") == F.col("s_slice")), "left").drop("s_source", "s_slice")
+    placed = sliced.join(before, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("mx_slice") == F.col("s_slice"))).drop("s_source", "s_slice")
     within = Window.partitionBy("source", "mx_slice").orderBy("mx_rank").rowsBetween(Window.unboundedPreceding, -1)
     # only the slice in which the missing words run out needs its documents in order
     at = F.col("mx_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    open_ = (F.col("mx_part") > 0) & (F.col("mx_before") <= F.col("mx_left")) & (F.col("mx_before") + F.col("mx_words") > F.col("mx_left"))
-    split = placed.filter(F.coalesce(open_, F.lit(False))).withColumn("mx_more", at + F.col("size") / 2.0 <= F.col("mx_left"))
-    whole = placed.filter(~F.coalesce(open_, F.lit(False))).withColumn("mx_more", F.coalesce((F.col("mx_part") > 0) & (F.col("mx_before") + F.col("mx_words") <= F.col("mx_left")), F.lit(False)))
-    return split.unionByName(whole)
+    full = F.col("mx_before") + F.col("mx_words") <= F.col("mx_left")
+    open_ = (F.col("mx_before") <= F.col("mx_left")) & ~full
+    split = placed.filter(open_).withColumn("mx_more", at + F.col("size") / 2.0 <= F.col("mx_left"))
+    whole = placed.filter(~open_).withColumn("mx_more", full)
+    rest = places.filter(~drawn).withColumn("mx_more", F.lit(False))
+    columns = [*places.columns, "mx_more"]
+    return split.select(columns).unionByName(whole.select(columns)).unionByName(rest.select(columns))
 
 
 def mix(docs: DataFrame, budget: float = BUDGET, most: int = MOST_COPIES, seed: int = SEED, slices: int = SLICES) -> DataFrame:
