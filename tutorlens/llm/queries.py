@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jump_shards, licence_sentences, merkle_manifest, pareto_mixing
+from . import jump_shards, licence_sentences, merkle_manifest, pareto_mixing, phrase_mining
 from .chosen_path_join import op2_ngram_jaccard_join
 from .complement_packing import op3_best_fit_packing
 from .entropy_secrets import op4_secret_scan
@@ -13,6 +13,7 @@ from .line_templates import op8_line_dedup
 from .merkle_manifest import op12_merkle_manifest
 from .neighbour_toxicity import op6_toxicity_neighbours
 from .pareto_mixing import op7_source_mixing
+from .phrase_mining import op13_phrase_collocations
 from .quality_rules_ensemble import op1_quality_classifier
 from .risk_controlled_rules import op10_quality_rules
 
@@ -21,7 +22,10 @@ QUERIES = {
     for f in (
         op1_quality_classifier, op2_ngram_jaccard_join, op3_best_fit_packing, op4_secret_scan, op5_hilbert_neighbours,
         op6_toxicity_neighbours, op7_source_mixing, op8_line_dedup, op9_licence_scan, op10_quality_rules, op11_jump_sharding,
-        op12_merkle_manifest,
+        op12_merkle_manifest, op13_phrase_collocations,
     )
 }
-ORACLES = {"op7_source_mixing": pareto_mixing.ORACLE, "op9_licence_scan": licence_sentences.ORACLE, "op11_jump_sharding": jump_shards.ORACLE, "op12_merkle_manifest": merkle_manifest.ORACLE}
+ORACLES = {
+    "op7_source_mixing": pareto_mixing.ORACLE, "op9_licence_scan": licence_sentences.ORACLE, "op11_jump_sharding": jump_shards.ORACLE, "op12_merkle_manifest": merkle_manifest.ORACLE,
+    "op13_phrase_collocations": phrase_mining.ORACLE,
+}
