@@ -104,7 +104,7 @@ def content_needs(contents: DataFrame, topic_concepts: DataFrame, investment: li
     return r3.unionByName(r4)
 
 
-def _levels() -> tuple[Column, Column]:
+def levels() -> tuple[Column, Column]:
     """r1: advanced content for low (or unknown) knowledge without investing experience; r2: advanced investment content
     for beginners. An unknown experience is none of these."""
     advanced = F.col("difficulty") == "avanzado"
@@ -119,14 +119,14 @@ def eligibility(events: DataFrame, users: DataFrame, contents: DataFrame, seen:
     asked = events.select("event_id", "user_id", "content_id", "ts").join(needs, "content_id").join(seen, ["user_id", "concept_id"], "left")
     late = F.col("first_ts").isNull() | (F.col("first_ts") >= F.col("ts"))
     missing = asked.filter(late).groupBy("event_id").agg(F.max(F.col("rule") == "r3").alias("m3"), F.max(F.col("rule") == "r4").alias("m4"))
-    r1, r2 = _levels()
+    r1, r2 = levels()
     return facts.join(missing, "event_id", "left").select("event_id", "user_id", "content_id", r1.alias("r1"), r2.alias("r2"), F.coalesce("m3", F.lit(False)).alias("r3"), F.coalesce("m4", F.lit(False)).alias("r4"))
 
 
 def qualifying(pairs: DataFrame, users: DataFrame, contents: DataFrame, seen: DataFrame, needs: DataFrame) -> DataFrame:
     """Those of pairs (user_id, content_id) that break none of the four rules, given all concepts seen so far."""
     facts = pairs.join(users.select("user_id", "level", "experience"), "user_id").join(contents.select("content_id", "difficulty", "is_investment_related"), "content_id")
-    r1, r2 = _levels()
+    r1, r2 = levels()
     missing = pairs.join(needs.select("content_id", "concept_id").distinct(), "content_id").join(seen.select("user_id", "concept_id"), ["user_id", "concept_id"], "left_anti").select("user_id", "content_id").distinct()
     return facts.filter(~r1 & ~r2).select("user_id", "content_id").join(missing, ["user_id", "content_id"], "left_anti")
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, enrich, graph, metrics, pages, profiles, scorers, split
 from ..sources import fixtures as fx
-from ..streaming import exposure
+from ..sources.files import staged
+from ..streaming import exposure, requirements
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -346,6 +347,14 @@ def e1(spark, d):
     return audit.eligibility(w["events"], w["users"], w["contents"], seen, needs)
 
 
+@query("z1_requirement_stream", NEEDS + " SELECT * FROM audited")
+def z1s(spark, d):
+    """The eligibility rules judged on a stream of the log, with the concepts met as keyed state."""
+    w, _, needs = _rules(spark, d)
+    people, items = staged(w["users"], "people"), staged(w["contents"], "items")  # read again in every batch of the stream
+    return requirements.replay(fx.interaction_stream(spark, d), lambda events: requirements.facts(events, people, items, fx.topic_concepts(spark), needs))
+
+
 @query("e7_violations_by_rule", NEEDS + """ SELECT count(*) FILTER (r1) AS r1, count(*) FILTER (r2) AS r2, count(*) FILTER (r3) AS r3, count(*) FILTER (r4) AS r4,
 round(count(*) FILTER (r1 OR r2 OR r3 OR r4) / count(*), 6) AS share, count(*) FILTER (r1 OR r2 OR r3 OR r4) <= 0.05 * count(*) AS tolerated FROM audited""")
 def e7(spark, d):

@@ -11,14 +11,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_interactions(events: DataFrame) -> DataFrame:
+    """Rows of the event log, a table or a stream, as interactions."""
     event = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "signup", "quiz_passed").when(F.col("event_type") == "error", "disliked").otherwise("viewed")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id", "user_id", F.get_json_object("props", "$.k").cast("int").alias("content_id"), "ts",
         F.least(F.col("value") / 100, F.lit(1.0)).alias("score"), event.alias("event"),
     )
 
 
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_interactions(table(spark, sf_dir, "events"))
+
+
+def interaction_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a stream of files. The path is a pattern, so it may be one file or a folder of them."""
+    return as_interactions(spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = table(spark, sf_dir, "events").select("user_id").distinct()
     level = F.when(F.col("c_acctbal") < 0, None).when(F.col("c_acctbal") < 3000, "bajo").when(F.col("c_acctbal") < 7000, "medio").otherwise("alto")
