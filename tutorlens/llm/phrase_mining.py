@@ -31,7 +31,7 @@ THRESHOLD, LONGEST, TOP = 10, 3, 2000
 #: A candidate goes when a longer one that holds it has this percentage of its count, or more.
 COVERED = 50
 #: Text bytes that a task tokenizes at once, phrases it counts before it sends, text bytes a hash partition, bits of the filter.
-SLICE_BYTES, BUFFER, PARTITION_BYTES, FILTER_BITS = 1 << 22, 1 << 21, 1 << 25, 28
+SLICE_BYTES, BUFFER, PARTITION_BYTES, FILTER_BITS = 1 << 22, 1 << 20, 1 << 25, 27
 LEAST_PARTITIONS = 64
 #: Copies of each count that phrases are joined with, so that one common word is not one task; first cut of the top list.
 SALTS, FIRST_CUT = 16, 256
