@@ -30,9 +30,11 @@ from .common import staged, table
 THRESHOLD, LONGEST, TOP = 10, 3, 2000
 #: A candidate goes when a longer one that holds it has this percentage of its count, or more.
 COVERED = 50
-#: Text bytes that a task tokenizes at once, phrases it counts before it sends, text bytes a hash partition, bits of the filter.
-SLICE_BYTES, BUFFER, PARTITION_BYTES, FILTER_BITS = 1 << 22, 1 << 20, 1 << 25, 27
-LEAST_PARTITIONS = 64
+#: Text bytes that a task tokenizes at once, phrases it counts before it sends, text bytes that a task of the merge
+#: stands for (Arrow holds what it reads at once: raise it with the memory of executors), bits of the filter.
+SLICE_BYTES, BUFFER, TASK_BYTES, FILTER_BITS = 1 << 22, 1 << 20, 1 << 23, 27
+#: Hash partitions a task of the merge, so that tasks are about equal, and tasks at least.
+PARTS_A_TASK, LEAST_TASKS = 4, 16
 #: Copies of each count that phrases are joined with, so that one common word is not one task; first cut of the top list.
 SALTS, FIRST_CUT = 16, 256
 SEPARATORS = r"[.,;:!?\x0A-\x0D]+"
@@ -191,12 +193,12 @@ def _summarised(threshold: int):
     return run
 
 
-def frequent_filter(docs: DataFrame, threshold: int = THRESHOLD) -> bytes:
+def frequent_filter(docs: DataFrame, threshold: int = THRESHOLD, task_bytes: int = TASK_BYTES) -> bytes:
     """The bits that hashes of frequent phrases set: 2 ** FILTER_BITS bits, whatever the corpus."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(LEAST_PARTITIONS, -(-size // PARTITION_BYTES))
-    sent = docs.select("lang", "text").mapInArrow(_buffered(parts), "part int, mass long, keys binary, counts binary")
-    dealt = sent.repartition(F.col("part")).sortWithinPartitions("part")
+    tasks = max(LEAST_TASKS, -(-size // task_bytes))
+    sent = docs.select("lang", "text").mapInArrow(_buffered(tasks * PARTS_A_TASK), "part int, mass long, keys binary, counts binary")
+    dealt = sent.repartition(tasks, "part").sortWithinPartitions("part")
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for first, bits in dealt.mapInArrow(_summarised(threshold), "first long, bits binary").collect():
         out[first : first + len(bits)] |= np.frombuffer(bits, np.uint8)
