@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tutorlens.functions import text as T
-from tutorlens.operators import audit, enrich, graph, metrics, pages, profiles, scorers, split
+from tutorlens.operators import audit, enrich, factors, graph, metrics, pages, profiles, scorers, split
 from tutorlens.sources import files
 from tutorlens.streaming import exposure
 
@@ -214,7 +214,9 @@ def test_ridge_equals_the_closed_form(spark):
     rows = [(u, c, float(rng.random())) for u in range(12) for c in range(6) if (u * 7 + c * 3) % 4]
     users = spark.createDataFrame([(u, "ab"[u % 2]) for u in range(12)], "user_id long, kind string")
     contents = spark.createDataFrame([(c, "xyz"[c % 3]) for c in range(6)], "content_id int, topic string")
-    got = {(r.user_id, r.content_id): r.score for r in scorers.svd_ridge(spark.createDataFrame(rows, "user_id long, content_id int, score double"), users, contents, ["kind"], ["topic"], rank=3).collect()}
+    model = scorers.svd_ridge(spark.createDataFrame(rows, "user_id long, content_id int, score double"), users, contents, ["kind"], ["topic"], rank=3)
+    pairs = users.select("user_id").crossJoin(contents.select("content_id"))
+    got = {(r.user_id, r.content_id): r.predicted for r in factors.scores(pairs, *model).collect()}
     a = np.zeros((12, 6))
     for u, c, s in rows:
         a[u, c] = s

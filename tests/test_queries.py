@@ -37,6 +37,6 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["h2_h11_page_records", "h6_sections", "h7_h9_blocks", "h7_document_blocks", "h8_link_places", "k5_ingest_summary", "l4_errors", "h12_class_counts", "l1_requests", "l2_validation", "l4_outcome", "l5_quiz_by_concept", "m10_factor_model_warm", "m4_tfidf_cold"])
+@pytest.mark.parametrize("name", ["h2_h11_page_records", "h6_sections", "h7_h9_blocks", "h7_document_blocks", "h8_link_places", "k5_ingest_summary", "l4_errors", "h12_class_counts", "l1_requests", "l2_validation", "l4_outcome", "l5_quiz_by_concept"])
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import FMRegressor, LinearRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import staged
+from . import factors
+
 # Words that text scoring leaves out.
 STOP_WORDS = [
     "un", "una", "unas", "unos", "el", "la", "las", "los", "al", "del", "lo", "alguno", "algunos", "alguna", "algunas", "de", "en", "para", "por", "con", "sin",
@@ -66,6 +74,142 @@ def similarity(weights: DataFrame) -> DataFrame:
     return left.join(right, "term").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
 
 
+def close_pairs(weights: DataFrame, least: float) -> DataFrame:
+    """(a, b, sim) of the pairs a < b with a cosine of `least` or more. weights are rows of length 1. With terms in one order,
+    rarest first, the terms after a row's prefix have a norm below `least`: a pair that shares no prefix term of both has a
+    cosine below it. So only prefixes are joined, and the pairs found are summed over all their terms."""
+    weights = staged(weights.select("content_id", "term", "weight"), "weights")
+    ranked = weights.join(weights.groupBy("term").agg(F.count("*").alias("df")), "term")
+    rest = Window.partitionBy("content_id").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    prefix = staged(ranked.withColumn("rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest))).filter(F.col("rest") >= least - 1e-9).select("content_id", "term"), "prefix")
+    side = lambda name: prefix.select("term", F.col("content_id").alias(name))
+    pairs = side("a").join(side("b"), "term").filter("a < b").select("a", "b").distinct()
+    of = lambda name: weights.select(F.col("content_id").alias(name), "term", F.col("weight").alias(f"w{name}"))
+    sums = pairs.join(of("a"), "a").join(of("b"), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    return sums.filter(F.col("sim") >= least)
+
+
+#: Contents up to which similarities are one matrix (8 MB here, and that much in each task); beyond, they are joined by term.
+MOST_DENSE, CHUNK = 1024, 2048
+
+
+def similarity_matrix(weights: DataFrame, n: int) -> DataFrame:
+    """similarity() of the contents 0 to n - 1 (column `at`, n of MOST_DENSE at most) by matrix products: a task takes some
+    terms with their contents and adds up one n x n product, so no row stands for a pair and a term."""
+    if n > MOST_DENSE:
+        raise ValueError("too many contents for a matrix; use similarity()")
+    postings = weights.groupBy("term").agg(F.collect_list("at").alias("ats"), F.collect_list("weight").alias("weights"))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            for first in range(0, batch.num_rows, CHUNK):
+                ats, ws = batch.column(0).slice(first, CHUNK), batch.column(1).slice(first, CHUNK)
+                column = np.repeat(np.arange(len(ats)), pc.list_value_length(ats).to_numpy(zero_copy_only=False))
+                part = np.zeros((n, len(ats)))
+                part[ats.flatten().to_numpy(zero_copy_only=False), column] = ws.flatten().to_numpy(zero_copy_only=False)
+                total += part @ part.T
+        a, b = np.nonzero(total)
+        yield pa.record_batch([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b])], ["a", "b", "sim"])
+
+    return postings.select("ats", "weights").mapInArrow(multiply, "a int, b int, sim double").groupBy("a", "b").agg(F.sum("sim").alias("sim"))
+
+
+def listed(items: DataFrame) -> DataFrame:
+    """One row: `held`, the contents (content_id, needs) in order of id, for a catalog of MOST_LISTED contents at most."""
+    row = staged(items.agg(F.sort_array(F.collect_list(F.struct("content_id", "needs"))).alias("held")), "catalog")
+    if row.select(F.size("held")).first()[0] > MOST_LISTED:
+        raise ValueError("too many contents for one list; use the scorers over a grid")
+    return row
+
+
+MOST_LISTED = 65_536
+
+
+def popular_items(train: DataFrame, items: DataFrame) -> DataFrame:
+    """items (content_id, needs) with score, the number of events in train: a ranking that all users share."""
+    counts = train.groupBy(F.col("content_id").cast("int").alias("content_id")).agg(F.count("*").cast("double").alias("score"))
+    return staged(items.join(counts, "content_id", "left").select("content_id", "needs", F.coalesce("score", F.lit(0.0)).alias("score")), "popular")
+
+
+def random_rankings(users: DataFrame, items: DataFrame, k: int = 5, seed: int = 123) -> DataFrame:
+    """users (seen, ...) with `ranking`: k unseen contents by pair_coin, score 1, then all others, score 0; ids ascend in both."""
+    coin = lambda x: F.pmod(F.col("user_id") * 7919 + x.content_id * 104729 + seed * 31, F.lit(1000003))
+    drawn = F.array_sort(F.transform(F.filter("held", lambda x: ~F.array_contains("seen", x.content_id)), lambda x: F.struct(coin(x).alias("coin"), x.content_id.alias("content_id"))))
+    chosen = F.transform(F.slice(drawn, 1, k), lambda x: x.content_id)
+    scored = lambda xs, score: F.transform(xs, lambda x: F.struct(F.lit(score).alias("score"), x.content_id.alias("content_id"), x.needs.alias("needs")))
+    every = users.crossJoin(F.broadcast(listed(items))).withColumn("chosen", chosen)  # one row
+    ones, rest = F.filter("held", lambda x: F.array_contains("chosen", x.content_id)), F.filter("held", lambda x: ~F.array_contains("chosen", x.content_id))
+    return every.withColumn("ranking", F.concat(scored(ones, 1.0), scored(rest, 0.0))).drop("held", "chosen")
+
+
+def _own_rankings(users: DataFrame, told: DataFrame, catalog: DataFrame, ids: np.ndarray, score: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """users with `ranking`: score() gives a row of scores (one a content of ids) for each row of told (user_id, ...)."""
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                rows = score(part)
+                order = [np.lexsort((ids, -r)) for r in rows]
+                yield pa.record_batch([part.column(0), pa.array([o.astype(np.int32) for o in order], pa.list_(pa.int32())), pa.array([r[o] for r, o in zip(rows, order, strict=True)], pa.list_(pa.float64()))], ["user_id", "places", "scores"])
+
+    own = told.mapInArrow(rank, "user_id long, places array<int>, scores array<double>")
+    ranked = users.join(own, "user_id").crossJoin(F.broadcast(catalog))  # one row
+    item = F.zip_with("places", "scores", lambda p, s: F.struct(s.alias("score"), F.get("held", p).content_id.alias("content_id"), F.get("held", p).needs.alias("needs")))
+    return ranked.withColumn("ranking", item).drop("held", "places", "scores")
+
+
+def tfidf_rankings(users: DataFrame, train: DataFrame, items: DataFrame, texts: DataFrame, relevance: float = 0.5) -> DataFrame:
+    """users with `ranking` by the mean similarity to the contents that they liked. A user's similarities are summed as rows of
+    the matrix, in Arrow batches."""
+    catalog = listed(items)
+    ids = np.array([x.content_id for x in catalog.first().held], np.int64)
+    places = train.sparkSession.createDataFrame([(int(c), i) for i, c in enumerate(ids)], "content_id int, at int")
+    found = similarity_matrix(tfidf(texts).join(F.broadcast(places), "content_id"), len(ids)).toArrow()
+    sims = np.zeros((len(ids), len(ids)))
+    sims[found["a"].to_numpy(), found["b"].to_numpy()] = found["sim"].to_numpy()
+    liked = train.filter(F.col("score") >= relevance).join(F.broadcast(places), "content_id").groupBy("user_id").agg(F.collect_set("at").alias("liked"))
+    told = users.select("user_id").join(liked, "user_id", "left").select("user_id", F.coalesce("liked", F.array().cast("array<int>")).alias("liked"))
+    mean = lambda batch: np.round(np.stack([sims[x].sum(axis=0) / max(1, len(x)) for x in batch.column(1).to_pylist()]), 9)
+    return _own_rankings(users, told, catalog, ids, mean)
+
+
+def factor_rankings(users: DataFrame, people: DataFrame, model: DataFrame, items: DataFrame) -> DataFrame:
+    """users with `ranking` by a factor model (people and model as factors.py has them); what it does not know adds nothing."""
+    catalog = listed(items)
+    ids = np.array([x.content_id for x in catalog.first().held], np.int64)
+    known = {r.content_id: r for r in items.select("content_id").join(model, "content_id").collect()}
+    width = max([len(r.factors) for r in known.values() if r.factors is not None] or [0])
+    bias = np.array([known[c].bias if c in known else 0.0 for c in ids])
+    own_of = np.array([known[c].factors if c in known and known[c].factors else [0.0] * width for c in ids]).reshape(len(ids), width)
+    told = users.select("user_id").join(people, "user_id", "left").select("user_id", F.coalesce("bias", F.lit(0.0)).alias("bias"), F.coalesce("factors", F.array_repeat(F.lit(0.0), width)).alias("factors"))
+
+    def score(batch: pa.RecordBatch) -> np.ndarray:
+        own = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+        return batch.column(1).to_numpy(zero_copy_only=False)[:, None] + bias + own @ own_of.T
+
+    return _own_rankings(users, told, catalog, ids, score)
+
+
+def profile_rankings(users: DataFrame, words: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
+    """users with `ranking` by the cosine of their text (words: user_id, text) with the contents'. Users of one text are scored
+    once; a pair that shares no term has score 0."""
+    catalog = listed(items)
+    ids = np.array([x.content_id for x in catalog.first().held], np.int64)
+    found = tfidf_profile(words.select("text", F.md5("text").alias("told")).distinct(), texts, key="told")
+    rows = found.groupBy("told").agg(F.collect_list("content_id").alias("ids"), F.collect_list("score").alias("scores"))
+    told = users.select("user_id").join(words.select("user_id", F.md5("text").alias("told")), "user_id", "left").join(rows, "told", "left").select("user_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), F.coalesce("scores", F.array().cast("array<double>")).alias("scores"))
+
+    def score(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((batch.num_rows, len(ids)))
+        at = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        out[at, np.searchsorted(ids, batch.column(1).flatten().to_numpy(zero_copy_only=False))] = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+        return out
+
+    return _own_rankings(users, told, catalog, ids, score)
+
+
 def tfidf_scores(train: DataFrame, users: DataFrame, contents: DataFrame, texts: DataFrame, relevance: float = 0.5) -> DataFrame:
     """Mean similarity to the contents that the user liked; 0 without any. texts (content_id, text)."""
     liked = train.filter(F.col("score") >= relevance).select("user_id", F.col("content_id").alias("a")).distinct()
@@ -99,51 +243,55 @@ def _one_hot(frame: DataFrame, columns: list[str], prefix: str) -> DataFrame:
     return Pipeline(stages=stages).fit(filled).transform(filled)
 
 
-def svd_factors(train: DataFrame, n_items: int, rank: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(user_id, u) and (content_id, v): truncated SVD of the mean-score matrix A, u holding the singular values. V comes
-    from the items' products A'A, a table of n_items x n_items at most (a catalog of some thousands), and A V is U times
-    the singular values, summed by user without leaving Spark."""
-    spark = train.sparkSession
-    rank = min(rank, n_items - 1)
+def _weighed(vector: Column, weights: np.ndarray) -> Column:
+    """A vector of features times weights (one column: a number, more: an array), in Arrow batches."""
+    array = vector_to_array(vector)
+    flat = weights.ndim == 1
+
+    @F.pandas_udf("double" if flat else "array<double>")
+    def product(rows: pd.Series) -> pd.Series:
+        if not len(rows):
+            return pd.Series([], dtype=object)
+        out = np.stack(rows.to_numpy()) @ weights
+        return pd.Series(out if flat else list(out))
+
+    return product(array)
+
+
+def svd_ridge(train: DataFrame, users: DataFrame, contents: DataFrame, profile: list[str], features: list[str], rank: int = 10, alpha: float = 1.0, collaborative: bool = True) -> tuple[DataFrame, DataFrame]:
+    """People and items (see factors.py) of a ridge regression on u.v (truncated SVD of the mean scores), one-hot profile and
+    one-hot content features. collaborative False (new users): u.v is 0 in the prediction."""
     cells = train.groupBy("user_id", "content_id").agg(F.avg("score").alias("s"))
-    other = cells.select("user_id", F.col("content_id").alias("other"), F.col("s").alias("t"))
-    gram = np.zeros((n_items, n_items))
-    for a, b, x in cells.join(other, "user_id").groupBy("content_id", "other").agg(F.sum(F.col("s") * F.col("t")).alias("x")).collect():
-        gram[a, b] = x
-    v = np.linalg.eigh(gram)[1][:, ::-1][:, :rank]
-    right = spark.createDataFrame([(i, v[i].tolist()) for i in range(n_items)], "content_id int, v array<double>")
-    sums = F.array(*[F.sum(F.col("s") * F.col("v")[i]) for i in range(rank)])
-    return cells.join(right, "content_id").groupBy("user_id").agg(sums.alias("u")), right
-
-
-def svd_ridge(train: DataFrame, users: DataFrame, contents: DataFrame, profile: list[str], features: list[str], rank: int = 10, alpha: float = 1.0, collaborative: bool = True, clip: bool = False) -> DataFrame:
-    """Ridge regression on u.v, one-hot profile and one-hot content features, predicted over the grid. collaborative
-    False (new users): u.v is 0 in the prediction. clip: to [0, 1]."""
-    n_items = contents.agg(F.max("content_id")).first()[0] + 1
-    left, right = svd_factors(train, n_items, rank)
+    left, right, _ = factors.truncated_svd(cells, min(rank, contents.count() - 1))
     people = _one_hot(users, profile, "p").select("user_id", "p_features")
-    items = _one_hot(contents, features, "c").select("content_id", "c_features").join(right, "content_id")
+    items = _one_hot(contents, features, "c").select("content_id", "c_features").join(right, "content_id", "left")
     dot = F.coalesce(F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x), F.lit(0.0))
     assemble = VectorAssembler(inputCols=["uv", "p_features", "c_features"], outputCol="features")
     known = train.select("user_id", "content_id", "score").join(left, "user_id", "left").join(people, "user_id").join(items, "content_id").withColumn("uv", dot)
-    data = assemble.transform(known).select("features", F.col("score").alias("label"))
+    data = staged(assemble.transform(known).select("features", F.col("score").alias("label")), "ridge")
     n, dev = data.agg(F.count("*"), F.stddev_pop("label")).first()
     # Spark divides the penalty by the deviation of the label and by n
     model = LinearRegression(solver="normal", elasticNetParam=0.0, standardization=False, regParam=alpha / n * dev).fit(data)
-    cells = grid(users, contents).join(left, "user_id", "left").join(people, "user_id").join(items, "content_id").withColumn("uv", dot if collaborative else F.lit(0.0))
-    out = model.transform(assemble.transform(cells)).select("user_id", "content_id", F.col("prediction").alias("score"))
-    return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))) if clip else out
+    w, width = model.coefficients.toArray(), people.first().p_features.size
+    own = F.transform("u", lambda x: x * float(w[0])) if collaborative else F.lit(None).cast("array<double>")
+    told = people.join(left, "user_id", "left").select("user_id", (_weighed(F.col("p_features"), w[1 : 1 + width]) + model.intercept).alias("bias"), own.alias("factors"))
+    return told, items.select("content_id", _weighed(F.col("c_features"), w[1 + width :]).alias("bias"), F.col("v").alias("factors"))
 
 
-def factor_model(train: DataFrame, users: DataFrame, contents: DataFrame, profile: list[str] | None = None, seed: int = 456) -> DataFrame:
-    """Factorisation machine with 8 factors on user (or, for new users, profile) and item one-hots."""
-    if profile is None:
-        model = ALS(rank=8, userCol="user_id", itemCol="content_id", ratingCol="score", regParam=0.05, maxIter=10, seed=seed, coldStartStrategy="nan").fit(train.select(F.col("user_id").cast("int"), "content_id", "score"))
-        out = model.transform(grid(users, contents).withColumn("user_id", F.col("user_id").cast("int")))
-        return out.select(F.col("user_id").cast("long"), "content_id", F.coalesce(F.nanvl("prediction", F.lit(0.0)), F.lit(0.0)).cast("double").alias("score"))
+def profile_machine(train: DataFrame, users: DataFrame, contents: DataFrame, profile: list[str], size: int = 8, seed: int = 456) -> tuple[DataFrame, DataFrame]:
+    """People and items of a factorisation machine on profile and content one-hots, for users without events: what the
+    features of one side do among themselves is a bias, and its sum of factors meets the other side's."""
     people = _one_hot(users, profile, "p").select("user_id", "p_features")
     items = _one_hot(contents, ["content_id"], "c").select("content_id", "c_features")
     assemble = VectorAssembler(inputCols=["p_features", "c_features"], outputCol="features")
-    data = assemble.transform(train.join(people, "user_id").join(items, "content_id")).select("features", F.col("score").alias("label"))
-    model = FMRegressor(factorSize=8, solver="adamW", stepSize=0.01, regParam=1e-4, maxIter=15, seed=seed).fit(data)
-    return model.transform(assemble.transform(grid(users, contents).join(people, "user_id").join(items, "content_id"))).select("user_id", "content_id", F.col("prediction").alias("score"))
+    data = staged(assemble.transform(train.join(people, "user_id").join(items, "content_id")).select("features", F.col("score").alias("label")), "machine")
+    model = FMRegressor(factorSize=size, solver="adamW", stepSize=0.01, regParam=1e-4, maxIter=15, seed=seed).fit(data)
+    linear, v, cut = model.linear.toArray(), model.factors.toArray(), people.first().p_features.size
+
+    def side(frame: DataFrame, key: str, name: str, w: np.ndarray, v: np.ndarray, base: float) -> DataFrame:
+        # features are 0 or 1: pairs among them are half of the squared sum less the squares
+        both = frame.select(key, _weighed(F.col(name), np.column_stack([w - 0.5 * (v * v).sum(axis=1), v])).alias("x"))
+        own = F.slice("x", 2, size)
+        return both.select(key, (F.col("x")[0] + base + 0.5 * F.aggregate(own, F.lit(0.0), lambda a, b: a + b * b)).alias("bias"), own.alias("factors"))
+
+    return side(people, "user_id", "p_features", linear[:cut], v[:cut], model.intercept), side(items, "content_id", "c_features", linear[cut:], v[cut:], 0.0)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, enrich, graph, metrics, pages, profiles, scorers, split
+from ..operators import audit, enrich, factors, graph, metrics, pages, profiles, scorers, split, walk
 from ..sources import fixtures as fx
 from ..sources.files import staged
 from ..streaming import exposure, requirements
@@ -75,7 +75,7 @@ scores AS (SELECT a.user_id, c.content_id, round(coalesce(m.score, 0), 9) AS sco
 
 def _world(spark: SparkSession, d: str) -> dict:
     events, mapping = fx.interactions(spark, d), fx.content_concepts(spark, d)
-    return {"events": events, "mapping": mapping, "users": fx.users(spark, d), "contents": fx.contents(spark, d), "texts": fx.content_texts(spark, d), "required": graph.required(mapping, fx.prerequisites(spark, d))}
+    return {"events": events, "mapping": mapping, "users": fx.users(spark, d), "contents": fx.contents(spark, d), "texts": fx.content_texts(spark, d), "described": fx.described_texts(spark, d), "people": fx.users(spark, d), "required": graph.required(mapping, fx.prerequisites(spark, d))}
 
 
 def _sides(w: dict, cold: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -97,6 +97,27 @@ def _cold(spark: SparkSession, d: str, score) -> DataFrame:
     return metrics.evaluate(score(train, w), None, test, w["required"], known.filter(F.lit(False)), 100)
 
 
+def _walked(spark: SparkSession, d: str, rank, cold: bool = False) -> DataFrame:
+    """Users with the lists that rank(users, items, train, world) leads to: new users have seen and mastered nothing."""
+    w = _world(spark, d)
+    train, test, known = _sides(w, cold)
+    people = test if cold else w["users"]
+    states = walk.states(people, None if cold else train, None if cold else known, test)
+    return rank(states, walk.catalog(w["contents"], w["required"]), train, w)
+
+
+def _popular(users, items, train, w):
+    return walk.walk_shared(users, scorers.popular_items(train, items))
+
+
+def _random(users, items, train, w):
+    return walk.walk_own(scorers.random_rankings(users, items))
+
+
+def _similar(users, items, train, w):
+    return walk.walk_own(scorers.tfidf_rankings(users, train, items, w["texts"]))
+
+
 @query("d1_warm_split", WARM + " SELECT event_id, user_id, content_id, side FROM split")
 def d1(spark, d):
     return split.warm_split(fx.interactions(spark, d)).select("event_id", "user_id", "content_id", "side")
@@ -138,25 +159,22 @@ def g3(spark, d):
 
 @query("g4_recommendations", WARM + POPULAR + EVAL_WARM.split("per_user AS")[0].rstrip(", \n") + """ SELECT user_id, CAST(prn AS BIGINT) AS rank, content_id, CAST(score AS DOUBLE) AS predicted_score, topic, difficulty FROM flagged JOIN contents USING (content_id) WHERE prn <= 5""")
 def g4(spark, d):
-    w = _world(spark, d)
-    train, _, known = _sides(w)
-    top = metrics.recommend(scorers.popularity(train, w["users"], w["contents"]), train, w["required"], known, w["contents"])
-    return top.withColumn("rank", F.col("rank").cast("long"))
+    return walk.recommended(_walked(spark, d, _popular), fx.contents(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("g5_g11_popularity_warm", WARM + POPULAR + EVAL_WARM)
 def g5(spark, d):
-    return _warm(spark, d, lambda train, w: scorers.popularity(train, w["users"], w["contents"]))
+    return metrics.summarise(walk.per_user(_walked(spark, d, _popular)), fx.CATALOG)
 
 
 @query("m2_random_warm", WARM + RANDOM_WARM + EVAL_WARM)
 def m2(spark, d):
-    return _warm(spark, d, lambda train, w: scorers.random_topk(w["users"], w["contents"], train))
+    return metrics.summarise(walk.per_user(_walked(spark, d, _random)), fx.CATALOG)
 
 
 @query("m3_tfidf_warm", WARM + TFIDF + TFIDF_SCORES + EVAL_WARM)
 def m3(spark, d):
-    return _warm(spark, d, lambda train, w: scorers.tfidf_scores(train, w["users"], w["contents"], w["texts"]))
+    return metrics.summarise(walk.per_user(_walked(spark, d, _similar)), fx.CATALOG)
 
 
 @query("j16_tfidf_similarity", TFIDF + " SELECT a, b, round(sim, 6) AS sim FROM sim")
@@ -164,17 +182,26 @@ def j16(spark, d):
     return scorers.similarity(scorers.tfidf(fx.content_texts(spark, d))).withColumn("sim", F.round("sim", 6))
 
 
-@query("m4_tfidf_cold")
-def m4c(spark, d):
-    """New users' profile texts against the contents' vocabulary; contents without a shared term score 0."""
-    people = fx.users(spark, d)
+@query("j16_close_texts", TFIDF.replace("FROM texts)", "FROM (SELECT min(doc_id) AS content_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY coalesce(text, '')))").replace(
+    "FROM contents", "FROM (SELECT DISTINCT coalesce(text, '') FROM documents WHERE doc_id IS NOT NULL)").replace("JOIN weights b USING (term)", "JOIN weights b ON a.term = b.term AND a.content_id < b.content_id").replace("GROUP BY ALL)", "GROUP BY ALL)") + " SELECT a, b, round(sim, 6) AS sim FROM sim WHERE sim >= 0.8")
+def j16c(spark, d):
+    """Pairs of different texts with a cosine of 0.8 or more; a text stands for all documents that have it."""
+    docs = fx.table(spark, d, "documents").filter("doc_id is not null").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("doc_id").alias("content_id"))
+    return scorers.close_pairs(scorers.tfidf(docs), 0.8).withColumn("sim", F.round("sim", 6))
 
-    def score(train: DataFrame, w: dict) -> DataFrame:
-        words = people.join(w["users"], "user_id", "left_semi").select("user_id", T.joined_text(F.col("segment"), F.col("level"), F.col("experience")).alias("text"))
-        told = scorers.tfidf_profile(words, w["texts"], key="user_id")
-        return scorers.grid(w["users"], w["contents"]).join(told, ["user_id", "content_id"], "left").select("user_id", "content_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
-    return _cold(spark, d, score)
+def _told(users, items, train, w):
+    words = w["people"].select("user_id", T.joined_text(F.col("segment"), F.col("level"), F.col("experience")).alias("text"))
+    return walk.walk_own(scorers.profile_rankings(users, words.join(users, "user_id", "left_semi"), w["described"], items))
+
+
+@query("m4_tfidf_cold", COLD + TFIDF.replace("FROM texts)", "FROM described)") + """, qt AS (SELECT user_id, unnest(regexp_extract_all(lower(concat_ws(' ', segment, level, experience)), '[\\p{L}\\p{N}_]{2,}')) AS term FROM users),
+qw AS (SELECT user_id, term, count(*) * any_value(idf) AS w FROM qt JOIN idf USING (term) GROUP BY ALL), qn AS (SELECT user_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY ALL),
+told AS (SELECT user_id, content_id, round(sum(w * weight) / any_value(norm), 6) AS score FROM qw JOIN weights USING (term) JOIN qn USING (user_id) GROUP BY ALL),
+scores AS (SELECT a.user_id, c.content_id, coalesce(t.score, 0) AS score FROM asked a CROSS JOIN contents c LEFT JOIN told t ON t.user_id = a.user_id AND t.content_id = c.content_id)""" + EVAL_COLD)
+def m4c(spark, d):
+    """New users' profile texts against the contents' vocabulary; contents without a shared term score 0."""
+    return metrics.summarise(walk.per_user(_walked(spark, d, _told, cold=True)), fx.CATALOG)
 
 
 @query("m4_tfidf_profile", TFIDF + """, q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM benchmark),
@@ -187,43 +214,57 @@ def m4(spark, d):
 PROFILE, FEATURES = ["segment", "nation", "level"], ["topic", "difficulty", "is_investment_related"]
 
 
+def _ridge(users, items, train, w):
+    return walk.walk_own(scorers.factor_rankings(users, *scorers.svd_ridge(train, w["users"], w["contents"], PROFILE, FEATURES), items))
+
+
+def _ridge_new(users, items, train, w):
+    return walk.walk_own(scorers.factor_rankings(users, *scorers.svd_ridge(train, w["users"], w["contents"], PROFILE, FEATURES, collaborative=False), items))
+
+
+def _machine(users, items, train, w):
+    return walk.walk_own(scorers.factor_rankings(users, *factors.factorisation_machine(train), items))
+
+
+def _machine_new(users, items, train, w):
+    return walk.walk_own(scorers.factor_rankings(users, *scorers.profile_machine(train, w["users"], w["contents"], PROFILE), items))
+
+
 @query("m7_svd_ridge_warm")
 def m7(spark, d):
-    return _warm(spark, d, lambda train, w: scorers.svd_ridge(train, w["users"], w["contents"], PROFILE, FEATURES))
+    return metrics.summarise(walk.per_user(_walked(spark, d, _ridge)), fx.CATALOG)
 
 
 @query("m9_svd_ridge_fit_error")
 def m9(spark, d):
     w = _world(spark, d)
-    predicted = scorers.svd_ridge(w["events"], w["users"], w["contents"], PROFILE, FEATURES, clip=True).withColumnRenamed("score", "predicted")
-    return metrics.mae_rmse(w["events"].join(predicted, ["user_id", "content_id"]))
+    told = factors.scores(w["events"], *scorers.svd_ridge(w["events"], w["users"], w["contents"], PROFILE, FEATURES))
+    return metrics.mae_rmse(told.withColumn("predicted", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("predicted")))))
 
 
 @query("m10_factor_model_warm")
 def m10(spark, d):
-    return _warm(spark, d, lambda train, w: scorers.factor_model(train, w["users"], w["contents"]))
+    return metrics.summarise(walk.per_user(_walked(spark, d, _machine)), fx.CATALOG)
 
 
 @query("m8_ridge_cold")
 def m8(spark, d):
-    people = fx.users(spark, d)
-    return _cold(spark, d, lambda train, w: scorers.svd_ridge(train, people, w["contents"], PROFILE, FEATURES, collaborative=False).join(w["users"], "user_id", "left_semi"))
+    return metrics.summarise(walk.per_user(_walked(spark, d, _ridge_new, cold=True)), fx.CATALOG)
 
 
 @query("m11_factor_model_cold")
 def m11(spark, d):
-    people = fx.users(spark, d)
-    return _cold(spark, d, lambda train, w: scorers.factor_model(train, people, w["contents"], PROFILE).join(w["users"], "user_id", "left_semi"))
+    return metrics.summarise(walk.per_user(_walked(spark, d, _machine_new, cold=True)), fx.CATALOG)
 
 
 @query("g13_popularity_cold", COLD + POPULAR + EVAL_COLD)
 def g13(spark, d):
-    return _cold(spark, d, lambda train, w: scorers.popularity(train, w["users"], w["contents"]))
+    return metrics.summarise(walk.per_user(_walked(spark, d, _popular, cold=True)), fx.CATALOG)
 
 
 @query("g13_random_cold", COLD + RANDOM.format(free="") + EVAL_COLD)
 def g13r(spark, d):
-    return _cold(spark, d, lambda train, w: scorers.random_topk(w["users"], w["contents"], None))
+    return metrics.summarise(walk.per_user(_walked(spark, d, _random, cold=True)), fx.CATALOG)
 
 
 @query("g14_model_table")

@@ -53,6 +53,17 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_texts(spark, sf_dir).select("content_id").distinct().select(k, (k % 14).alias("topic"), difficulty.alias("difficulty"), (k % 7 == 0).alias("is_investment_related"))
 
 
+#: Words of the descriptions, in the order of the remainders of content_id.
+SEGMENT_WORDS, LEVEL_WORDS = ["automobile", "building", "furniture", "household", "machinery"], ["bajo", "medio", "alto"]
+
+
+def described_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """content_texts() and, as one more row a content, its description: for whom it is, at what level, how hard."""
+    word = lambda words: F.array(*[F.lit(w) for w in words])[F.col("content_id") % len(words)]
+    told = contents(spark, sf_dir).select("content_id", F.concat_ws(" ", F.lit("para"), word(SEGMENT_WORDS), F.lit("nivel"), word(LEVEL_WORDS), F.col("difficulty")).alias("text"))
+    return content_texts(spark, sf_dir).unionByName(told)
+
+
 def content_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("content_id")
     both = content_texts(spark, sf_dir).select("content_id").distinct().select(k, F.explode(F.when(k % 5 == 0, F.array(k % 30, (k * 7) % 30)).otherwise(F.array(k % 30))).alias("concept_id"))
@@ -116,6 +127,7 @@ users AS (SELECT CAST(c_custkey AS BIGINT) AS user_id, c_mktsegment AS segment,
 texts AS (SELECT CAST(doc_id % 100 AS INT) AS content_id, coalesce(text, '') AS text FROM documents),
 contents AS (SELECT content_id, CAST(content_id % 14 AS INT) AS topic, CASE WHEN content_id % 10 < 6 THEN 'básico' WHEN content_id % 10 < 9 THEN 'intermedio' ELSE 'avanzado' END AS difficulty,
   content_id % 7 = 0 AS is_investment_related FROM (SELECT DISTINCT content_id FROM texts)),
+described AS (SELECT * FROM texts UNION ALL SELECT content_id, 'para ' || (['automobile', 'building', 'furniture', 'household', 'machinery'])[content_id % 5 + 1] || ' nivel ' || (['bajo', 'medio', 'alto'])[content_id % 3 + 1] || ' ' || difficulty FROM contents),
 ccm AS (SELECT content_id, CAST(content_id % 30 AS INT) AS concept_id FROM contents UNION SELECT content_id, CAST((content_id * 7) % 30 AS INT) FROM contents WHERE content_id % 5 = 0),
 concepts AS (SELECT DISTINCT CAST(doc_id % 40 AS INT) AS concept_id FROM documents),
 prerequisites AS (SELECT concept_id, CAST(concept_id // 2 AS INT) AS prerequisite_concept_id FROM concepts WHERE concept_id BETWEEN 1 AND 29 AND concept_id % 3 <> 1
