@@ -59,7 +59,7 @@ def tfidf(texts: DataFrame, key: str = "content_id", text: str = "text", stop_wo
     """(key, term, weight): raw counts times ln((1 + N) / (1 + df)) + 1, rows of length 1. A key may have several rows of
     text; N is the number of keys."""
     terms = texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("term")).filter(~F.col("term").isin(stop_words))
-    tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = staged(terms.groupBy(key, "term").agg(F.count("*").alias("tf")), "terms")  # texts are cut into terms once
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = texts.agg(F.countDistinct(key).alias("n_docs"))  # one row
     raw = tf.join(df, "term").crossJoin(total).select(key, "term", (F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("raw"), "df", "n_docs")
@@ -98,21 +98,31 @@ def similarity_matrix(weights: DataFrame, n: int) -> DataFrame:
     terms with their contents and adds up one n x n product, so no row stands for a pair and a term."""
     if n > MOST_DENSE:
         raise ValueError("too many contents for a matrix; use similarity()")
-    postings = weights.groupBy("term").agg(F.collect_list("at").alias("ats"), F.collect_list("weight").alias("weights"))
+    rows = weights.select("term", "at", "weight").repartition("term").sortWithinPartitions("term")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, n))
+        total, left = np.zeros((n, n)), None
         for batch in batches:
-            for first in range(0, batch.num_rows, CHUNK):
-                ats, ws = batch.column(0).slice(first, CHUNK), batch.column(1).slice(first, CHUNK)
-                column = np.repeat(np.arange(len(ats)), pc.list_value_length(ats).to_numpy(zero_copy_only=False))
-                part = np.zeros((n, len(ats)))
-                part[ats.flatten().to_numpy(zero_copy_only=False), column] = ws.flatten().to_numpy(zero_copy_only=False)
-                total += part @ part.T
+            whole = pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch]).combine_chunks()
+            term = whole["term"]
+            new = np.concatenate([[True], pc.not_equal(term[1:], term[:-1]).to_numpy()])
+            last = np.flatnonzero(new)[-1]
+            left = whole.slice(last)  # the last term may go on in the next batch
+            add(total, whole.slice(0, last), new[:last])
+        if left is not None:
+            add(total, left, np.arange(len(left)) == 0)
         a, b = np.nonzero(total)
         yield pa.record_batch([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b])], ["a", "b", "sim"])
 
-    return postings.select("ats", "weights").mapInArrow(multiply, "a int, b int, sim double").groupBy("a", "b").agg(F.sum("sim").alias("sim"))
+    def add(total: np.ndarray, part: pa.Table, new: np.ndarray) -> None:
+        column, at, weight = np.cumsum(new) - 1, part["at"].to_numpy(), part["weight"].to_numpy()
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):
+            a, b = np.searchsorted(column, [first, first + CHUNK])
+            dense = np.zeros((n, CHUNK))
+            dense[at[a:b], column[a:b] - first] = weight[a:b]
+            total += dense @ dense.T
+
+    return rows.mapInArrow(multiply, "a int, b int, sim double").groupBy("a", "b").agg(F.sum("sim").alias("sim"))
 
 
 def listed(items: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ users whose list is not full go on to the next. A ranking of a user's own is an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import staged
@@ -57,15 +57,14 @@ def walk_own(users: DataFrame, k: int = 5) -> DataFrame:
 def walk_shared(users: DataFrame, items: DataFrame, k: int = 5, stretch: int = STRETCH) -> DataFrame:
     """users (states()) with `walked` along items (content_id, needs, score), best score first, ties to the smaller id."""
     order, kind = [F.desc("score"), F.asc("content_id")], f"array<{ITEM}>"
-    place = Window.orderBy(*order)
+    spark = users.sparkSession
     waiting, done, at = users.withColumn("walked", F.array().cast("array<struct<score:double,content_id:int,q:boolean>>")), None, 0
     while True:
-        part = items.orderBy(*order).offset(at).limit(stretch).withColumn("place", F.row_number().over(place))
-        row = part.agg(F.sort_array(F.collect_list(F.struct("place", F.col("score").cast("double").alias("score"), "content_id", "needs"))).alias("held"), F.count("*").alias("n_items"))
-        row = staged(row.select(F.transform("held", lambda x: F.struct(x.score.alias("score"), x.content_id.alias("content_id"), x.needs.alias("needs"))).cast(kind).alias("ranking"), "n_items"), "stretch")
-        more = waiting.crossJoin(F.broadcast(row))  # one row of `stretch` contents
-        more = more.withColumn("judged", F.concat("walked", _judged(F.col("ranking")))).withColumn("walked", _cut(F.col("judged"), k)).drop("judged", "ranking", "n_items")
-        if row.first().n_items < stretch:
+        held = [(float(x.score), x.content_id, x.needs) for x in items.orderBy(*order).offset(at).limit(stretch).collect()]  # `stretch` rows at most
+        row = spark.createDataFrame([(held,)], f"ranking {kind}")
+        more = waiting.crossJoin(F.broadcast(row))  # one row
+        more = more.withColumn("judged", F.concat("walked", _judged(F.col("ranking")))).withColumn("walked", _cut(F.col("judged"), k)).drop("judged", "ranking")
+        if len(held) < stretch:
             return more if done is None else done.unionByName(more)
         more = staged(more, "walk")
         full = F.size(F.filter("walked", lambda x: x.q)) >= k

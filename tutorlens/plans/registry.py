@@ -79,22 +79,15 @@ def _world(spark: SparkSession, d: str) -> dict:
 
 
 def _sides(w: dict, cold: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    whole = split.cold_split(w["events"]) if cold else split.warm_split(w["events"])
+    """Training and test events and what was mastered in training; the split is read by several branches, so it is written once."""
+    whole = staged(split.cold_split(w["events"]) if cold else split.warm_split(w["events"]), "split")
     train = whole.filter(F.col("side") != "test")
     return train, whole.filter("side = 'test'"), graph.mastered(train, w["mapping"])
 
 
-def _warm(spark: SparkSession, d: str, score) -> DataFrame:
-    w = _world(spark, d)
-    train, test, known = _sides(w)
-    return metrics.evaluate(score(train, w), train, test, w["required"], known, 100)
-
-
-def _cold(spark: SparkSession, d: str, score) -> DataFrame:
-    w = _world(spark, d)
-    train, test, known = _sides(w, cold=True)
-    w["users"] = test.select("user_id").distinct()
-    return metrics.evaluate(score(train, w), None, test, w["required"], known.filter(F.lit(False)), 100)
+def _figures(walked: DataFrame) -> DataFrame:
+    """The metrics row of walked lists."""
+    return metrics.summarise(staged(walk.per_user(walked), "per-user"), fx.CATALOG)
 
 
 def _walked(spark: SparkSession, d: str, rank, cold: bool = False) -> DataFrame:
@@ -164,17 +157,17 @@ def g4(spark, d):
 
 @query("g5_g11_popularity_warm", WARM + POPULAR + EVAL_WARM)
 def g5(spark, d):
-    return metrics.summarise(walk.per_user(_walked(spark, d, _popular)), fx.CATALOG)
+    return _figures(_walked(spark, d, _popular))
 
 
 @query("m2_random_warm", WARM + RANDOM_WARM + EVAL_WARM)
 def m2(spark, d):
-    return metrics.summarise(walk.per_user(_walked(spark, d, _random)), fx.CATALOG)
+    return _figures(_walked(spark, d, _random))
 
 
 @query("m3_tfidf_warm", WARM + TFIDF + TFIDF_SCORES + EVAL_WARM)
 def m3(spark, d):
-    return metrics.summarise(walk.per_user(_walked(spark, d, _similar)), fx.CATALOG)
+    return _figures(_walked(spark, d, _similar))
 
 
 @query("j16_tfidf_similarity", TFIDF + " SELECT a, b, round(sim, 6) AS sim FROM sim")
@@ -201,7 +194,7 @@ told AS (SELECT user_id, content_id, round(sum(w * weight) / any_value(norm), 6)
 scores AS (SELECT a.user_id, c.content_id, coalesce(t.score, 0) AS score FROM asked a CROSS JOIN contents c LEFT JOIN told t ON t.user_id = a.user_id AND t.content_id = c.content_id)""" + EVAL_COLD)
 def m4c(spark, d):
     """New users' profile texts against the contents' vocabulary; contents without a shared term score 0."""
-    return metrics.summarise(walk.per_user(_walked(spark, d, _told, cold=True)), fx.CATALOG)
+    return _figures(_walked(spark, d, _told, cold=True))
 
 
 @query("m4_tfidf_profile", TFIDF + """, q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM benchmark),
@@ -232,7 +225,7 @@ def _machine_new(users, items, train, w):
 
 @query("m7_svd_ridge_warm")
 def m7(spark, d):
-    return metrics.summarise(walk.per_user(_walked(spark, d, _ridge)), fx.CATALOG)
+    return _figures(_walked(spark, d, _ridge))
 
 
 @query("m9_svd_ridge_fit_error")
@@ -244,27 +237,27 @@ def m9(spark, d):
 
 @query("m10_factor_model_warm")
 def m10(spark, d):
-    return metrics.summarise(walk.per_user(_walked(spark, d, _machine)), fx.CATALOG)
+    return _figures(_walked(spark, d, _machine))
 
 
 @query("m8_ridge_cold")
 def m8(spark, d):
-    return metrics.summarise(walk.per_user(_walked(spark, d, _ridge_new, cold=True)), fx.CATALOG)
+    return _figures(_walked(spark, d, _ridge_new, cold=True))
 
 
 @query("m11_factor_model_cold")
 def m11(spark, d):
-    return metrics.summarise(walk.per_user(_walked(spark, d, _machine_new, cold=True)), fx.CATALOG)
+    return _figures(_walked(spark, d, _machine_new, cold=True))
 
 
 @query("g13_popularity_cold", COLD + POPULAR + EVAL_COLD)
 def g13(spark, d):
-    return metrics.summarise(walk.per_user(_walked(spark, d, _popular, cold=True)), fx.CATALOG)
+    return _figures(_walked(spark, d, _popular, cold=True))
 
 
 @query("g13_random_cold", COLD + RANDOM.format(free="") + EVAL_COLD)
 def g13r(spark, d):
-    return metrics.summarise(walk.per_user(_walked(spark, d, _random, cold=True)), fx.CATALOG)
+    return _figures(_walked(spark, d, _random, cold=True))
 
 
 @query("g14_model_table")
