@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tutorlens.functions import text as T
+from tutorlens.operators.html import parsed
 from tutorlens.operators import audit, enrich, factors, graph, metrics, pages, profiles, scorers, split
 from tutorlens.sources import files
 from tutorlens.streaming import exposure
@@ -100,10 +101,10 @@ def test_page_parts(spark):
     frame = spark.createDataFrame([(1, "https://h.org/a/b?x=1", html), (2, "https://h.org/a/b", None)], "page_id long, url string, html string")
     assert [(r.level, r.heading) for r in pages.headings(frame).orderBy("pos").collect()] == [(1, "One & two"), (2, "Next")]
     assert {r.href for r in pages.links(frame, main_only=False).collect()} == {"https://h.org/menu", "https://h.org/go"}
-    video = frame.filter("page_id = 1").select(pages.video_info(F.col("html")).alias("v")).first().v
+    video = parsed(frame.filter("page_id = 1")).select(pages.video_info(F.col("parts")).alias("v")).first().v
     assert video.has_video and video.video_urls == ["https://www.youtube.com/embed/1"] and video.platforms == ["youtube"]
     assert {r.page_id: r.deduped_from for r in pages.fan_out(frame).collect()} == {1: None, 2: 1}
-    assert {r.page_id: r.classification for r in pages.records(frame).collect()} == {1: "short", 2: "empty"}
+    assert {r.page_id: r.classification for r in pages.records(frame).collect()} == {1: "short", 2: "fetch_error"}
 
 
 def test_sections_and_blocks(spark):
@@ -172,14 +173,60 @@ def test_main_links_take_the_heading_over_a_call(spark):
     got = {r.href: r.label for r in pages.links(spark.createDataFrame([(1, "https://h.org/p", html)], "page_id long, url string, html string")).collect()}
     assert got == {"https://h.org/tool": "Budget tool", "https://h.org/b.html#x": "A label that is long enough to stand"}
     video = '<script type="application/ld+json">[{"@type": "VideoObject", "embedUrl": "//v/1"}, {"@type": "Article", "url": "x"}]</script><script type="application/ld+json">{"@type": "VideoObject", "contentUrl": "https://v/2", "url": "y"}</script><script type="application/ld+json">{broken</script>'
-    assert spark.createDataFrame([(video,)], "html string").select(pages.video_objects(F.col("html"))).first()[0] == ["//v/1", "https://v/2"]
+    found = parsed(spark.createDataFrame([(1, "u", video)], "page_id long, url string, html string")).select(pages.video_objects(F.col("parts.scripts"))).first()[0]
+    assert [(x.content, x.embed) for x in found] == [(None, "//v/1"), ("https://v/2", None)]
 
 
 def test_ingest_summary_states(spark):
-    frame = spark.createDataFrame([(1, "https://h/x.pdf", None), (2, "https://h/y", "<p></p>"), (3, "https://h/z", "<title>The guide</title><h1>Head</h1><p>" + "word " * 60 + "</p>")], "page_id long, url string, html string")
+    whole = "<title>The guide</title><h1>Head</h1><p>" + "word " * 60 + "</p>"
+    rows = [(1, "https://h/x.pdf", None), (2, "https://h/y", "<p></p>"), (3, "https://h/z", whole), (4, "https://h/web", "%PDF-1.4 bytes"), (5, "https://h/w.pdf", whole), (6, "https://h/v", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     catalog = spark.createDataFrame([(3, "the  Guide!", "web", "Artículo")], "page_id long, title string, source string, format string")
     got = {r.content_id: (r.url_type, r.status, r.ok, r.title_match, r.num_headings, r.classification, r.error) for r in pages.ingest_summary(frame, catalog).collect()}
-    assert got == {1: ("pdf", 0, False, False, 0, "fetch_error", "no body"), 2: ("html", 200, False, False, 0, "extract_error", ""), 3: ("html", 200, True, True, 1, "ok", "")}
+    assert got == {
+        1: ("pdf", 0, False, False, 0, "fetch_error", "empty_body"), 2: ("html", 200, True, False, 0, "empty", "no_text"), 3: ("html", 200, True, True, 1, "ok", ""),
+        4: ("pdf", 200, True, False, 0, "empty", "pdf_no_text"), 5: ("html", 200, True, False, 1, "ok", ""), 6: ("html", 0, False, False, 0, "fetch_error", "empty_body"),
+    }
+
+
+def parts_of(spark, html, url="https://h.org/x/y/page"):
+    frame = spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
+    return frame, parsed(frame).select("parts", pages.video_info(F.col("parts")).alias("video")).first()
+
+
+def test_videos_of_every_kind(spark):
+    html = """<video src='a.mp4'><source src="//cdn/b.webm"><source></video><source src="outside.mp4"><picture><source src="p.png"></picture>
+    <iframe src=" https://fast.wistia.net/embed/1 "></iframe><iframe src='https://player.vimeo.com/2'></iframe><iframe src="//www.YouTube-nocookie.com/embed/3"></iframe>
+    <iframe src="https://maps.org/4"></iframe><iframe></iframe><div data-video=" ID5 "></div><div data-video=""></div>
+    <script type="application/ld+json">[{"@type": ["Thing", "VideoObject"], "contentUrl": "https://v/6", "embedUrl": "//v/7"}, {"@type": "Article", "url": "no"}, 3]</script>
+    <script type="application/ld+json">{"@type": "VideoObject", "contentUrl": "", "url": "a.mp4"}</script><script type="application/ld+json">{broken</script><script>{"@type": "VideoObject", "url": "no"}</script>"""
+    video = parts_of(spark, html)[1].video
+    assert video.video_urls == ["a.mp4", "https://cdn/b.webm", "https://fast.wistia.net/embed/1", "https://player.vimeo.com/2", "https://www.YouTube-nocookie.com/embed/3", "https://maps.org/4", "https://www.youtube.com/embed/ID5", "https://v/6", "https://v/7"]
+    assert video.platforms == ["direct", "vimeo", "wistia", "youtube"] and video.schema_type == "VideoObject" and video.has_video
+    bare = parts_of(spark, '<script type="application/ld+json">{"@type": "VideoObject"}</script>')[1].video
+    assert bare.has_video and bare.video_urls == [] and bare.schema_type == "VideoObject"
+    none = parts_of(spark, "<p>no video</p>")[1].video
+    assert not none.has_video and none.schema_type is None and none.platforms == []
+
+
+def test_links_of_containers(spark):
+    links = lambda html: {r.href: r.label for r in pages.links(parts_of(spark, html)[0]).collect()}
+    up = "<div role='main'><a href='../up.html'>One level up from here</a><a href='?q=1'>Query of the page itself</a><a href='//o.org/z'>Another host's page</a></div><a href='/out'>outside of it all</a>"
+    assert links(up) == {"https://h.org/x/up.html": "One level up from here", "https://h.org/x/y/page?q=1": "Query of the page itself", "https://o.org/z": "Another host's page"}
+    two = "<article><a href='/1'>first article, a link</a></article><article><a href='/2'>second article, a link</a></article>"
+    assert links(two) == {"https://h.org/1": "first article, a link"}
+    assert links("<article><a href='/1'>in an article, before</a></article><main><a href='/2'>in the main element</a></main>") == {"https://h.org/2": "in the main element"}
+    assert links("<div id='content'><h2>Tool <b>box</b></h2><a href='/t'>Go</a><a href='/t2'>Try</a><a href='/t2'>again the same one</a></div>") == {"https://h.org/t2": "Tool box"}
+    assert links("<section class='x main-content'><a href='/a'>ends with a point.</a></section>") == {"https://h.org/a": "ends with a point."}
+    assert links("<a href='/a'>no container at all here</a>") == {} and links(None) == {}
+
+
+def test_text_of_the_tree(spark):
+    nested = "<head><title> A  b </title></head><nav><nav>in</nav>menu</nav><main><p>One<br>two <i>three</i></p><nav>skip</nav><div>four<script>x='</p>'</script></div></main><footer>end</footer>"
+    parts = parts_of(spark, nested)[1].parts
+    assert parts.text == "One\ntwo three\nfour" and parts.title == "A b"
+    assert parts_of(spark, "<body>plain <b>text</b><footer>f</footer><p>more &amp; more")[1].parts.text == "plain text\nmore & more"
+    assert parts_of(spark, None)[1].parts.text == "" and parts_of(spark, "<![if x]><p>odd<![endif]>")[1].parts is not None
 
 
 def test_requests_name_metadata_and_glossary(spark):

@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import extraction_class, host, is_pdf_url, normal, plain, titles_match
-
-
-def main_text(html: Column) -> Column:
-    """Text of the article (or of the page without chrome): one line a block element."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|noscript)\b.*?</\1>|<!--.*?-->", " ")
-    article = F.regexp_extract(bare, r"(?is)<article[^>]*>(.*?)</article>", 1)
-    body = F.when(article != "", article).otherwise(F.regexp_replace(bare, r"(?is)<head>.*?</head>", " "))
-    lines = F.regexp_replace(body, r"(?i)</?(p|div|h[1-6]|li|ul|ol|br|section|article|tr)\b[^>]*>", "\n")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain(lines), r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
+from ..functions.text import extraction_class, host, is_pdf_body, is_pdf_url, normal, plain, titles_match
+from ..sources.files import staged
+from .html import parsed
 
 
 def headings(pages: DataFrame) -> DataFrame:
@@ -27,29 +20,47 @@ def headings(pages: DataFrame) -> DataFrame:
 
 def links(pages: DataFrame, main_only: bool = True) -> DataFrame:
     """(page_id, pos, label, href): absolute links with a label of 3 characters or more, each target once, from the main
-    part (article or main; none without one) or, without main_only, the whole page. Anchors of the page itself are left
-    out. A short label without end punctuation is a call to action: the heading before it tells what it leads to."""
-    main = F.regexp_extract("html", r"(?is)<(?:main|article)\b[^>]*>(.*)</(?:main|article)>", 1)
-    found = F.regexp_extract_all(main if main_only else F.col("html"), F.lit(r"(?is)<h[1-4][^>]*>.*?</h[1-4]>|<a\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>"), F.lit(0))
-    each = pages.select("page_id", "url", F.posexplode(found).alias("pos", "tag")).select("page_id", "pos", "url", plain(F.col("tag")).alias("label"), F.col("tag").rlike("(?i)^<h[1-4]").alias("is_heading"), F.trim(F.regexp_extract("tag", r'(?i)^<a\s[^>]*?href="([^"]*)"', 1)).alias("raw"))
-    before = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    headed = each.withColumn("over", F.last(F.when(F.col("is_heading"), F.col("label")), ignorenulls=True).over(before))
-    wanted = headed.filter(~F.col("is_heading") & ~F.col("raw").rlike(r"^(#|mailto:|javascript:|$)") & (F.length("label") >= 3))
-    root = F.concat(F.regexp_extract("url", r"^(https?)://", 1), F.lit("://"), host(F.col("url")))
-    href = F.when(F.col("raw").rlike("^https?://"), F.col("raw")).when(F.col("raw").startswith("//"), F.concat(F.lit("https:"), F.col("raw"))).when(F.col("raw").startswith("/"), F.concat(root, F.col("raw"))).otherwise(F.concat(F.regexp_replace("url", r"[^/]*$", ""), F.col("raw")))
-    call = (F.length("label") < 25) & ~F.col("label").rlike("[.?!:]$") & (F.coalesce(F.length("over"), F.lit(0)) >= 3)
-    first = Window.partitionBy("page_id", "href").orderBy("pos")
-    absolute = wanted.withColumn("href", href).filter(~(F.col("href").contains("#") & (F.regexp_replace("href", r"[?#].*$", "") == F.regexp_replace("url", r"[?#].*$", ""))))
-    return absolute.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("page_id", "pos", F.when(call, F.col("over")).otherwise(F.col("label")).alias("label"), "href")
-
-
-def video_info(html: Column) -> Column:
-    """struct(has_video, video_urls, platforms): video tags, frames of known platforms and data attributes."""
-    grab = lambda p: F.regexp_extract_all(html, F.lit(p), F.lit(1))
-    sources = F.concat(grab(r"(?is)<(?:video|source)\b[^>]*?src=[\"']([^\"']+)"), grab(r"(?is)<iframe\b[^>]*?src=[\"']([^\"']*(?:youtube|youtu\.be|vimeo|dailymotion)[^\"']*)"), grab(r"(?is)data-video=[\"']([^\"']+)"), video_objects(html))
-    urls = F.array_distinct(F.transform(sources, lambda u: F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u)))
-    platform = lambda u: F.when(u.rlike(r"youtube|youtu\.be"), "youtube").when(u.contains("vimeo"), "vimeo").when(u.contains("dailymotion"), "dailymotion").otherwise("html5")
-    return F.struct((F.size(urls) > 0).alias("has_video"), urls.alias("video_urls"), F.array_sort(F.array_distinct(F.transform(urls, platform))).alias("platforms"))
+    container (html.py; none without one) or, without main_only, the whole page. Anchors of the page itself are left out. A
+    short label without end punctuation is a call to action: the last h1 to h4 opened before it tells what it leads to."""
+    kept = lambda x: (~x.raw.rlike(r"^(#|mailto:|javascript:|$)")) & (F.length(x.label) >= 3) & (x.main | F.lit(not main_only))
+    path = lambda u: F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    own = lambda x: x.href.rlike("#.") & (path(x.href) == path(F.coalesce("url", F.lit(""))))
+    call = lambda x: (F.length(x.label) < 25) & ~x.label.rlike("[.?!:]$") & (F.coalesce(F.length(x.heading), F.lit(0)) >= 3)
+    wanted = parsed(pages).select("page_id", "url", F.col("parts.links").alias("found")).select("page_id", F.filter("found", lambda x: kept(x) & ~own(x)).alias("found"))
+    once = F.filter("found", lambda x, i: F.array_position(F.transform("found", lambda y: y.href), x.href) == i + 1)
+    return wanted.select("page_id", F.posexplode(once).alias("pos", "x")).select("page_id", "pos", F.when(call(F.col("x")), F.col("x.heading")).otherwise(F.col("x.label")).alias("label"), "x.href")
+
+
+VIDEO = "array<struct<url:string,platform:string>>"
+
+
+def video_info(parts: Column) -> Column:
+    """struct(has_video, video_urls, platforms, schema_type) of parsed pages: video and source tags, frames (those of unknown
+    hosts without a platform), data-video ids, VideoObjects. A url counts once, as what it was first."""
+    told = lambda url, platform: F.struct(F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(url).alias("url"), platform.alias("platform"))
+    host_of = lambda u: F.when(F.lower(u).rlike(r"youtube\.com|youtube-nocookie\.com|youtu\.be"), "youtube").when(F.lower(u).contains("vimeo.com"), "vimeo").when(F.lower(u).contains("wistia"), "wistia")
+    direct = lambda urls: F.transform(urls, lambda u: told(u, F.lit("direct")))
+    frames = F.transform(parts["frames"], lambda u: told(u, host_of(u)))
+    ids = F.transform(parts["data_ids"], lambda v: told(F.concat(F.lit("https://www.youtube.com/embed/"), v), F.lit("youtube")))
+    objects = video_objects(parts["scripts"])
+    named = F.flatten(F.transform(objects, lambda o: F.array(told(o.content, F.lit("direct")), told(o.embed, F.lit(None).cast("string")))))
+    every = F.filter(F.concat(*[x.cast(VIDEO) for x in (direct(parts["media"]), frames, ids, named)]), lambda x: x.url.isNotNull())
+    # the first of each url, in a let: every is used for the look-back and for the walk
+    once = F.flatten(F.transform(F.array(every), lambda all_: F.filter(all_, lambda x, i: F.array_position(F.transform(all_, lambda y: y.url), x.url) == i + 1)))
+    schema = F.when(F.size(objects) > 0, "VideoObject")
+    urls, platforms = F.transform(once, lambda x: x.url), F.array_sort(F.array_distinct(F.filter(F.transform(once, lambda x: x.platform), lambda p: p.isNotNull())))
+    return F.struct(((F.size(once) > 0) | schema.isNotNull()).alias("has_video"), urls.alias("video_urls"), platforms.alias("platforms"), schema.alias("schema_type"))
+
+
+def video_objects(scripts: Column) -> Column:
+    """array<struct<content, embed>>: one a VideoObject (a type, or one of a list of types) in JSON-LD scripts, each an object
+    or a list of them, read as variant values; content is contentUrl or else url. Scripts that are no JSON give nothing."""
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    filled = lambda v, name: F.nullif(get(v, f"$.{name}", "string"), F.lit(""))
+    items = lambda s: F.coalesce(get(F.try_parse_json(s), "$", "array<variant>"), F.array(F.try_parse_json(s)))
+    is_video = lambda v: F.coalesce(F.array_contains(get(v, "$['@type']", "array<string>"), "VideoObject"), get(v, "$['@type']", "string") == "VideoObject", F.lit(False))
+    each = F.transform(scripts, lambda s: F.transform(items(s), lambda v: F.when(is_video(v), F.struct(F.coalesce(filled(v, "contentUrl"), filled(v, "url")).alias("content"), filled(v, "embedUrl").alias("embed")))))
+    return F.filter(F.flatten(each), lambda o: o.isNotNull())
 
 
 def canonical_url(url: Column) -> Column:
@@ -155,11 +166,21 @@ def link_places(blocks: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """The ingest record of each page; a page that cannot be read has class empty and never fails the job."""
-    text = pages.select("page_id", "url", "html", main_text(F.coalesce("html", F.lit(""))).alias("text"))
-    return text.select(
-        "page_id", "url", host(F.col("url")).alias("host"), plain(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).alias("title"), F.length("text").alias("text_len"),
-        extraction_class(F.col("text")).alias("classification"), video_info(F.col("html"))["has_video"].alias("has_video"), "text",
+    """The ingest record of each page. A body with the magic number of a PDF is one whatever its url says, and has no text here;
+    a page without a body has class fetch_error, one without text empty; neither fails the job."""
+    body = F.coalesce("html", F.lit(""))
+    read = staged(parsed(pages).select("page_id", "url", body.alias("html"), "parts"), "parts")
+    pdf = is_pdf_body(F.encode("html", "UTF-8"))
+    text = F.when(pdf, "").otherwise(F.col("parts.text"))
+    held = read.withColumns({"pdf": pdf, "text": text, "video": video_info(F.col("parts"))})
+    state = F.when(F.col("html") == "", "fetch_error").otherwise(extraction_class(F.col("text")))
+    error = F.when(F.col("html") == "", "empty_body").when(F.col("text") == "", F.when(F.col("pdf"), "pdf_no_text").otherwise("no_text"))
+    shown = lambda name: F.when((F.col("text") != "") & ~F.col("pdf"), F.col(f"video.{name}"))
+    return held.select(
+        "page_id", "url", host(F.col("url")).alias("host"), F.when(F.col("pdf"), "pdf").when((F.col("html") == "") & is_pdf_url(F.col("url")), "pdf").otherwise("html").alias("url_type"),
+        F.when(F.col("html") == "", 0).otherwise(200).alias("status"), (F.col("html") != "").alias("ok"), F.when(F.col("text") != "", F.col("parts.title")).otherwise("").alias("title"), F.length("text").alias("text_len"),
+        state.alias("classification"), F.coalesce(shown("has_video"), F.lit(False)).alias("has_video"), F.coalesce(shown("video_urls"), F.array().cast("array<string>")).alias("video_urls"),
+        F.coalesce(shown("platforms"), F.array().cast("array<string>")).alias("platforms"), shown("schema_type").alias("schema_type"), F.coalesce(error, F.lit("")).alias("error"), "text",
     )
 
 
@@ -168,26 +189,13 @@ def class_counts(frame: DataFrame) -> DataFrame:
 
 
 def ingest_summary(pages: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
-    """The flat report of an ingest, one row a page. status is 200 with a body and 0 without; a page without a body has
-    class fetch_error, one without text extract_error. catalog (page_id, title, source, format) may be missing."""
+    """The flat report of an ingest, one row a page, with the states of records(). catalog (page_id, title, source, format) may
+    be missing."""
     extra = catalog if catalog is not None else pages.select("page_id", *[F.lit(None).cast("string").alias(c) for c in ("title", "source", "format")])
     known = extra.select("page_id", F.col("title").alias("title_csv"), F.col("source").alias("fuente"), "format")
-    heads = headings(pages).groupBy("page_id").agg(F.count("*").alias("num_headings"))
-    there = pages.select("page_id", F.col("html").isNotNull().alias("there"))
-    whole = records(pages).join(there, "page_id").join(known, "page_id", "left").join(heads, "page_id", "left")
+    heads = headings(pages).groupBy("page_id").agg(F.count("*").alias("n"))
+    whole = records(pages).join(known, "page_id", "left").join(heads, "page_id", "left")
     return whole.select(
-        F.col("page_id").alias("content_id"), "url", F.when(is_pdf_url(F.col("url")), "pdf").otherwise("html").alias("url_type"), "fuente", "format", F.when(F.col("there"), 200).otherwise(0).alias("status"),
-        (F.col("there") & (F.col("text_len") > 0)).alias("ok"), F.coalesce("title", F.lit("")).alias("title_extracted"), "title_csv", titles_match(F.col("title"), F.col("title_csv")).alias("title_match"),
-        "text_len", F.coalesce("num_headings", F.lit(0)).alias("num_headings"), F.when(~F.col("there"), "fetch_error").when(F.col("text_len") == 0, "extract_error").otherwise(F.col("classification")).alias("classification"),
-        F.when(~F.col("there"), "no body").otherwise("").alias("error"),
+        F.col("page_id").alias("content_id"), "url", "url_type", "fuente", "format", "status", "ok", F.col("title").alias("title_extracted"), "title_csv", titles_match(F.col("title"), F.col("title_csv")).alias("title_match"),
+        "text_len", F.when(F.col("text_len") > 0, F.coalesce("n", F.lit(0))).otherwise(0).alias("num_headings"), "classification", "error",
     )
-
-
-def video_objects(html: Column) -> Column:
-    """Urls (contentUrl, url or embedUrl, in this order) of the VideoObject in each JSON-LD script, object or list."""
-    kind = "array<struct<`@type`:string,contentUrl:string,url:string,embedUrl:string>>"
-    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    listed = F.transform(scripts, lambda x: F.when(F.trim(x).startswith("["), x).otherwise(F.concat(F.lit("["), x, F.lit("]"))))
-    objects = F.flatten(F.transform(listed, lambda x: F.coalesce(F.from_json(x, kind), F.array().cast(kind))))
-    urls = F.transform(F.filter(objects, lambda o: o["@type"] == "VideoObject"), lambda o: F.coalesce(o["contentUrl"], o["url"], o["embedUrl"]))
-    return F.filter(urls, lambda u: u.isNotNull())
