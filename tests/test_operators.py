@@ -114,15 +114,29 @@ def test_sections_and_blocks(spark):
     assert [(r.block, r.kind, r.style, r.n_lines, r.items) for r in pages.blocks(text).orderBy("block").collect()] == [(1, "paragraph", None, 2, None), (2, "list", "ul", 3, ["a", "b", "x"]), (3, "paragraph", None, 1, None)]
 
 
+def test_sections_are_found_in_other_case_and_spacing(spark):
+    text = "Intro\nThe  Big\tplan\nbody “here”\nWHAT’S  NEXT?\nthe big plan again İ\nend (a+b)"
+    docs = spark.createDataFrame([(1, text, ["the big  PLAN", "What's next?", "The big plan", "none", "END (a+b)"]), (2, "", ["x"]), (3, None, ["x"]), (4, "x", [" "])], "page_id long, text string, headings array<string>")
+    got = {(r.page_id, r.pos): (r.start, r.end, r.found) for r in pages.sections(docs).collect()}
+    at = [text.index("The  Big"), text.index("WHAT"), text.index("the big plan"), text.index("end (")]
+    assert [got[1, k] for k in range(5)] == [(at[0], at[1], True), (at[1], at[2], True), (at[2], at[3], True), (None, None, False), (at[3], len(text), True)]
+    assert got[2, 0] == (None, None, False) and got[4, 0] == (None, None, False)
+
+
 def loop_blocks(text, headings, links):
-    """Blocks of a text by a plain loop: headings in order, lists, paragraphs."""
+    """Blocks of a text by a plain loop: headings in order, lists, paragraphs; blocks use links up as they come."""
     norm = lambda x: " ".join(x.split()).lower()
-    out, buffer, kind, k = [], [], None, 0
+    out, buffer, kind, k, pool = [], [], None, 0, list(links)
 
     def close():
-        nonlocal buffer
+        nonlocal buffer, pool
         if buffer:
-            linked = kind == "list" and all(norm(x) in {norm(label) for label in links} for x in buffer)
+            left, linked = list(pool), kind == "list"
+            for x in buffer if linked else []:
+                hit = next((label for label in left if norm(label) == norm(x)), None)
+                linked = linked and hit is not None
+                left = [label for i, label in enumerate(left) if hit is None or i != left.index(hit)]
+            pool = left if linked else [label for label in pool if kind != "paragraph" or label not in "\n".join(buffer)]
             out.append(("link_list" if linked else kind, len(buffer), "\n".join(buffer)))
         buffer = []
 
@@ -148,7 +162,7 @@ def test_blocks_equal_a_plain_loop(spark):
     lines = ["One", "Two  words", "", " ", "- alpha", "• beta", "3) gamma", "plain text", "Three", "more of it"]
     rows = []
     for i in range(60):
-        rows.append((i, "\n".join(rng.choices(lines, k=rng.randint(1, 14))), rng.sample(["One", "two words", "Three"], rng.randint(0, 3)), [("alpha", "h1"), ("Beta", "h2")][: rng.randint(0, 2)]))
+        rows.append((i, "\n".join(rng.choices(lines, k=rng.randint(1, 14))), rng.sample(["One", "two words", "Three"], rng.randint(0, 3)), [("alpha", "h1"), ("Beta", "h2"), ("plain", "h3"), ("alpha", "h4"), ("gamma", "h5")][: rng.randint(0, 5)]))
     frame = spark.createDataFrame(rows, "page_id long, text string, headings array<string>, links array<struct<label:string,href:string>>")
     got = {i: [] for i in range(60)}
     for r in pages.blocks(frame).orderBy("page_id", "block").collect():
@@ -164,8 +178,26 @@ def test_glossary_and_link_places(spark):
     kinds = {(r.page_id, r.block): (r.kind, r.entries) for r in blocks.collect()}
     assert kinds[2, 1][0] == "list" and kinds[1, 1][0] == "glossary"
     assert [(e.term, e.definition) for e in kinds[1, 1][1]] == [("Term", items[1]), ("", items[2]), ("Other term", "Its meaning"), ("", "Tail")]
-    links = spark.createDataFrame([(1, 0, "the guide", "u1"), (1, 1, "nowhere", "u2")], "page_id long, pos int, label string, href string")
-    assert [tuple(r) for r in pages.link_places(blocks, links).collect()] == [(1, "u1", 2, 4, 13)]
+    given = frame.filter("page_id = 1").withColumn("links", F.expr("array(struct('the guide' AS label, 'u1' AS href), struct('nowhere' AS label, 'u2' AS href))"))
+    assert [tuple(r) for r in pages.link_places(pages.blocks(given)).collect()] == [(1, "u1", 2, 4, 13)]
+
+
+def test_links_are_used_up_in_the_order_of_blocks(spark):
+    def found(text, links, fmt=None):
+        rows = [(1, text, [(a, b) for a, b in links], fmt)]
+        out = pages.blocks(spark.createDataFrame(rows, "page_id long, text string, links array<struct<label:string,href:string>>, format string")).orderBy("block").collect()
+        return [(r.kind, [(x.label, x.href, x.start) for x in r.links or []]) for r in out]
+
+    # two items and one link: no link_list, and the link is still there for the paragraph
+    assert found("- A1\n- A1\n\nsee A1", [("A1", "u")]) == [("list", []), ("paragraph", [("A1", "u", 4)])]
+    assert found("- A1\n- A1\n\nsee A1", [("A1", "u"), ("A1", "v")]) == [("link_list", [("A1", "u", 0), ("A1", "v", 1)]), ("paragraph", [])]
+    # a paragraph takes the link first; the list after it is left with none
+    assert found("read More here\n\n- More", [("More", "u")]) == [("paragraph", [("More", "u", 5)]), ("list", [])]
+    # any case and quotes match items; places in paragraphs need the letters, with any blanks between
+    assert found("- the “One”\n- TWO\n\nA long\nlabel, the ONE", [("Two", "b"), ('The "one"', "a"), ("long label", "c"), ("the one", "d")]) == [("link_list", [('The "one"', "a", 0), ("Two", "b", 1)]), ("paragraph", [("long label", "c", 2)])]
+    # marks of patterns are plain letters, a label of one letter is none, and an item too many makes a list
+    assert found("x (a+b)\\E? y\n\n- q", [("(a+b)\\E?", "u"), ("x", "v")]) == [("paragraph", [("(a+b)\\E?", "u", 2)]), ("list", [])]
+    assert found("- Aa\n- Bb\n- Cc", [("Aa", "u"), ("Bb", "v")]) == [("list", [])] and found("- Aa", []) == [("list", [])]
 
 
 def test_main_links_take_the_heading_over_a_call(spark):

@@ -76,20 +76,25 @@ def fan_out(pages: DataFrame) -> DataFrame:
 
 def sections(docs: DataFrame) -> DataFrame:
     """docs (page_id, text, headings array) -> (page_id, heading, start, end, found): each heading is sought after the one
-    before; it ends at the next found start or the end of the text."""
-    def at(h: Column, start: Column) -> Column:
-        found = F.instr(F.substring("text", start, F.length("text")), h)
-        return F.when(found > 0, found + start - 1).otherwise(F.lit(0))
-
-    step = F.aggregate(
-        "headings",
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<heading:string,start:int,found:boolean>>").alias("out")),
-        lambda acc, h: F.struct(
-            F.when(at(h, acc["at"]) > 0, at(h, acc["at"]) + F.length(h)).otherwise(acc["at"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(h.alias("heading"), (at(h, acc["at"]) - 1).alias("start"), (at(h, acc["at"]) > 0).alias("found")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    before, in any case, with any blanks between its words and either form of quotes; places are those of the text itself. It
+    ends at the next found start or the end of the text. Blank headings are nowhere."""
+    straight = lambda c: F.translate(c, "“”’‘", "\"\"''")
+    quoted = lambda h: F.replace(F.replace(F.trim(F.regexp_replace(straight(h), r"\s+", " ")), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(" "), F.lit("\\E\\s+\\Q"))
+    pattern = lambda h: F.concat(F.lit("(?iu)\\Q"), quoted(h), F.lit("\\E"))
+
+    def found(h: Column, start: Column) -> Column:
+        """(at, length) of the heading from a place on, both counted from 1; at 0: nowhere."""
+        rest = F.substring(straight(F.col("text")), start, F.length("text"))
+        at = F.when(F.trim(h) == "", 0).otherwise(F.regexp_instr(rest, pattern(h)))
+        return F.struct(F.when(at > 0, at + start - 1).otherwise(0).alias("at"), F.coalesce(F.length(F.regexp_substr(rest, pattern(h))), F.lit(0)).alias("length"))
+
+    def next_one(acc: Column, h: Column) -> Column:
+        return F.element_at(F.transform(F.array(found(h, acc["at"])), lambda f: F.struct(  # the match is found once
+            F.when(f["at"] > 0, f["at"] + f["length"]).otherwise(acc["at"]).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(h.alias("heading"), (f["at"] - 1).alias("start"), (f["at"] > 0).alias("found")))).alias("out"),
+        )), 1)
+
+    step = F.aggregate("headings", F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<heading:string,start:int,found:boolean>>").alias("out")), next_one, lambda acc: acc["out"])
     each = docs.select("page_id", F.length("text").alias("n"), F.posexplode(step).alias("pos", "s")).select("page_id", "n", "pos", "s.*")
     later = Window.partitionBy("page_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
     end = F.coalesce(F.first(F.when(F.col("found"), F.col("start")), ignorenulls=True).over(later), F.col("n"))
@@ -126,11 +131,47 @@ def glossary_entries(items: Column) -> Column:
     return F.aggregate(items, start, step, lambda acc: acc["out"])
 
 
+LINKS = "array<struct<label:string,href:string,block:int,start:int>>"
+
+
+def place_of(label: Column, content: Column) -> Column:
+    """Where a label stands in a text (from 1, 0: nowhere): as it is, or else with any blanks for its own."""
+    quoted = F.replace(F.replace(label, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(" "), F.lit("\\E\\s+\\Q"))
+    literal = F.instr(content, label)
+    return F.when(literal > 0, literal).otherwise(F.regexp_instr(content, F.concat(F.lit("\\Q"), quoted, F.lit("\\E"))))
+
+
+def _used(links: Column, runs: Column) -> Column:
+    """links with the block that uses each up (-1: none) and its place there, blocks being met in their order. A paragraph uses
+    all free links that it names; a list whose items are labels of as many free links, one each, uses these, any other none."""
+    free = lambda x: x.block < 0
+    taken = lambda x, b, at: F.struct(x.label.alias("label"), x.href.alias("href"), b.run.alias("block"), at.cast("int").alias("start"))
+
+    def named(state: Column, b: Column) -> Column:
+        hit = lambda x: free(x) & (F.length(x.label) >= 2) & (F.instr(normal(b.content), normal(x.label)) > 0) & (place_of(x.label, b.content) > 0)
+        return F.transform(state, lambda x: F.when(hit(x), taken(x, b, place_of(x.label, b.content) - 1)).otherwise(x))
+
+    def listed(state: Column, b: Column) -> Column:
+        def item(acc: Column, text: Column) -> Column:
+            labels = F.transform(acc.state, lambda x: F.when(free(x), normal(x.label)))
+            hit = F.coalesce(F.array_position(labels, normal(text)), F.lit(0))
+            moved = F.transform(acc.state, lambda x, i: F.when(i + 1 == hit, taken(x, b, acc.n)).otherwise(x))
+            return F.struct(moved.alias("state"), (acc.n + 1).alias("n"), (acc.ok & (hit > 0)).alias("ok"))
+
+        walked = F.aggregate(F.coalesce(b["items"], F.array().cast("array<string>")), F.struct(state.alias("state"), F.lit(0).alias("n"), F.lit(True).alias("ok")), item)
+        return F.when(walked.ok, walked.state).otherwise(state)
+
+    start = F.transform(links, lambda x: F.struct(F.trim(x.label).alias("label"), x.href.alias("href"), F.lit(-1).alias("block"), F.lit(-1).alias("start"))).cast(LINKS)
+    return F.aggregate(runs, start, lambda acc, b: F.when(b.kind == "paragraph", named(acc, b)).when(b.kind == "list", listed(acc, b)).otherwise(acc).cast(LINKS))
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """docs (page_id, text, and if there are any headings array<string>, links array<struct<label,href>>, format) ->
-    (page_id, block, kind, style, n_lines, content, items, entries): runs of lines, closed by blank lines. Lines that are
-    the next heading are blocks of their own. A list is a link_list if every item is the label of a link, a glossary if
-    the format says so, it has four bullets or more and half its entries have a term."""
+    (page_id, block, kind, style, n_lines, content, items, entries, links): runs of lines, closed by blank lines. Lines that
+    are the next heading are blocks of their own. Links are used up in the order of blocks: a paragraph has those that it
+    names, with their places in its content; a list is a link_list if every item is the label of a link of its own (start: the
+    item). A list that is none is a glossary if the format says so, it has four bullets or more and half its entries have a
+    term."""
     for name, kind in (("headings", "array<string>"), ("links", "array<struct<label:string,href:string>>"), ("format", "string")):
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast(kind))
@@ -145,24 +186,25 @@ def blocks(docs: DataFrame) -> DataFrame:
     each = grouped.groupBy("page_id", "run", "kind").agg(
         F.min_by("style", "pos").alias("style"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: F.trim(x["line"])), "\n").alias("content"), F.when(F.col("kind") == "list", bare).alias("items")
     )
-    told = each.join(docs.select("page_id", "links", "format"), "page_id")
-    linked = (F.col("kind") == "list") & F.coalesce(F.forall("items", lambda i: F.exists("links", lambda link: normal(link["label"]) == normal(i))), F.lit(False))
+    each = staged(each.withColumn("run", F.col("run").cast("int")), "runs")
+    with_links = docs.filter(F.size("links") > 0).select("page_id", "links")
+    runs = each.join(with_links, "page_id", "left_semi").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("run", "kind", "content", "items"))).alias("runs"))
+    used = runs.join(with_links, "page_id").select("page_id", F.explode(_used(F.col("links"), F.col("runs"))).alias("x")).filter("x.block >= 0")
+    used = used.groupBy("page_id", F.col("x.block").alias("run")).agg(F.sort_array(F.collect_list(F.struct("x.start", "x.label", "x.href"))).alias("links"))
+    told = each.join(docs.select("page_id", "format"), "page_id").join(used, ["page_id", "run"], "left")
+    linked = (F.col("kind") == "list") & F.col("links").isNotNull()
     pairs = F.when((F.col("style") == "ul") & (F.size("items") >= 4) & F.lower(F.coalesce("format", F.lit(""))).contains("glosario"), glossary_entries(F.col("items")))
     paired = told.withColumn("pairs", pairs)
     terms = F.size(F.filter("pairs", lambda e: e["term"] != ""))
     glossary = ~linked & F.coalesce(terms >= F.greatest(F.lit(1), F.floor(F.size("pairs") / 2)), F.lit(False))
     named = paired.withColumn("entries", F.when(glossary, F.col("pairs"))).withColumn("kind", F.when(linked, "link_list").when(glossary, "glossary").otherwise(F.col("kind")))
-    return named.select("page_id", F.dense_rank().over(Window.partitionBy("page_id").orderBy("run")).alias("block"), "kind", "style", "n_lines", "content", "items", "entries")
+    return named.select("page_id", F.dense_rank().over(Window.partitionBy("page_id").orderBy("run")).alias("block"), "kind", "style", "n_lines", "content", "items", "entries", "links")
 
 
-def link_places(blocks: DataFrame, links: DataFrame) -> DataFrame:
-    """(page_id, href, block, start, end): each link (page_id, pos, label, href) at its label's first place in the first
-    paragraph that has it; links that no paragraph names are absent."""
-    paragraphs = blocks.filter("kind = 'paragraph'").select("page_id", "block", "content")
-    at = F.instr("content", F.col("label"))
-    met = links.join(paragraphs, "page_id").withColumn("at", at).filter("at > 0")
-    first = met.groupBy("page_id", "pos", "href", "label").agg(F.min(F.struct("block", "at")).alias("p"))
-    return first.select("page_id", "href", "p.block", (F.col("p.at") - 1).alias("start"), (F.col("p.at") - 1 + F.length("label")).alias("end"))
+def link_places(blocks: DataFrame) -> DataFrame:
+    """(page_id, href, block, start, end): the places in paragraphs of the links that blocks() found there."""
+    each = blocks.filter("kind = 'paragraph'").select("page_id", "block", F.explode("links").alias("x"))
+    return each.select("page_id", "x.href", "block", "x.start", (F.col("x.start") + F.length("x.label")).alias("end"))
 
 
 def records(pages: DataFrame) -> DataFrame:

@@ -644,12 +644,19 @@ def h6(spark, d):
 
 
 def _structured(spark: SparkSession, d: str) -> DataFrame:
-    """Pages and documents as texts to structure: pages bring headings and links."""
+    """Texts to structure: pages with their headings and links, each text followed by lists made of its page: the labels of its
+    navigation as bullets (labels that it links), its headings as a numbered list, and pairs of short and long bullets."""
     source = fx.table(spark, d, "pages")
-    heads = pages.headings(source).groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "heading"))), lambda x: x["heading"]).alias("headings"))
-    linked = pages.links(source, main_only=False).groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "label", "href"))), lambda x: F.struct(x["label"].alias("label"), x["href"].alias("href"))).alias("links"))
+    inside = lambda x: x.name
+    heads = pages.headings(source).groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col("heading").alias("name")))), inside).alias("headings"))
+    found = pages.links(source, main_only=False).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "label", "href"))).alias("found"))
+    linked = found.select("page_id", F.transform("found", lambda x: F.struct(x.label.alias("label"), x.href.alias("href"))).alias("links"))
     kind = F.when(F.col("page_id") % 2 == 0, "Glosario web").otherwise("Artículo")
-    return pages.records(source).select("page_id", "text").join(heads, "page_id", "left").join(linked, "page_id", "left").withColumn("format", kind)
+    whole = pages.records(source).select("page_id", "text").join(heads, "page_id", "left").join(linked, "page_id", "left").withColumn("format", kind)
+    lines = lambda xs, mark: F.array_join(F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda x: F.concat(F.lit(mark), x)), "\n")
+    labels = F.transform("links", lambda x: x.label)
+    pairs = F.flatten(F.transform(F.slice(labels, 1, 3), lambda x: F.array(x, F.concat(F.lit("Meaning of "), x, F.lit(".")))))
+    return whole.withColumn("text", F.concat_ws("\n\n", "text", lines(labels, "- "), lines(F.col("headings"), "1. "), lines(pairs, "• ")))
 
 
 @query("h7_h9_blocks")
@@ -665,7 +672,7 @@ def h7d(spark, d):
 @query("h8_link_places")
 def h8(spark, d):
     """Where pages name the words of their own link labels."""
-    return pages.link_places(pages.blocks(_structured(spark, d)), pages.links(fx.table(spark, d, "pages"), main_only=False))
+    return pages.link_places(pages.blocks(_structured(spark, d)))
 
 
 @query("k5_ingest_summary")
