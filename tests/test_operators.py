@@ -261,6 +261,18 @@ def test_text_of_the_tree(spark):
     assert parts_of(spark, None)[1].parts.text == "" and parts_of(spark, "<![if x]><p>odd<![endif]>")[1].parts is not None
 
 
+def test_broken_responses_are_put_aside_once(spark, tmp_path):
+    good = '{"tldr": "a text that is long enough", "key_points": ["a", "b"], "quiz": [{"question": "q", "options": ["x", "y"], "correct_index": 1, "explanation": "e", "concept_id": "C1"}]}'
+    rows = [("ok", good), ("ok", good), ("none", None), ("words", "no braces here"), ("cut", good[:-2] + " }"), ("kind", good.replace('["a", "b"]', '"a"')), ("kind", good.replace('["a", "b"]', '"a"')), ("index", good.replace(": 1,", ": 7,")), ("empty", "{}"), (None, "")]
+    responses = spark.createDataFrame(rows, "content_id string, response string")
+    enrich.write_checked(responses, spark.createDataFrame([("C1", "one")], "concept_id string, concept_name string"), str(tmp_path / "out"))
+    kept = spark.read.json(str(tmp_path / "out/records")).collect()
+    aside = spark.read.schema("content_id string, reason string, _corrupt_record string").json(str(tmp_path / "out/quarantine"))
+    aside = [(r.content_id, r.reason) for r in aside.select("content_id", "reason").collect()]
+    assert [r.content_id for r in kept] == ["ok", "ok"] and len(kept) + len(aside) == len(rows)
+    assert sorted(aside, key=str) == sorted([("none", "no response"), ("words", "no object"), ("cut", "broken json"), ("kind", "broken json"), ("kind", "broken json"), ("index", "correct_index"), ("empty", "no json,tldr,key_points,quiz"), (None, "no object")], key=str)
+
+
 def test_requests_name_metadata_and_glossary(spark):
     docs = spark.createDataFrame([("C1", "A title", "ahorro", None, "básico", "To save", ["One"] * 30, [("list", None), ("glossary", [("", "orphan"), ("Term", "d" * 300)])], "x" * 30_001), ("C2",) + (None,) * 8], "content_id string, title string, topic string, subtopic string, difficulty string, learning_objective string, headings array<string>, blocks array<struct<type:string,entries:array<struct<term:string,definition:string>>>>, text string")
     concepts = spark.createDataFrame([("C02", "two"), ("C01", "one")], "concept_id string, concept_name string")

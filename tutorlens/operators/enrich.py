@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import staged
+
 QUIZ = "array<struct<question:string,options:array<string>,correct_index:int,explanation:string,concept_id:string>>"
 RECORD = f"struct<tldr:string,key_points:array<string>,quiz:{QUIZ}>"
 # Request limits (text, headings, glossary entries, definition).
@@ -44,11 +46,14 @@ def json_part(response: Column) -> Column:
     return F.when(fenced != "", fenced).otherwise(loose)
 
 
-def validate(responses: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(content_id, ok, errors, data) of responses (content_id, response); any error rejects the record, a concept that
-    is unknown becomes null. concepts: a few names, gathered to one row."""
+def checked(responses: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(content_id, response, ok, errors, data, corrupt) of responses (content_id, response); any error rejects the record, a
+    concept that is unknown becomes null, corrupt is an object that is no JSON of the record. concepts: a few names, gathered
+    to one row."""
     known = concepts.agg(F.collect_set(F.col("concept_id").cast("string")).alias("known"))
-    parsed = responses.withColumn("r", F.from_json(json_part(F.col("response")), RECORD)).crossJoin(known)
+    kind = f"{RECORD[:-1]},_corrupt_record:string>"
+    told = F.from_json(json_part(F.col("response")), kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = responses.withColumn("told", told).withColumn("r", F.when(F.col("told._corrupt_record").isNull(), F.col("told"))).crossJoin(known)
     quiz = F.col("r.quiz")
     bad = lambda test: F.coalesce(F.exists(quiz, test), F.lit(False))
     blank = lambda c: F.coalesce(F.length(c) == 0, F.lit(True))
@@ -68,7 +73,26 @@ def validate(responses: DataFrame, concepts: DataFrame) -> DataFrame:
         F.trim(q["explanation"]).alias("explanation"), F.when(F.array_contains("known", q["concept_id"]), q["concept_id"]).alias("concept_id"),
     )
     clean = F.struct(F.col("r.tldr").alias("tldr"), F.filter(F.transform("r.key_points", lambda p: F.trim(p)), lambda p: p != "").alias("key_points"), F.transform(quiz, question).alias("quiz"))
-    return parsed.select("content_id", (F.size(errors) == 0).alias("ok"), errors.alias("errors"), F.when(F.size(errors) == 0, clean).alias("data"))
+    return parsed.select("content_id", "response", (F.size(errors) == 0).alias("ok"), errors.alias("errors"), F.when(F.size(errors) == 0, clean).alias("data"), F.col("told._corrupt_record").alias("corrupt"))
+
+
+def validate(responses: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(content_id, ok, errors, data): checked() without the raw texts."""
+    return checked(responses, concepts).select("content_id", "ok", "errors", "data")
+
+
+def quarantine(rows: DataFrame) -> DataFrame:
+    """(content_id, reason, _corrupt_record) of the rejected rows of checked(), each once, with the response as it came. reason:
+    no response, no object (nothing between braces), broken json (not of the record's kinds), or the rules it breaks."""
+    reason = F.when(F.col("response").isNull(), "no response").when(json_part(F.col("response")) == "", "no object").when(F.col("corrupt").isNotNull(), "broken json").otherwise(F.array_join("errors", ","))
+    return rows.filter("not ok").select("content_id", reason.alias("reason"), F.col("response").alias("_corrupt_record"))
+
+
+def write_checked(responses: DataFrame, concepts: DataFrame, path: str) -> None:
+    """Good records as JSON lines below path/records, all others below path/quarantine. Responses are read and checked once."""
+    rows = staged(checked(responses, concepts), "checked")
+    rows.filter("ok").select("content_id", "data.*").write.json(f"{path}/records")
+    quarantine(rows).write.json(f"{path}/quarantine")
 
 
 def outcome(validated: DataFrame, skipped: DataFrame | None = None) -> DataFrame:

@@ -647,7 +647,7 @@ def _structured(spark: SparkSession, d: str) -> DataFrame:
     """Texts to structure: pages with their headings and links, each text followed by lists made of its page: the labels of its
     navigation as bullets (labels that it links), its headings as a numbered list, and pairs of short and long bullets."""
     source = fx.table(spark, d, "pages")
-    inside = lambda x: x.name
+    inside = lambda x: x["name"]
     heads = pages.headings(source).groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col("heading").alias("name")))), inside).alias("headings"))
     found = pages.links(source, main_only=False).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "label", "href"))).alias("found"))
     linked = found.select("page_id", F.transform("found", lambda x: F.struct(x.label.alias("label"), x.href.alias("href"))).alias("links"))
@@ -763,6 +763,14 @@ def l2(spark, d):
     return out.select("content_id", "ok", F.array_join("errors", ",").alias("errors"), F.size("data.quiz").alias("n_quiz"))
 
 
+@query("r7_quarantine", r""", c AS (SELECT *, conv_id * 31 + turn AS t FROM conversations), e AS (SELECT conv_id || '-' || turn AS content_id, CASE WHEN t % 11 = 0 THEN 'no object' ELSE concat_ws(',',
+  CASE WHEN coalesce(length(trim(text)), 0) < 20 THEN 'tldr' END, CASE WHEN coalesce(len(string_split_regex(text, '[.!?]\s+')), 0) NOT BETWEEN 2 AND 6 THEN 'key_points' END, CASE WHEN t % 7 = 0 THEN 'correct_index' END) END AS reason FROM c)
+SELECT content_id, reason FROM e WHERE reason <> ''""")
+def r7(spark, d):
+    """Responses that are put aside, with the reason."""
+    return enrich.quarantine(enrich.checked(_responses(spark, d), _concepts(spark, d))).select("content_id", "reason")
+
+
 @query("l4_outcome")
 def l4(spark, d):
     return enrich.outcome(enrich.validate(_responses(spark, d), _concepts(spark, d)))
