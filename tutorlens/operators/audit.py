@@ -62,14 +62,16 @@ def concept_map(contents: DataFrame, explicit: DataFrame, defaults: DataFrame) -
     return joined.select("content_id", F.coalesce("given", "usual").alias("concept_id"), note.alias("evidence_note")).filter("concept_id is not null").distinct()
 
 
-def catalog_checks(contents: DataFrame, mapping: DataFrame, concepts: DataFrame, n_contents: int) -> DataFrame:
-    """(check_name, ok, observed), one row a check."""
+def catalog_checks(contents: DataFrame, mapping: DataFrame, concepts: DataFrame, n_contents: int, columns: list[str] | None = None) -> DataFrame:
+    """(check_name, ok, observed), one row a check. columns: the exact ones that contents must have."""
+    odd = len(set(columns or contents.columns) ^ set(contents.columns))
     one = [
         contents.agg(F.count("*").alias("observed")).select(F.lit("content count").alias("check_name"), (F.col("observed") == n_contents).alias("ok"), "observed"),
         contents.agg((F.count("*") - F.countDistinct("content_id")).alias("observed")).select(F.lit("repeated content ids").alias("check_name"), (F.col("observed") == 0).alias("ok"), "observed"),
         referential(mapping, concepts, "concept_id").agg(F.count("*").alias("observed")).select(F.lit("unknown concepts").alias("check_name"), (F.col("observed") == 0).alias("ok"), "observed"),
         referential(contents, mapping, "content_id").agg(F.count("*").alias("observed")).select(F.lit("unmapped contents").alias("check_name"), (F.col("observed") == 0).alias("ok"), "observed"),
         mapping.agg(F.count_if(F.expr("coverage_type <> 'directa'")).alias("observed")).select(F.lit("other coverage types").alias("check_name"), (F.col("observed") == 0).alias("ok"), "observed"),
+        contents.sparkSession.range(1).select(F.lit("missing or other columns").alias("check_name"), F.lit(odd == 0).alias("ok"), F.lit(odd).cast("long").alias("observed")),
     ]
     return reduce(DataFrame.unionByName, one)
 

@@ -348,9 +348,10 @@ def c1(spark, d):
 SELECT 'content count' AS check_name, count(*) = 100 AS ok, count(*) AS observed FROM contents UNION ALL SELECT 'repeated content ids', true, 0 UNION ALL
 SELECT 'unknown concepts', count(*) = 0, count(*) FROM (SELECT DISTINCT concept_id FROM x WHERE concept_id NOT IN (SELECT concept_id FROM concepts)) UNION ALL
 SELECT 'unmapped contents', count(*) = 0, count(*) FROM contents WHERE content_id NOT IN (SELECT content_id FROM x) UNION ALL
-SELECT 'other coverage types', count(*) = 0, count(*) FROM ccm WHERE content_id % 4 = 0""")
+SELECT 'other coverage types', count(*) = 0, count(*) FROM ccm WHERE content_id % 4 = 0 UNION ALL SELECT 'missing or other columns', count(*) FILTER (column_name IN ('content_id', 'topic', 'difficulty', 'is_investment_related')) = 4, count(*) - 4
+FROM (SELECT unnest(['content_id', 'topic', 'difficulty', 'is_investment_related']) AS column_name)""")
 def c2(spark, d):
-    return audit.catalog_checks(fx.contents(spark, d), fx.content_concepts(spark, d), fx.concepts(spark, d), fx.CATALOG)
+    return audit.catalog_checks(fx.contents(spark, d), fx.content_concepts(spark, d), fx.concepts(spark, d), fx.CATALOG, ["content_id", "topic", "difficulty", "is_investment_related"])
 
 
 @query("c5_snapshot_diff", " SELECT *, 'removed' AS change FROM (SELECT * FROM prerequisites EXCEPT SELECT * FROM prerequisites WHERE concept_id <> 27) ")

@@ -49,15 +49,25 @@ def read_score_matrix(spark: SparkSession, path: str) -> DataFrame:
     return wide.unpivot(["user_id"], None, "content_id", "score").select("user_id", "content_id", F.col("score").cast("double").alias("score"))
 
 
-def read_records(spark: SparkSession, path: str, schema: str, ids: list[str] | None = None) -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Rows of a catalog file that have a content_id."""
+    return read_csv(spark, path, schema).filter(F.length("content_id") > 0)
+
+
+def read_records(spark: SparkSession, path: str, schema: str, ids: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Records of JSON files, of the given ids if there are any; with a limit the first ones by content_id."""
     out = spark.read.schema(schema).option("multiLine", True).json(path)
-    return out.filter(F.col("content_id").isin(ids)) if ids else out
+    out = out.filter(F.col("content_id").isin(ids)) if ids else out
+    return out.orderBy("content_id").limit(limit) if limit else out
 
 
 def read_bodies(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
-    """pages (url, ...) with the cached body whose file name is the md5 of the url; a hit counts as status 200."""
+    """pages (url, ...) with the cached body whose file name is the md5 of the url: a hit has status 200 and took no time, a
+    miss has status 0 and neither body nor time."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([0-9a-f]{32})", 1).alias("key"), F.col("content").alias("body"))
-    return pages.withColumn("key", F.md5("url")).join(files, "key", "left").withColumn("status", F.when(F.col("body").isNotNull(), 200)).drop("key")
+    met = pages.withColumn("key", F.md5("url")).join(files, "key", "left").drop("key")
+    hit = F.col("body").isNotNull()
+    return met.withColumn("status", F.when(hit, 200).otherwise(0)).withColumn("elapsed_ms", F.when(hit, 0))
 
 
 def write_csv(frame: DataFrame, path: str, quote_all: bool = False) -> None:
