@@ -239,25 +239,78 @@ def test_stages_take_empty_tables(spark, corpus):
         assert stage(spark, none, corpus).count() == 0, name
 
 
-def test_cutoffs_are_the_smallest_that_pass(spark, corpus):
-    """The cutoffs once more, from the rows and the definition of the test."""
+def steps_by_loop(rules, design):
+    """The order of steps from design rows themselves: each time all tighter cutoffs of all rules are tried."""
+    grid, at, steps = risk_controlled_rules.GRID, {}, []
+    above = lambda r, k, label: sum(x[f"r_{r}"] > grid[k] for x, y in design if y == label) if k is not None else 0
+    while True:
+        tried = []
+        for i, r in enumerate(rules):
+            for k in range(at.get(r, len(grid))):
+                bad, good = (above(r, k, y) - above(r, at.get(r), y) for y in (0, 1))
+                if bad > 0:
+                    tried.append((-bad / (1 + good), i, -k))
+        if not tried:
+            return steps
+        _, i, k = min(tried)
+        at[rules[i]] = -k
+        steps.append((rules[i], grid[-k]))
+
+
+def cutoffs_by_loop(stats, labels, risk, delta):
+    rules, strata = risk_controlled_rules.RULES, len(risk_controlled_rules.STRATA)
+    part = lambda i: zlib.crc32(str(i).encode()) % 5
+    known = [(r, labels[r.doc_id]) for r in stats if not r.base_failed and r.doc_id in labels and part(r.doc_id)]
+    tests = {s: [r for r, y in known if y == 1 and part(r.doc_id) != 1 and r.stratum == s] for s in range(strata)}
+    tail = lambda k, n: sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+    groups = [[s] for s in range(strata)]
+    n_of = lambda g: sum(len(tests[s]) for s in g)
+    while len(groups) > 1 and any(n_of(g) == 0 or tail(0, n_of(g)) > delta / strata for g in groups):
+        i = min(range(len(groups)), key=lambda i: n_of(groups[i]))
+        j = min([j for j in (i - 1, i + 1) if 0 <= j < len(groups)], key=lambda j: n_of(groups[j]))
+        groups = [*groups[: min(i, j)], groups[min(i, j)] + groups[max(i, j)], *groups[max(i, j) + 1 :]]
+    out = {}
+    for g in groups:
+        steps = steps_by_loop(rules, [(r, y) for r, y in known if part(r.doc_id) == 1 and r.stratum in g])
+        mine = [r for s in g for r in tests[s]]
+        for i in range(len(steps)):
+            lost = sum(any(r[f"r_{rule}"] > c for rule, c in steps[: i + 1]) for r in mine)
+            if not mine or tail(lost, len(mine)) > delta / strata:
+                break
+            out.update({(s, steps[i][0]): steps[i][1] for s in g})
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(1500, 900, 1100), (1500, 60, 700), (100, 40, 20), (0, 0, 0)])
+def test_cutoffs_of_planted_statistics_at_the_query_s_own_risk(spark, sizes):
+    """Bad texts repeat and shout; the last stratum's good ones do so seldom, few rows are pooled or have no cutoff."""
+    rng, rows, labels = random.Random(sum(sizes)), [], {}
+    for s, n in enumerate(sizes):
+        for _ in range(n):
+            i, good = len(rows), rng.random() < 0.6
+            draw = lambda high: min(1.0, rng.betavariate(2, 4 if high else 40))
+            rows.append((i, s, rng.random() < 0.05, draw(False), draw(not good and rng.random() < 0.7), draw(rng.random() < 0.01), draw(not good and rng.random() < 0.3), rng.betavariate(8, 8)))
+            if rng.random() < 0.9:
+                labels[i] = int(good)
+    stats = spark.createDataFrame(rows, "doc_id long, stratum int, base_failed boolean, " + ", ".join(f"r_{r} double" for r in risk_controlled_rules.RULES))
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    got = risk_controlled_rules.choose_cutoffs(stats, risk_controlled_rules.training_labels(marks, "quality"))
+    assert got == cutoffs_by_loop(stats.collect(), labels, risk_controlled_rules.RISK, risk_controlled_rules.DELTA)
+    assert bool(got) == (sum(sizes) > 500)
+    if sizes[0] == 1500:
+        held = [r for r in stats.collect() if not r.base_failed and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.doc_id in labels]
+        falls = lambda r: any(s == r.stratum and r[f"r_{rule}"] > c for (s, rule), c in got.items())
+        shares = [sum(map(falls, x)) / len(x) for x in ([r for r in held if labels[r.doc_id] == y] for y in (0, 1))]
+        assert shares[0] > 0.4 and shares[1] < 0.04
+
+
+def test_verdicts_follow_the_cutoffs(spark, corpus):
     docs, labels = (spark.read.parquet(f"{corpus}/{t}.parquet") for t in ("documents", "labels"))
-    stats = risk_controlled_rules.statistics(docs)
-    good = {r.doc_id for r in labels.filter("quality = 1").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
-    rows = [r for r in stats.collect() if r.doc_id in good and not r.base_failed]
-    risk, delta, want = 0.9, 0.5, {}
-    level = delta / (len(risk_controlled_rules.STRATA) * len(risk_controlled_rules.RULES) * len(risk_controlled_rules.GRID))
-    for s in {r.stratum for r in rows}:
-        mine, part = [r for r in rows if r.stratum == s], risk / len(risk_controlled_rules.RULES)
-        for rule in risk_controlled_rules.RULES:
-            tail = lambda k, n=len(mine), p=part: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
-            passed = [c for c in risk_controlled_rules.GRID if tail(sum(r[f"r_{rule}"] > c for r in mine)) <= level]
-            if passed:
-                want[s, rule] = min(passed)
-    got = risk_controlled_rules.choose_cutoffs(stats, spark.createDataFrame([(i,) for i in good], "doc_id long"), risk, delta)
-    assert want and got == want
+    risk, delta = 0.9, 0.5
+    cutoffs = cutoffs_by_loop(risk_controlled_rules.statistics(docs).collect(), {r.doc_id: r.quality for r in labels.collect()}, risk, delta)
+    assert cutoffs
     judged = risk_controlled_rules.judge(docs, labels, risk, delta).collect()
-    assert all(r.kept == (not r.base_failed and not any(s == r.stratum and r[f"r_{rule}"] > c for (s, rule), c in want.items())) for r in judged)
+    assert all(r.kept == (not r.base_failed and not any(s == r.stratum and r[f"r_{rule}"] > c for (s, rule), c in cutoffs.items())) for r in judged)
 
 
 def test_neighbours_take_empty_and_odd_tables(spark):
