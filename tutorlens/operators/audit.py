@@ -117,12 +117,14 @@ def levels() -> tuple[Column, Column]:
 def eligibility(events: DataFrame, users: DataFrame, contents: DataFrame, seen: DataFrame, needs: DataFrame) -> DataFrame:
     """Events with the rules that they break: r1 and r2 by level and experience, r3 and r4 where a needed concept (needs:
     content_id, rule, concept_id) was not seen earlier (seen: user_id, concept_id, first_ts)."""
-    facts = events.join(users.select("user_id", "level", "experience"), "user_id", "left").join(contents.select("content_id", "difficulty", "is_investment_related"), "content_id")
-    asked = events.select("event_id", "user_id", "content_id", "ts").join(needs, "content_id").join(seen, ["user_id", "concept_id"], "left")
-    late = F.col("first_ts").isNull() | (F.col("first_ts") >= F.col("ts"))
-    missing = asked.filter(late).groupBy("event_id").agg(F.max(F.col("rule") == "r3").alias("m3"), F.max(F.col("rule") == "r4").alias("m4"))
+    first = seen.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("concept_id", "first_ts"))).alias("first"))  # a user's concepts are few
+    asked = needs.groupBy("content_id").agg(*[F.collect_list(F.when(F.col("rule") == r, F.col("concept_id"))).alias(r) for r in ("r3", "r4")])
+    known = contents.select("content_id", "difficulty", "is_investment_related").join(asked, "content_id", "left")
+    facts = events.join(users.select("user_id", "level", "experience"), "user_id", "left").join(known, "content_id").join(first, "user_id", "left")
+    met = lambda c: F.try_element_at("first", c)
+    lacks = lambda rule: F.coalesce(F.exists(rule, lambda c: met(c).isNull() | F.coalesce(met(c) >= F.col("ts"), F.lit(False))), F.lit(False)).alias(rule)
     r1, r2 = levels()
-    return facts.join(missing, "event_id", "left").select("event_id", "user_id", "content_id", r1.alias("r1"), r2.alias("r2"), F.coalesce("m3", F.lit(False)).alias("r3"), F.coalesce("m4", F.lit(False)).alias("r4"))
+    return facts.select("event_id", "user_id", "content_id", r1.alias("r1"), r2.alias("r2"), lacks("r3"), lacks("r4"))
 
 
 def qualifying(pairs: DataFrame, users: DataFrame, contents: DataFrame, seen: DataFrame, needs: DataFrame) -> DataFrame:
