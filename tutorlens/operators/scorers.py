@@ -84,9 +84,21 @@ def close_pairs(weights: DataFrame, least: float) -> DataFrame:
     prefix = staged(ranked.withColumn("rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest))).filter(F.col("rest") >= least - 1e-9).select("content_id", "term"), "prefix")
     side = lambda name: prefix.select("term", F.col("content_id").alias(name))
     pairs = side("a").join(side("b"), "term").filter("a < b").select("a", "b").distinct()
-    of = lambda name: weights.select(F.col("content_id").alias(name), "term", F.col("weight").alias(f"w{name}"))
-    sums = pairs.join(of("a"), "a").join(of("b"), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
-    return sums.filter(F.col("sim") >= least)
+    rows = staged(weights.groupBy("content_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "weight"))).alias("v")), "vectors")
+    of = lambda name: rows.select(F.col("content_id").alias(name), F.transform("v", lambda x: x.t).alias(f"t{name}"), F.transform("v", lambda x: x.weight).alias(f"w{name}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", _shared_sum("ta", "wa", "tb", "wb").alias("sim")).filter(F.col("sim") >= least)
+
+
+@F.pandas_udf("double")
+def _shared_sum(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
+    """Sums of products of two sparse rows, sorted by the 64-bit hashes of their terms."""
+    out = np.zeros(len(ta))
+    for i, (x, u, y, v) in enumerate(zip(ta, wa, tb, wb, strict=True)):
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        met = y[at] == x
+        out[i] = u[met] @ v[at[met]]
+    return pd.Series(out)
 
 
 #: Contents up to which similarities are one matrix (8 MB here, and that much in each task); beyond, they are joined by term.

@@ -176,11 +176,11 @@ def j16(spark, d):
 
 
 @query("j16_close_texts", TFIDF.replace("FROM texts)", "FROM (SELECT min(doc_id) AS content_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY coalesce(text, '')))").replace(
-    "FROM contents", "FROM (SELECT DISTINCT coalesce(text, '') FROM documents WHERE doc_id IS NOT NULL)").replace("JOIN weights b USING (term)", "JOIN weights b ON a.term = b.term AND a.content_id < b.content_id").replace("GROUP BY ALL)", "GROUP BY ALL)") + " SELECT a, b, round(sim, 6) AS sim FROM sim WHERE sim >= 0.8")
+    "FROM contents", "FROM (SELECT DISTINCT coalesce(text, '') FROM documents WHERE doc_id IS NOT NULL)").replace("JOIN weights b USING (term)", "JOIN weights b ON a.term = b.term AND a.content_id < b.content_id").replace("GROUP BY ALL)", "GROUP BY ALL)") + " SELECT a, b, round(sim, 6) AS sim FROM sim WHERE sim >= 0.9")
 def j16c(spark, d):
-    """Pairs of different texts with a cosine of 0.8 or more; a text stands for all documents that have it."""
+    """Pairs of different texts with a cosine of 0.9 or more; a text stands for all documents that have it."""
     docs = fx.table(spark, d, "documents").filter("doc_id is not null").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("doc_id").alias("content_id"))
-    return scorers.close_pairs(scorers.tfidf(docs), 0.8).withColumn("sim", F.round("sim", 6))
+    return scorers.close_pairs(scorers.tfidf(docs), 0.9).withColumn("sim", F.round("sim", 6))
 
 
 def _told(users, items, train, w):
