@@ -86,10 +86,9 @@ def close_pairs(weights: DataFrame, least: float) -> DataFrame:
     pairs = side("a").join(side("b"), "term").filter("a < b").select("a", "b").distinct()
     rows = staged(weights.groupBy("content_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "weight"))).alias("v")), "vectors")
     of = lambda name: rows.select(F.col("content_id").alias(name), F.transform("v", lambda x: x.t).alias(f"t{name}"), F.transform("v", lambda x: x.weight).alias(f"w{name}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", _shared_sum("ta", "wa", "tb", "wb").alias("sim")).filter(F.col("sim") >= least)
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.pandas_udf(_shared_sum, "double")("ta", "wa", "tb", "wb").alias("sim")).filter(F.col("sim") >= least)
 
 
-@F.pandas_udf("double")
 def _shared_sum(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
     """Sums of products of two sparse rows, sorted by the 64-bit hashes of their terms."""
     out = np.zeros(len(ta))
