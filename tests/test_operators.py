@@ -8,10 +8,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tutorlens.functions import text as T
+from tutorlens.operators import html
 from tutorlens.operators.html import parsed
 from tutorlens.operators import audit, enrich, factors, graph, metrics, pages, profiles, scorers, split
 from tutorlens.sources import files
@@ -385,3 +387,22 @@ def test_exposure_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("exposed").collect())) == sorted(map(tuple, exposure.exposure_counts(events).collect()))
+
+
+def test_pages_leave_python_in_stretches(spark):
+    """A batch of pages is not held as Python objects whole: parts come out by AT_ONCE characters, a page of more by itself."""
+    small = "<main><h1>Title</h1><a href='/x'>a label</a>" + "<p>words</p>" * 2000 + "</main>"
+    bodies = [small] * 40 + ["<p>" + "z" * html.AT_ONCE + "</p>", None, small]
+    out = list(html._parts(iter([(pa.array(bodies), pa.array(["http://h/"] * len(bodies)))])))
+    assert sum(map(len, out)) == len(bodies) and len(out) >= 6
+    at = 0
+    for part in out:
+        assert len(part) == 1 or sum(len(b or "") for b in bodies[at : at + len(part)]) <= html.AT_ONCE
+        at += len(part)
+    frame = spark.createDataFrame([(i, "http://h/", b) for i, b in enumerate(bodies)], "page_id long, url string, html string").coalesce(1)
+    rows = {r.page_id: r.parts for r in parsed(frame).collect()}
+    assert len(rows) == len(bodies) and rows[0] == rows[42] and rows[41].text == "" and len(rows[40].text) == html.AT_ONCE
+    assert [(x.label, x.href, x.main) for x in rows[39].links] == [("a label", "http://h/x", True)]
+    counted = {r.classification: r.n for r in pages.class_counts(pages.records(frame)).collect()}
+    assert sum(counted.values()) == len(bodies) and counted["fetch_error"] == 1
+    assert pages.links(frame).count() == 41 and pages.blocks(pages.records(frame).select("page_id", "text")).select("page_id").distinct().count() == 42
