@@ -107,3 +107,26 @@ def test_close_pairs_equal_all_pairs_above_the_threshold(world, spark):
         got = {(r.a, r.b): r.sim for r in scorers.close_pairs(weights, least).collect()}
         want = {(r.a, r.b): r.sim for r in scorers.similarity(weights).filter((F.col("a") < F.col("b")) & (F.col("sim") >= least)).collect()}
         assert got.keys() == want.keys() and got and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_close_pairs_in_many_blocks_move_few_rows(spark, monkeypatch):
+    """Copies that differ in a word and texts that share one rare word only: all close pairs come, pairs that a bound rules out
+    are not summed, and a row goes to blocks, not to each of its pairs."""
+    monkeypatch.setattr(scorers, "ROUGH", 400)
+    monkeypatch.setattr(scorers, "EXACT", 100)
+    rng, tables = random.Random(3), {}
+    base = rng.choices([f"p{i}" for i in range(300)], k=40)
+    copies = [" ".join([*base, f"own{i}"]) for i in range(40)]
+    others = [" ".join([f"shared{i % 4}", *rng.choices([f"q{j}" for j in range(3000)], k=30)]) for i in range(80)]
+    weights = staged(scorers.tfidf(spark.createDataFrame(list(enumerate([*copies, *others])), "content_id int, text string")), "test")
+    monkeypatch.setattr(scorers, "staged", lambda frame, name: tables.setdefault((name, len(tables)), staged(frame, name)))
+    got = {(r.a, r.b): r.sim for r in scorers.close_pairs(weights, 0.8).collect()}
+    want = {(r.a, r.b): r.sim for r in scorers.similarity(weights).filter("a < b and sim >= 0.8").collect()}
+    assert got.keys() == want.keys() and len(want) == 780 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    count = {}
+    for (name, _), table in tables.items():
+        count.setdefault(name, []).append(table)
+    assert count["near"][0].count() == 780 and count["pairs"][0].count() < 1500
+    for placed in count["placed"]:
+        cells = placed.selectExpr("low", "high", "explode(array(a, b)) as id").distinct()
+        assert cells.select("low", "high").distinct().count() > 1 and cells.count() < placed.count()

@@ -76,28 +76,86 @@ def similarity(weights: DataFrame) -> DataFrame:
 
 def close_pairs(weights: DataFrame, least: float) -> DataFrame:
     """(a, b, sim) of the pairs a < b with a cosine of `least` or more. weights are rows of length 1. With terms in one order,
-    rarest first, the terms after a row's prefix have a norm below `least`: a pair that shares no prefix term of both has a
-    cosine below it. So only prefixes are joined, and the pairs found are summed over all their terms."""
+    rarest first, a pair's terms from one place on add no more than the product of both rows' norms from there (`rest` with
+    the term, `beyond` without). So a pair that meets first where the product of the rests is below `least` is not close: only
+    terms with a rest of `least` or more are joined. What a pair's meetings add up to, with the product of the norms beyond
+    the last of them, bounds its cosine. The pairs left are summed over all their terms, first roughly and then exactly, by blocks
+    of rows."""
     weights = staged(weights.select("content_id", "term", "weight"), "weights")
     ranked = weights.join(weights.groupBy("term").agg(F.count("*").alias("df")), "term")
-    rest = Window.partitionBy("content_id").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    prefix = staged(ranked.withColumn("rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest))).filter(F.col("rest") >= least - 1e-9).select("content_id", "term"), "prefix")
-    side = lambda name: prefix.select("term", F.col("content_id").alias(name))
-    pairs = side("a").join(side("b"), "term").filter("a < b").select("a", "b").distinct()
-    rows = staged(weights.groupBy("content_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "weight"))).alias("v")), "vectors")
-    of = lambda name: rows.select(F.col("content_id").alias(name), F.transform("v", lambda x: x.t).alias(f"t{name}"), F.transform("v", lambda x: x.weight).alias(f"w{name}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.pandas_udf(_shared_sum, "double")("ta", "wa", "tb", "wb").alias("sim")).filter(F.col("sim") >= least)
-
-
-def _shared_sum(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
-    """Sums of products of two sparse rows, sorted by the 64-bit hashes of their terms."""
-    out = np.zeros(len(ta))
-    for i, (x, u, y, v) in enumerate(zip(ta, wa, tb, wb, strict=True)):
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        met = y[at] == x
-        out[i] = u[met] @ v[at[met]]
-    return pd.Series(out)
+    later = Window.partitionBy("content_id").orderBy("df", "term")
+    norm = lambda first: F.sqrt(F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(later.rowsBetween(first, Window.unboundedFollowing)), F.lit(0.0)))
+    prefix = ranked.select("content_id", "term", "weight", norm(0).alias("rest"), norm(1).alias("beyond")).filter(F.col("rest") >= least - 1e-9)
+    prefix = staged(prefix, "prefix")
+    side = lambda name: prefix.select("term", F.col("content_id").alias(name), *[F.col(c).alias(c + name) for c in ("weight", "rest", "beyond")])
+    met = side("a").join(side("b"), "term").filter("a < b").filter(F.col("resta") * F.col("restb") >= least - 1e-9)
+    met = met.select("a", "b", (F.col("weighta") * F.col("weightb")).alias("part"), (F.col("beyonda") * F.col("beyondb")).alias("left"))
+    bound = met.groupBy("a", "b").agg((F.sum("part") + F.min("left")).alias("bound"))
+    pairs = staged(bound.filter(F.col("bound") >= least - 1e-9).select("a", "b"), "pairs")
+    near = staged(_summed(weights, pairs, _rough_sums, ROUGH).filter(F.col("sim") >= least - 1e-4).select("a", "b"), "near")
+    return _summed(weights, near, _exact_sums, EXACT).filter(F.col("sim") >= least)
+
+
+#: Terms of a block of rows in the two passes of _summed(), about; places of terms in the first.
+ROUGH, EXACT, PLACES = 1 << 22, 1 << 16, 1 << 22
+
+
+def _summed(weights: DataFrame, pairs: DataFrame, sums: Callable[[pa.Table, pa.Table], pa.Table], size: int) -> DataFrame:
+    """pairs (a, b; a < b) with `sim`, what sums() makes of them and of the rows (id, t, w: terms, weights) that are
+    theirs. Rows are dealt to blocks of about `size` terms, those of an anchor (the smallest partner) to one
+    block or to neighbours; a row goes once to each two blocks that have a pair of it, not once to each pair."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("anchor")), F.struct(F.col("b").alias("id"), F.col("a").alias("anchor")))).alias("x")).groupBy("x.id").agg(F.min("x.anchor").alias("anchor"))
+    terms = weights.groupBy(F.col("content_id").alias("id")).agg(F.count("*").alias("n"))
+    ends = staged(ends.join(terms, "id"), "ends")
+    blocks = max(1, round((ends.agg(F.sum("n")).first()[0] or 0) / size))
+    shares = ends.groupBy("anchor").agg(F.ceil(F.sum("n") / size).alias("shares"))
+    block = F.pmod(F.xxhash64("anchor") + F.pmod(F.xxhash64("id", F.lit(1)), F.col("shares")), F.lit(blocks))
+    dealt = staged(ends.join(shares, "anchor").select("id", block.alias("block")), "blocks")
+    of = lambda name: dealt.select(F.col("id").alias(name), F.col("block").alias(f"block_{name}"))
+    placed = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"))
+    placed = staged(placed, "placed")
+    wanted = placed.select(F.col("low").alias("first"), F.col("high").alias("second"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    t = F.xxhash64("term")
+    held = F.struct(t.alias("t"), F.col("weight").alias("w")) if sums is _exact_sums else F.struct(F.pmod(t, F.lit(PLACES)).cast("int").alias("t"), F.col("weight").cast("float").alias("w"))
+    rows = weights.join(dealt.select(F.col("id").alias("content_id")), "content_id", "left_semi").groupBy(F.col("content_id").alias("id")).agg(F.sort_array(F.collect_list(held)).alias("v"))
+    rows = rows.select("id", F.transform("v", lambda x: x.t).alias("t"), F.transform("v", lambda x: x.w).alias("w"))
+    kind = dict(pairs.dtypes)["a"]
+    return wanted.join(rows, "id").groupBy("first", "second").cogroup(placed.groupBy("low", "high")).applyInArrow(sums, f"a {kind}, b {kind}, sim double")
+
+
+def _met(rows: pa.Table, pairs: pa.Table) -> tuple[list, list, np.ndarray, np.ndarray]:
+    """Terms and weights of rows, and the places in them of the rows of each pair."""
+    ids = rows["id"].to_numpy()
+    order = np.argsort(ids)
+    t, w = ([x.values.to_numpy() for x in rows[c]] for c in ("t", "w"))
+    a, b = (order[np.searchsorted(ids, pairs[c].to_numpy(), sorter=order)] for c in ("a", "b"))
+    return t, w, a, b
+
+
+def _rough_sums(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Sums of products, by places of terms and in single precision: terms of one place count as one, which only adds."""
+    t, w, a, b = _met(rows, pairs)
+    out, dense, last = np.zeros(len(pairs)), np.zeros(PLACES, np.float32), -1
+    for k in np.argsort(a, kind="stable"):
+        if a[k] != last:
+            if last >= 0:
+                dense[t[last]] = 0
+            last = a[k]
+            np.add.at(dense, t[last], w[last])
+        out[k] = dense[t[b[k]]] @ w[b[k]]
+    return pa.table({"a": pairs["a"], "b": pairs["b"], "sim": out})
+
+
+def _exact_sums(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Sums of products in double precision; terms are sorted by their 64-bit hashes."""
+    t, w, a, b = _met(rows, pairs)
+    out = np.zeros(len(pairs))
+    for k, (i, j) in enumerate(zip(a, b, strict=True)):
+        at = np.searchsorted(t[j], t[i])
+        at[at == len(t[j])] = 0
+        same = t[j][at] == t[i]
+        out[k] = w[i][same] @ w[j][at[same]]
+    return pa.table({"a": pairs["a"], "b": pairs["b"], "sim": out})
 
 
 #: Contents up to which similarities are one matrix (8 MB here, and that much in each task); beyond, they are joined by term.
