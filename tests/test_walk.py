@@ -130,3 +130,20 @@ def test_close_pairs_in_many_blocks_move_few_rows(spark, monkeypatch):
     for placed in count["placed"]:
         cells = placed.selectExpr("low", "high", "explode(array(a, b)) as id").distinct()
         assert cells.select("low", "high").distinct().count() > 1 and cells.count() < placed.count()
+
+
+def test_model_table_makes_each_scenario_once(spark, monkeypatch):
+    """Ten models share two splits, two tables of states and two catalogs."""
+    from conftest import DATA
+
+    from tutorlens.plans import registry
+
+    made, states = [], []
+    monkeypatch.setattr(registry, "staged", lambda frame, name: made.append(name) or staged(frame, name))
+    monkeypatch.setattr(registry.walk, "states", lambda *a, of=walk.states: states.append(1) or of(*a))
+    monkeypatch.setattr(registry, "_figures", lambda users: users.agg(F.count("*").alias("users_all")))
+    for rank in ("_popular", "_random", "_similar", "_told", "_ridge", "_ridge_new", "_machine", "_machine_new"):
+        monkeypatch.setattr(registry, rank, lambda users, items, train, w: users)
+    rows = registry.QUERIES["g14_model_table"](spark, DATA).collect()
+    assert len(rows) == 10 and len({(r.model, r.scenario) for r in rows}) == 10 and all(r.users_all > 0 for r in rows)
+    assert made.count("split") == 2 and made.count("states") == 2 and len(states) == 2
