@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
+import pyarrow as pa
 from tutorlens.operators import audit
 from tutorlens.sources import fixtures as fx
 from tutorlens.streaming import requirements
@@ -71,3 +73,37 @@ def test_late_events_are_left_out_and_change_nothing(spark, tmp_path):
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/part*")
     got = requirements.replay(stream, lambda e: requirements.facts(e, *facts), str(tmp_path / "out")).collect()
     assert {tuple(r) for r in got} == batch(spark.createDataFrame(early + late[1:], EVENTS), *facts)
+
+
+def test_neighbouring_users_share_a_key_and_nothing_else(spark, tmp_path):
+    """200 users in turn hold four keys of state. Users of one key meet the same concepts at different times; ids that doubles
+    cannot hold, negative ids and null users are among them."""
+    base = 2**60 + 1  # not a multiple of 64
+    users = [*range(base, base + 200), -1, -64, -65, 2**62, None]
+    rng = random.Random(3)
+    rows = [(i, users[i % len(users)], rng.randrange(28), START + dt.timedelta(minutes=rng.randrange(4 * 1440)), 0.5, rng.choice(["viewed", "viewed", "disliked", None])) for i in range(4 * len(users))]
+    rows = sorted(rows, key=lambda r: (r[3], r[0]))
+    tables_in_turn(spark, tmp_path, [rows[::2], rows[1::2]])
+    known = spark.createDataFrame([(u, [None, "bajo", "alto"][u % 3], [None, "ninguna", "básica"][u % 3]) for u in users[:-2]], "user_id long, level string, experience string")
+    facts = known, *world(spark)[1:]
+    keys = {r.key for r in requirements.facts(spark.createDataFrame(rows, EVENTS).filter(f"user_id between {base} and {base + 199}"), *facts).select("key").distinct().collect()}
+    assert keys == {u >> 6 for u in range(base, base + 200)} and len(keys) == 4
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/part*")
+    got = requirements.replay(stream, lambda e: requirements.facts(e, *facts, lateness="10 days"), str(tmp_path / "out")).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == batch(spark.createDataFrame(rows, EVENTS), *facts)
+
+
+def test_first_meetings_and_lacks_equal_a_plain_loop():
+    rng = np.random.default_rng(4)
+    concepts = [-(2**31), -1, 0, 5, 2**31 - 1]
+    rows = [(int(rng.integers(0, 70)), bool(rng.random() < 0.9), int(rng.integers(0, 50)), [concepts[j] for j in rng.integers(0, 5, rng.integers(0, 4))], [concepts[j] for j in rng.integers(0, 5, rng.integers(0, 2))]) for _ in range(300)]
+    table = pa.table({"user": [r[0] for r in rows], "known": [r[1] for r in rows], "at": [r[2] for r in rows], "need3": pa.array([r[3] for r in rows], pa.list_(pa.int32())), "gives": pa.array([r[4] if r[1] else [] for r in rows], pa.list_(pa.int32()))})
+    met = {}
+    for user, known, at, _, gives in rows:
+        for c in gives if known else []:
+            met[user % 64, c] = min(at, met.get((user % 64, c), at))
+    got = requirements.first_meetings(*requirements.listed(table, "gives"))
+    assert list(zip(*(c.tolist() for c in got), strict=True)) == [(*k, met[k]) for k in sorted(met)]
+    assert requirements.lacks(table, "need3", got).tolist() == [any(not known or met.get((user % 64, c), at) >= at for c in need) for user, known, at, need, _ in rows]
+    none = tuple(c[:0] for c in got)
+    assert requirements.lacks(table, "need3", none).tolist() == [len(r[3]) > 0 for r in rows]
