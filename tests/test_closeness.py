@@ -43,7 +43,7 @@ def test_rows_met_in_stretches_come_once(spark, texts, monkeypatch):
     monkeypatch.setattr(closeness, "staged", lambda frame, name, of=closeness.staged: made.append((name, of(frame, name))) or made[-1][1])
     want = closeness.close_texts(texts, 0.3).collect()
     row = dict(made)["blocks"].collect()
-    block = closeness._Block({c: closeness._unpacked(closeness.pa.py_buffer(bytes(row[0][c])), kind) for c, kind in closeness._BLOCK.items()}, dict(made)["first"].count(), 0.3)
+    block = closeness._Block({c: closeness._unpacked(closeness.pa.py_buffer(bytes(row[0][c])), kind) for c, kind in closeness._BLOCK.items()}, dict(made)["first"].count())
     for most in (1, 50, 1 << 20):
         monkeypatch.setattr(closeness, "MEETINGS", most)
         got = [(x["a"], x["b"]) for part in closeness._met(block, block, 0.3) for x in part.to_pylist()]

@@ -17,9 +17,9 @@ from .scorers import STOP_WORDS, TOKEN
 #: Words of a part, and terms of a block, about; blocks that small inputs are cut into, if each has LEAST terms.
 CUT, SIZE, SPREAD, LEAST = 1 << 21, 1 << 21, 8, 1 << 17
 #: Meetings that are held at once.
-MEETINGS = 1 << 20
+MEETINGS = 1 << 19
 _PART = {"ids": np.int64, "ends": np.int32, "at": np.int32, "tf": np.int32, "term": np.int64}
-_BLOCK = {"ids": np.int64, "norm": np.float64, "ends": np.int32, "at": np.int32, "tf": np.int32, "term": np.int64, "df": np.int64}
+_BLOCK = {"ids": np.int64, "norm": np.float64, "ends": np.int32, "head": np.float64, "firsts": np.int32, "at": np.int32, "tf": np.int32, "term": np.int64, "place": np.int32, "df": np.int64}
 
 
 def close_texts(texts: DataFrame, least: float) -> DataFrame:
@@ -38,17 +38,19 @@ def close_texts(texts: DataFrame, least: float) -> DataFrame:
     terms = F.flatten(F.transform(kept, lambda x: F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(0))))
     parts = own.select(F.col("content_id").cast("long").alias("id"), terms.alias("terms")).mapInArrow(_cut, "n long, ids binary, ends binary, at binary, tf binary, term binary, docs binary")
     n_docs = first.count()
-    blocks, count = _blocks(staged(parts.withColumn("part", F.monotonically_increasing_id()), "parts"), n_docs)
+    blocks, count = _blocks(staged(parts.withColumn("part", F.monotonically_increasing_id()), "parts"), n_docs, least)
     side = lambda name: blocks.repartitionByRange(count, "block").select([F.col(c).alias(f"{c}_{name}") for c in blocks.columns])
     both = side("a").join(side("b"), F.col("block_a") <= F.col("block_b"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                read = lambda name: _Block({c: _unpacked(batch[f"{c}_{name}"][row].as_buffer(), kind) for c, kind in _BLOCK.items()}, n_docs, least)  # noqa: B023, E731
+                read = lambda name: _Block({c: _unpacked(batch[f"{c}_{name}"][row].as_buffer(), kind) for c, kind in _BLOCK.items()}, n_docs)  # noqa: B023, E731
                 a = read("a")
                 b = a if batch["block_a"][row] == batch["block_b"][row] else read("b")
                 yield from _met(a, b, least)
+                del a, b
+                pa.default_memory_pool().release_unused()  # the next task may run in the same process
 
     return both.mapInArrow(meet, "a long, b long, sim double").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "sim")
 
@@ -65,7 +67,7 @@ def _unpacked(held: pa.Buffer, kind: type) -> np.ndarray:
 
 
 def _steps(at: np.ndarray) -> np.ndarray:
-    """Places that mostly ascend, as steps from each to the next; np.cumsum() undoes it."""
+    """Numbers that mostly ascend, as steps from each to the next; np.cumsum() undoes it."""
     return np.diff(at, prepend=at.dtype.type(0))
 
 
@@ -97,8 +99,8 @@ def _part(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"n": pa.array([len(key)], pa.int64())} | {c: pa.array([_packed(x)], pa.binary()) for c, x in numbers.items()})
 
 
-def _blocks(parts: DataFrame, n_docs: int) -> tuple[DataFrame, int]:
-    """The parts put together to blocks, and their number: rows with their norms, terms from the rarest on."""
+def _blocks(parts: DataFrame, n_docs: int, least: float) -> tuple[DataFrame, int]:
+    """The parts put together to blocks, and their number: rows with their norms, terms from the rarest on; see _Block."""
     sizes = sorted(parts.select("part", "n").collect())  # a row for some million words
     size = max(LEAST, min(SIZE, -(-sum(r.n for r in sizes) // SPREAD)))
     ends = np.cumsum([0, *[r.n for r in sizes]])
@@ -119,10 +121,9 @@ def _blocks(parts: DataFrame, n_docs: int) -> tuple[DataFrame, int]:
         if not len(term):  # nothing to meet others by
             return pa.table({c: [] for c in ("block", *_BLOCK)}, pa.schema([("block", pa.int32()), *[(c, pa.binary()) for c in _BLOCK]]))
         df = shared["df"].to_numpy()[at]
-        order = np.lexsort((term, df))
         rank = np.empty(len(term), np.int64)
-        rank[order] = np.arange(len(term))
-        found = {c: [] for c in ("ids", "norm", "n", "at", "tf")}
+        rank[np.lexsort((term, df))] = np.arange(len(term))
+        found = {c: [] for c in ("ids", "norm", "n", "head", "firsts", "at", "tf")}
         for row in range(owned.num_rows):
             ids, ends, at, tf, own = (_unpacked(owned[c][row].as_buffer(), kind) for c, kind in _PART.items())
             at, rows, place = np.cumsum(at), np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0)), np.searchsorted(term, own)
@@ -132,10 +133,14 @@ def _blocks(parts: DataFrame, n_docs: int) -> tuple[DataFrame, int]:
             met = known[at]
             key = rows[met] * len(term) + rank[place][at[met]]
             sort = np.argsort(key)
-            for c, x in (("ids", ids), ("norm", np.sqrt(np.bincount(rows, weight * weight))), ("n", np.bincount(rows[met], minlength=len(ids))), ("at", key[sort] % len(term)), ("tf", tf[met][sort])):
+            norm, rows, n = np.sqrt(np.bincount(rows, weight * weight)), rows[met], np.bincount(rows[met], minlength=len(ids))
+            ends, squares = np.cumsum(n), (weight[met][sort] / norm[rows]) ** 2
+            sums = np.append(0, np.cumsum(squares))
+            rest = sums[ends][rows] - sums[:-1]  # a row's terms stay together when sorted
+            for c, x in (("ids", ids), ("norm", norm), ("n", n), ("head", sums[ends] - sums[ends - n]), ("firsts", np.bincount(rows[rest >= max(0, least - 1e-9) ** 2], minlength=len(ids))), ("at", key[sort] % len(term)), ("tf", tf[met][sort])):
                 found[c].append(x)
         whole = {c: np.concatenate(x) for c, x in found.items()}
-        numbers = whole | {"ends": np.cumsum(whole["n"]).astype(np.int32), "at": _steps(whole["at"].astype(np.int32)), "term": term[order], "df": df[order]}
+        numbers = whole | {"ends": np.cumsum(whole["n"]).astype(np.int32), "firsts": whole["firsts"].astype(np.int32), "at": _steps(whole["at"].astype(np.int32)), "term": _steps(term), "place": rank.astype(np.int32), "df": df}
         return pa.table({"block": owned["block"].slice(0, 1)} | {c: pa.array([_packed(numbers[c])], pa.binary()) for c in _BLOCK})
 
     blocks = owned.drop("docs").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(weigh, ", ".join(["block int", *[f"{c} binary" for c in _BLOCK]]))
@@ -147,35 +152,43 @@ def _idf(df: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 class _Block:
-    """Rows of a block: entry k is the term `at[k]` with the weight `w[k]` of the row `row[k]`. A row's terms from `at` on have
-    the norm `rest`; `first` are the entries with a rest of `least` or more."""
-
-    def __init__(self, x: dict[str, np.ndarray], n_docs: int, least: float):
-        self.ids, self.term, self.ends, self.at = x["ids"], x["term"], x["ends"], np.cumsum(x["at"], dtype=np.int64)
-        n = np.diff(self.ends, prepend=0)
-        self.row, self.starts = np.repeat(np.arange(len(n), dtype=np.int32), n), self.ends - n
-        self.w = x["tf"] * _idf(x["df"], n_docs)[self.at] / x["norm"][self.row]
-        squares = self.w * self.w
-        sums = np.cumsum(squares)
-        rest = np.sqrt(np.maximum(0, np.append(sums, 0)[self.ends - 1][self.row] - sums + squares))
-        self.first = np.flatnonzero(rest >= least - 1e-9)
-        self.rest = rest[self.first]
+    """Rows of a block: entry k is the term `at[k]` with the weight `w[k]` (divided by its row's `norm` where it counts); `term`
+    has the hashes in order, and `place` where `at` has them. A row's terms from one on have the norm `rest`, from its first on
+    the square `head` (terms of no other row are left out), and `firsts` of them have a rest of `least` or more: the entries
+    `first`, of the rows `row`."""
+
+    def __init__(self, x: dict[str, np.ndarray], n_docs: int):
+        self.ids, self.ends, self.norm, self.place = x["ids"], x["ends"], x["norm"], x["place"]
+        self.starts = np.append(0, self.ends[:-1])
+        self.term, self.at = np.cumsum(x["term"]), np.cumsum(x["at"], dtype=np.int64)
+        idf = np.empty(len(self.term))
+        idf[self.place] = _idf(x["df"], n_docs)
+        self.w = idf.take(self.at)
+        self.w *= x["tf"]
+        n = x["firsts"]
+        before = np.cumsum(n) - n
+        self.row = np.repeat(np.arange(len(n)), n)
+        self.first = np.arange(n.sum()) + np.repeat(self.starts - before, n)
+        sums = np.append(0, np.cumsum((self.w[self.first] / self.norm[self.row]) ** 2))
+        self.rest = np.sqrt(np.maximum(0, np.repeat(x["head"] + sums[before], n) - sums[:-1]))
 
 
 def _met(a: _Block, b: _Block, least: float) -> Iterator[pa.RecordBatch]:
     """Close pairs of a row of a and one of b. With terms in one order, rarest first, a pair's terms from one place on add no
     more than the product of both rows' norms from there, so a pair that meets first where this is below `least` is not close:
     rows meet by their first entries alone. Every pair met is summed over all its terms."""
-    sort = np.argsort(a.term)
-    place = sort[np.minimum(np.searchsorted(a.term, b.term, sorter=sort), len(sort) - 1)]
-    at = np.where(a.term[place] == b.term, place, len(a.term))[b.at]  # terms of b as a has them; what a lacks has the last place
-    sort = np.argsort(a.at[a.first], kind="stable")
-    row, rest = a.row[a.first][sort], a.rest[sort]
-    count = np.bincount(a.at[a.first], minlength=len(a.term) + 1)
+    found = np.searchsorted(a.term, b.term)
+    found[found == len(a.term)] = 0
+    both = a.term[found] == b.term
+    at = np.full(len(b.term), len(a.term))  # terms of b as a has them; what a lacks has the last place
+    at[b.place[both]] = a.place[found[both]]
+    at, key = at.take(b.at), a.at[a.first]
+    sort = np.argsort(key, kind="stable")
+    row, rest = a.row[sort], a.rest[sort]
+    count = np.bincount(key, minlength=len(a.term) + 1)
     start = np.cumsum(count) - count
     asks = np.flatnonzero(count[at[b.first]])
-    own, ask_rest = b.row[b.first][asks].astype(np.int64), b.rest[asks]
-    term = at[b.first][asks]
+    own, ask_rest, term = b.row[asks], b.rest[asks], at[b.first[asks]]
     n = count[term]
     ends, k, open_ = np.cumsum(n), 0, np.zeros(0, np.int64)
     shift = start[term] - ends + n
@@ -211,6 +224,7 @@ def _sums(a: _Block, b: _Block, at: np.ndarray, pairs: np.ndarray, least: float)
             found.append(dense.take(at_y[first:end]) @ y.w[first:end])
         out[these] = found
         dense[:] = 0
+    out /= a.norm[of_a] * b.norm[of_b]
     close = out >= least
     one, other = a.ids[of_a[close]], b.ids[of_b[close]]
     return pa.RecordBatch.from_pydict({"a": np.minimum(one, other), "b": np.maximum(one, other), "sim": out[close]})
